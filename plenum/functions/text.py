@@ -28,8 +28,8 @@ def dated(day: Column, month_name: Column, year: Column) -> Column:
 
 def month_of_title(title: Column) -> Column:
     """yyyy-mm from six digits, else from a month's name and a year, else null."""
-    six = F.regexp_extract(title, r"(20\d{2})(0[1-9]|1[0-2])", 0)
-    year = F.regexp_extract(title, r"(20\d{2})", 1)
+    six = F.regexp_extract(title, r"((?:19|20)\d{2})(0[1-9]|1[0-2])", 0)
+    year = F.regexp_extract(title, r"((?:19|20)\d{2})", 1)
     name = F.regexp_extract(F.lower(title), "(" + "|".join(MONTHS) + ")", 1)
     by_name = F.when((year != "") & (name != ""), F.concat(year, F.lit("-"), F.lpad(month_number(name).cast("string"), 2, "0")))
     return F.when(six != "", F.concat(F.substring(six, 1, 4), F.lit("-"), F.substring(six, 5, 2))).otherwise(by_name)

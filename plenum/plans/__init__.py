@@ -1,6 +1,6 @@
 """Queries over the domain relations."""
 
-from plenum.plans import joining, selection  # noqa: F401
+from plenum.plans import aggregating, graphs, joining, selection  # noqa: F401
 from plenum.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
