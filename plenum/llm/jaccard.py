@@ -12,8 +12,10 @@ Jaccard distance is a metric, so what a document's distance to a pivot says abou
    Members within the radius of a pivot are linked to it; members of one component need no further comparison.
 5. Regions.  In a cell that holds several components, members go to the nearest pivot's region, and by the triangle
    inequality also to each region whose pivot is at most two radii further away (the boundary window).  Regions are cells of
-   the next level, with pivots of their own, until they are small; small ones are joined pair by pair within the windows
-   |d(x, p) - d(y, p)| <= radius.
+   the next level, with pivots of their own; small ones, and those of the last level, are joined within the windows
+   |d(x, p) - d(y, p)| <= radius.  Of a cell's largest component members meet members of others only.
+6. Sketches.  The symmetric difference is a metric, too, and folding a set's hashes into parities of SKETCH * 64 counters never
+   makes it larger.  Pairs whose parities already differ in more places than the radius allows are left out in the join itself.
 
 No candidate is dropped at any level: each step only leaves out pairs that cannot be within the radius, or whose documents
 already are in one component.
@@ -43,8 +45,10 @@ CHUNK = 3_000_000
 HEAVY_BITS = 20
 HEAVY_LEAST = 64
 CELL = 32
-LEVELS = 3
+LEVELS = 2
 PIVOTS = 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 32
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -142,7 +146,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         if a.dtype == np.uint64:
             a = np.diff(a, prepend=np.uint64(0))
-        out.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        out.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -158,7 +162,7 @@ def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 DEALT = "range int, chunk long, kind int, payload binary"
-CROWDED = "sig binary, n long, shared array<long>, prefix array<long>"
+CROWDED = "sig binary, n long, shared array<long>, prefix array<long>, sketch array<long>"
 
 
 def _crowded(rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -239,7 +243,7 @@ def _crowded(rows: DataFrame, signed: DataFrame) -> DataFrame:
         order = np.lexsort((hashes, counts, owner))
         hashes, owner = hashes[order], owner[order]
         edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
-        sigs, n, shared, prefix = [], [], [], []
+        sigs, n, shared, prefix, sketch = [], [], [], [], []
         for i, size in enumerate(sizes.tolist()):
             mine = hashes[edges[i] : edges[i + 1]]
             left = n_prefix(size) - (size - len(mine))
@@ -248,8 +252,10 @@ def _crowded(rows: DataFrame, signed: DataFrame) -> DataFrame:
                 n.append(size)
                 shared.append(mine.view(np.int64))
                 prefix.append(mine[:left].view(np.int64))
+                odd = np.bincount((_mixed(mine) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         lists = pa.list_(pa.int64())
-        return pa.table({"sig": pa.array(sigs, pa.binary()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared, lists), "prefix": pa.array(prefix, lists)})
+        return pa.table({"sig": pa.array(sigs, pa.binary()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared, lists), "prefix": pa.array(prefix, lists), "sketch": pa.array(sketch, lists)})
 
     dealt = rows.select("text").mapInArrow(deal, DEALT)
     back = dealt.groupBy("range").applyInArrow(common, "chunk long, kind int, payload binary")
@@ -321,13 +327,13 @@ def _links(sets: DataFrame) -> DataFrame:
         nearest = far.groupBy("cell", "sig").agg(F.min(F.struct("distance", "pivot")).alias("nearest"))
         region = far.join(nearest, ["cell", "sig"]).filter(F.col("distance") <= F.col("nearest.distance") + 2 * RADIUS + SLACK)
         native = F.col("native") & (F.col("pivot") == F.col("nearest.pivot"))
-        regions = region.select(F.xxhash64("cell", "pivot").alias("cell"), "sig", "n", "run", native.alias("native"), "distance")
+        regions = region.select(F.col("cell").alias("parent"), F.xxhash64("cell", "pivot").alias("cell"), "sig", "n", "run", native.alias("native"), "distance")
         cells = _open(regions, _components(links))
         last = level == LEVELS - 1
         leaf = _leaf(cells if last else cells.filter(F.col("members") <= CELL), sets).filter("linked").select("sig", "other")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         links = links.unionByName(leaf)
-        cells = cells.filter(F.col("members") > CELL).drop("members", "distance")
+        cells = cells.filter(F.col("members") > CELL).drop("members", "distance", "parent")
         if last or cells.isEmpty():
             return links
     return links
@@ -341,12 +347,22 @@ def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _leaf(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs within cells that are in two components, of fitting sizes and within the window of the cell's pivot."""
-    left = cells.filter("native").select("cell", "sig", "n", "comp", "distance")
-    right = cells.select("cell", F.col("sig").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("distance").alias("distance2"))
-    fits = (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & (F.abs(F.col("distance") - F.col("distance2")) <= RADIUS + SLACK)
-    pairs = left.join(right, "cell").filter((F.col("comp") != F.col("comp2")) & fits)
-    return _verified(pairs.select(F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other")).distinct(), sets)
+    """Verified pairs of members of two components, of fitting sizes, within the window of the cell's pivot and by sketch.
+
+    Two regions of one parent cell hold a pair twice, once for each as the native, so it is enough that natives outside the
+    parent's largest component meet all members.
+    """
+    counts = cells.groupBy("parent", "comp").agg(F.count("*").alias("k")).groupBy("parent").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    words = [F.get("sketch", k).alias(f"w{k}") for k in range(SKETCH)]
+    sketched = sets.select("sig", (F.col("n") - F.size("shared")).alias("alone"), *words)
+    left = _spread(cells.filter("native"), counts, ["parent"]).filter("comp != main").select("cell", "sig", "n", "comp", "distance").join(sketched, "sig")
+    right = cells.select("cell", "sig", "n", "comp", "distance").join(sketched, "sig")
+    right = right.select("cell", *[F.col(c).alias(f"{c}_") for c in right.columns if c != "cell"])
+    differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}_"))) for k in range(SKETCH)), F.col("alone") + F.col("alone_"))
+    fits = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (F.abs(F.col("distance") - F.col("distance_")) <= RADIUS + SLACK)
+    near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("n_"))
+    pairs = left.join(right, "cell").filter((F.col("comp") != F.col("comp_")) & fits & near)
+    return _verified(pairs.select(F.least("sig", "sig_").alias("sig"), F.greatest("sig", "sig_").alias("other")).distinct(), sets)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
