@@ -43,7 +43,10 @@ def limited(requests: DataFrame, seconds: int, most: int) -> DataFrame:
 
 
 def limited_stream(requests: DataFrame, seconds: int, most: int) -> DataFrame:
-    """The same for a stream: one window per client as state, dropped when it has ended."""
+    """The same for a stream with a watermark on ts: one window per client as state, dropped once the watermark is past it.
+
+    Requests that come later than the watermark are not seen.
+    """
     span = pd.Timedelta(seconds=seconds)
 
     def windows(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,7 +63,7 @@ def limited_stream(requests: DataFrame, seconds: int, most: int) -> DataFrame:
                 out.append((r.event_id, key[0], start, n, n > most))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
         state.update((start.value // 1000, n))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(start.value // 1_000_000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     rows = requests.select("event_id", "client", "ts")
-    return rows.groupBy("client").applyInPandasWithState(windows, RESULT, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(windows, RESULT, "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
