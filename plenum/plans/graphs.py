@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import semantics as S
+from plenum.operators import checks as K
 from plenum.operators import graph as G
 from plenum.operators import relational as R
 from plenum.plans.registry import query
@@ -241,6 +242,31 @@ def uniqueness(c: Civic) -> DataFrame:
     return c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("antal")).filter("antal > 1")
 
 
+@query("qa_02_conformity", "SELECT id, CASE WHEN nr IS NULL THEN 'nr' ELSE '' END || CASE WHEN id NOT LIKE 'kf-%' THEN 'id' ELSE '' END AS brister FROM paragraphs WHERE nr IS NULL OR id NOT LIKE 'kf-%'")
+def conformity(c: Civic) -> DataFrame:
+    rows = K.nonconforming(c.paragraphs(), {"nr": None, "id": "^kf-[0-9]+$", "datum": r"^\d{4}-\d{2}-\d{2}$"})
+    return rows.select("id", F.array_join("brister", "").alias("brister"))
+
+
+@query("qa_04_floors", "SELECT namn, antal, golv FROM (SELECT 'paragraf' AS namn, (SELECT count(*) FROM paragraphs) AS antal, 10000000000 AS golv UNION ALL SELECT 'saknas', 0, 1)")
+def floors(c: Civic) -> DataFrame:
+    counts = c.nodes().groupBy(F.col("typ").alias("namn")).agg(F.count("*").alias("antal"))
+    return K.below_floor(counts, {"paragraf": 10_000_000_000, "möte": 1, "saknas": 1}).select("namn", "antal", "golv")
+
+
+@query("qa_09_counts", "SELECT to_id, count(*) AS antal FROM votes GROUP BY 1 HAVING count(*) <> 4")
+def vote_counts(c: Civic) -> DataFrame:
+    rolls = c.votes().groupBy("to_id").agg(F.collect_list("from_id").alias("namn"), F.count("*").alias("antal")).withColumn("sagt", F.lit(4))
+    return K.miscounted(rolls, "namn", "sagt").select("to_id", "antal")
+
+
+@query("src_25_literals", "SELECT p.id, v.namn FROM people p JOIN (VALUES ('P0', 'Norr'), ('P1', 'Söder')) v(parti, namn) ON p.parti = v.parti")
+def literals(c: Civic) -> DataFrame:
+    """A relation that is written in the code, joined like any other."""
+    names = c.spark.createDataFrame([("P0", "Norr"), ("P1", "Söder")], "parti string, namn_ string")
+    return c.people().join(F.broadcast(names), "parti").select("id", F.col("namn_").alias("namn"))
+
+
 @query("qa_05_reconciliation", """
 SELECT ar, floor(d + 0.5) AS delar, floor(t + 0.5) AS totalt, abs(d - t) / t < 0.05 AS inom FROM (SELECT ar, sum(mnkr) AS d FROM grants GROUP BY 1) JOIN (SELECT year(o_orderdate)::INT AS y, sum(o_totalprice) / 1e6 AS t FROM orders GROUP BY 1) ON ar = y
 """)

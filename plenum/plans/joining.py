@@ -143,20 +143,10 @@ def containment(c: Civic) -> DataFrame:
 SELECT d.doc_id, b.item_id, strpos(d.text, b.text) AS plats FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """, plain=True)
 def mentions(c: Civic) -> DataFrame:
-    """Passages in documents, a hit per pair: pairs meet on the passage's first four words, and whole passages are then compared.
+    """Passages in documents, a hit per pair."""
+    from plenum.operators.mentions import mentions as found
 
-    Each document offers its distinct four-word openings once, so the join is an equi-join and grows with the text.
-    """
-    def opening(words):  # the outer transform binds the array, so it is split once
-        return F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ")))[0]
-
-    passages = c.table("benchmark").select("item_id", F.col("text").alias("passage"))
-    passages = passages.withColumn("key", F.array_join(F.slice(F.split("passage", r"\s+"), 2, 4), " "))
-    docs = c.table("documents").select("doc_id", "text")
-    keys = docs.select("doc_id", F.explode(F.array_distinct(opening(F.split("text", r"\s+")))).alias("key"))
-    pairs = keys.join(F.broadcast(passages.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
-    hits = pairs.join(docs, "doc_id").join(passages, "item_id").withColumn("plats", F.instr("text", F.col("passage")).cast("long"))
-    return hits.filter("plats > 0").select("doc_id", "item_id", "plats")
+    return found(c.table("documents"), "doc_id", "text", c.table("benchmark"), "item_id", "text")
 
 
 @query("jon_15_watch_list", "SELECT i.orgnr, p.id, count(*) AS fakturor FROM invoices i JOIN people p ON i.leverantor = p.namn AND p.parti = 'P3' GROUP BY 1, 2")

@@ -136,6 +136,15 @@ def test_reports(spark):
     assert values(E.pages_with(docs(spark, "a b\fB c A\fc"), ["A", "b"]), "sida") == [(1,), (2,)]
 
 
+def test_present_and_handlings(spark):
+    text = "Närvarande\nLedamöter:\nAnna Ek (V)\nErsättare\nBo Alm (M) §§ 1-3\n§ 1\nCia Dal (S)\n"
+    assert values(E.present_by_role(docs(spark, text)), "roll", "namn", "parti") == [("Ersättare", "Bo Alm", "M"), ("Ledamöter", "Anna Ek", "V")]
+    rows = docs(spark, "Enligt handling 2024 nr 7 och Handling 2024  nr 7.").select("doc", F.lit(1).alias("nr"), "text")
+    urls = spark.createDataFrame([("2024 nr 7", "u")], "handling string, url string")
+    texts = spark.createDataFrame([("u", "text")], "url string, innehall string")
+    assert values(E.handling_texts(rows, urls, texts).distinct(), "nr", "handling", "innehall") == [(1, "2024 nr 7", "text")]
+
+
 def test_recipients(spark):
     known = spark.createDataFrame([("Kultur och fritid", "k"), ("Skola", "s")], "namn string, mal string")
     rows = spark.createDataFrame([(1, "Skola och kultur och fritid"), (2, "okänd")], "id int, mottagare string")
@@ -148,6 +157,16 @@ def test_search(spark):
     assert [r.id for r in search(rows, "id", "text", "bilar", take=5).collect()] == [3, 2]
 
 
+def test_mentions_both_ways(spark):
+    from plenum.operators import mentions as M
+
+    texts = spark.createDataFrame([(1, "xa lilla huset vid den stora sjön här; ab"), (2, "ab ab"), (3, None), (4, "")], "id long, text string")
+    names = spark.createDataFrame([(7, "a lilla huset vid den stora sjö"), (8, "ab"), (9, ""), (10, "saknas helt")], "nr long, namn string")
+    want = [(1, 7, 2), (1, 8, 40), (2, 8, 1)]
+    for how in (M.mentions, M._by_openings):
+        assert values(how(texts, "id", "text", names.filter("namn != ''"), "nr", "namn"), "id", "nr", "plats") == want
+
+
 def test_values(spark):
     assert one(spark, S.half_up(F.lit(-2.5))) == -2 and one(spark, S.half_up(F.lit(1.005), 2)) == 1.0
     assert spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "x int").agg(S.upper_median(F.col("x")).alias("m")).first().m == 3
