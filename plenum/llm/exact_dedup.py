@@ -10,7 +10,7 @@ share arrives in every run once, and never in one task with all its rows.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import ROW, stored, with_rows
+from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
 
 FAN_IN = 16
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,11 +22,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _keys(rows: DataFrame, text: str, n_runs: int) -> DataFrame:
-    same = rows.select(F.col("doc_id"), F.col(ROW), normalised(F.col(text)).alias("same"))
+def _keys(rows: DataFrame, text: str, n_runs: int, carried: list[str]) -> DataFrame:
+    same = rows.select(F.col("doc_id"), F.col(ROW), *carried, normalised(F.col(text)).alias("same"))
     return same.select(
         "doc_id",
         ROW,
+        *carried,
         F.unhex(F.sha2(F.col("same").cast("binary"), 256)).alias("digest"),
         F.octet_length("same").alias("n_bytes"),
         F.xxhash64("same").alias("second"),
@@ -57,18 +58,20 @@ def tree_merge(keys: DataFrame, entry: list[str], first: Column, levels: int) ->
     return won
 
 
-def decided(rows: DataFrame, text: str = "text") -> DataFrame:
-    """A row per row of ``rows`` (which carries ROW): doc_id, ROW, digest, keep_id, group_size, kept.
+def decided(rows: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """A row per row of ``rows`` (which carries ROW): doc_id, ROW, digest, keep_id, group_size, kept, and columns ``carried``.
 
     Of equal texts the row with the smallest doc_id is kept, null ids last; among rows with the same id, one.
     """
     levels = n_levels(rows)
-    keys = stored(_keys(rows, text, FAN_IN**levels), "digests")
+    carried = carried or []
+    keys = stored(_keys(rows, text, FAN_IN**levels, carried), "digests")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col(ROW).alias("keep_row"))
     won = tree_merge(keys, ENTRY, first, levels)
     return keys.join(won, ["run0", *ENTRY], "left").select(
         "doc_id",
         ROW,
+        *carried,
         "digest",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -89,6 +92,5 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def without_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stay."""
-    rows = with_rows(docs)
-    dropped = decided(rows.select(ROW, "doc_id", F.col(text).alias("text"))).filter(~F.col("kept")).select(ROW)
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    rows = keyed(docs).select(*KEY, "doc_id", F.col(text).alias("text")).withColumn(ROW, F.monotonically_increasing_id())
+    return emitted(docs, decided(rows, carried=KEY), "kept")

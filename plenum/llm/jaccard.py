@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.exact_dedup import FAN_IN, n_levels
-from plenum.llm.scratch import ROW, stored, with_rows
+from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
 
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -98,7 +98,7 @@ def n_prefix(n: int) -> int:
 
 # ---- 1. sets --------------------------------------------------------------------------------------------------------------
 
-SIGNED = f"doc_id long, {ROW} long, n long, sig binary, hash long, seen long"
+SIGNED = f"doc_id long, {ROW} long, {KEY[0]} long, {KEY[1]} long, n long, sig binary, hash long, seen long"
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -113,12 +113,12 @@ def _signed(rows: DataFrame) -> DataFrame:
             often = counts >= max(3, -(-size >> HEAVY_BITS))
             hashes, counts = hashes[often], counts[often]
             none = pa.nulls(len(hashes), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], names)
 
         names = [x.split()[0] for x in SIGNED.split(", ")]
         for batch in batches:
             n, sigs = [], []
-            for t in batch.column(2):
+            for t in batch.column(4):
                 h = shingles(t.as_py())
                 n.append(len(h))
                 sigs.append(signature(h) if len(h) else None)
@@ -130,11 +130,12 @@ def _signed(rows: DataFrame) -> DataFrame:
                         yield frequent()
                         held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
         if held:
             yield frequent()
 
-    return stored(rows.select("doc_id", ROW, "text").mapInArrow(sign, SIGNED), "signed")
+    keys = [F.col(k) if k in rows.columns else F.lit(None).cast("long").alias(k) for k in KEY]
+    return stored(rows.select("doc_id", ROW, *keys, "text").mapInArrow(sign, SIGNED), "signed")
 
 
 # ---- 2. crowded sets ------------------------------------------------------------------------------------------------------
@@ -366,9 +367,9 @@ def _leaf(cells: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """A row per row: doc_id, ROW, n_shingles, component_id, is_first (one row of each component)."""
+    """A row per row: doc_id, ROW, KEY, n_shingles, component_id, is_first (one row of each component)."""
     signed = _signed(rows)
-    docs = signed.filter(F.col(ROW).isNotNull()).select("doc_id", ROW, "n", "sig").withColumn("run", F.pmod(F.xxhash64(ROW), F.lit(FAN_IN ** n_levels(rows))))
+    docs = signed.filter(F.col(ROW).isNotNull()).select("doc_id", ROW, *KEY, "n", "sig").withColumn("run", F.pmod(F.xxhash64(ROW), F.lit(FAN_IN ** n_levels(rows))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(ROW).alias("row"))).alias("first")
     per_sig = docs.filter("sig is not null").groupBy("sig").agg(first)
     labels = _components(_links(_crowded(rows, signed)))
@@ -376,8 +377,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     best = labels.join(per_comp, "comp").select("sig", "best")
     per_sig = per_sig.join(best, "sig", "left").select("sig", F.coalesce("best", "first").alias("first"))
     named = _spread(docs.filter("sig is not null"), per_sig, ["sig"])
-    named = named.select("doc_id", ROW, F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col(ROW)).alias("is_first"))
-    empty = docs.filter("sig is null").select("doc_id", ROW, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
+    named = named.select("doc_id", ROW, *KEY, F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col(ROW)).alias("is_first"))
+    empty = docs.filter("sig is null").select("doc_id", ROW, *KEY, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
     return named.unionByName(empty)
 
 
@@ -393,6 +394,5 @@ def components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, one of each component: the smallest doc_id's."""
-    rows = with_rows(docs)
-    dropped = _classes(rows.select(ROW, "doc_id", "text")).filter(~F.col("is_first")).select(ROW)
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    rows = keyed(docs).select(*KEY, "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    return emitted(docs, _classes(rows), "is_first")

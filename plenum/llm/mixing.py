@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import ROW, stored, with_rows
+from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
 
 # Weights of the sources in code-point order, repeating; all targets' share of all sizes; a source's most.
 WEIGHTS = (5, 2, 1)
@@ -88,8 +88,5 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, each as often as the mix takes it."""
-    rows = with_rows(docs)
-    sized = stored(rows.select(ROW, "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    taken = copies(sized).filter("copies > 0").select(ROW, F.col("copies").alias("_plenum_copies"))
-    again = rows.join(taken, ROW)
-    return again.withColumn("_plenum_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_plenum_copies"))).select(*docs.columns)
+    rows = keyed(docs).select(*KEY, "doc_id", "source", n_words(F.col("text")).alias("size")).withColumn(ROW, F.monotonically_increasing_id())
+    return emitted(docs, copies(stored(rows, "sizes")), "copies")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW = "_plenum_row"
@@ -32,6 +32,28 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """``df`` stored with a number per row: an identity for rows that may be equal in every column, or have no id."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+KEY = ["_plenum_k1", "_plenum_k2"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with two hashes over all columns, nulls told apart: rows with equal ones are equal in every column."""
+    values = [x for c in df.columns for x in (df[c], df[c].isNull())]
+    return df.withColumns({k: F.xxhash64(F.lit(i), *values) for i, k in enumerate(KEY)})
+
+
+def emitted(df: DataFrame, decisions: DataFrame, times: str) -> DataFrame:
+    """The rows of ``df``, columns unchanged, each as often as ``decisions`` (a row per row: KEY and ``times``) says.
+
+    Equal rows share their number.  The narrow side is hashed and ``df`` streams past it, at every size alike, so that texts
+    are shuffled once and neither sorted nor stored.
+    """
+    wanted = decisions.groupBy(*KEY).agg(F.sum(F.col(times).cast("long")).alias("_plenum_wanted"), F.count("*").alias("_plenum_rows"))
+    wanted = stored(wanted.filter("_plenum_wanted > 0"), "wanted")
+    joined = keyed(df).join(wanted.hint("shuffle_hash"), KEY)
+    if not wanted.filter("_plenum_rows > 1").isEmpty():
+        nth = F.when(F.col("_plenum_rows") > 1, F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY))).otherwise(1)
+        upto = lambda k: F.floor(F.col("_plenum_wanted") * k / F.col("_plenum_rows"))
+        joined = joined.withColumn("_plenum_wanted", upto(nth) - upto(nth - 1)).filter("_plenum_wanted > 0")
+    if wanted.filter("_plenum_wanted > _plenum_rows").isEmpty():
+        return joined.select(*df.columns)
+    return joined.withColumn("_plenum_wanted", F.explode(F.sequence(F.lit(1).cast("long"), "_plenum_wanted"))).select(*df.columns)
