@@ -37,51 +37,49 @@ PAGE_HEADER = "X-Page-Id"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _n_files(df: DataFrame, size: Column) -> int:
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-total // FILE_BYTES))
+def _records_per_file(df: DataFrame, size: Column) -> int:
+    """So many records of average size as make FILE_BYTES."""
+    total, n = df.agg(F.sum(size), F.count("*")).first()
+    return max(1, FILE_BYTES * n // max(1, total or 0))
+
+
+def _write_files(records: DataFrame, separator: str, per_file: int, path: str) -> None:
+    """Records (one column) by the text sink, in the order and the partitions that they have: nothing is shuffled to write."""
+    writer = records.write.option("lineSep", separator).option("maxRecordsPerFile", per_file)
+    writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
-    """Pages (page_id, url, html) as ARC files below ``path``: odd files in version 2, even ones in version 1.
+    """Pages (page_id, url, html) as ARC files below ``path``, in turn in version 1 and 2.
 
-    The body of a record is an HTTP response.  White space in an address is percent-encoded, a null one is ``unknown:``.
+    The body of a record is an HTTP response.  White space in an address is percent-encoded, a null one is ``unknown:``.  A
+    task starts a file every so many records, so the record that starts one carries the file's opening.
     """
+    per_file = _records_per_file(pages, F.octet_length("html"))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.regexp_replace(F.col("url"), r"\s", "%20"), F.lit("")).alias("url"),
+        F.coalesce(F.nullif(F.regexp_replace(F.col("url"), r"\s", "%20"), F.lit("")), F.lit("unknown:")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
         F.monotonically_increasing_id().alias("nth"),
     )
-    n_files = _n_files(pages, F.octet_length("html"))
-    url = F.when(F.col("url") == "", F.lit("unknown:")).otherwise(F.col("url"))
+    place = F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))  # within the task, from 0
+    name = F.concat_ws("-", F.lit("pages"), F.shiftright("nth", 33).cast("string"), F.floor(place / per_file).cast("string"))
     page = F.coalesce(F.concat(F.lit(f"{PAGE_HEADER}: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), page, F.lit("\r\n"), F.col("html"))
     seconds = F.coalesce(F.pmod("page_id", F.lit(20 * 365 * 86400)), F.lit(0))
     date = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + seconds).cast("timestamp_ntz"), "yyyyMMddHHmmss")
-    file = F.pmod(F.xxhash64("nth"), F.lit(n_files)).cast("int")
-    length = F.octet_length("body").cast("string")
-    first = F.concat_ws(" ", F.col("url"), F.lit("0.0.0.0"), F.col("date"), F.lit("text/html"))
-    second = F.concat_ws(" ", first, F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.concat(F.lit("pages-"), F.col("file"), F.lit(".arc")))
-    records = (
-        rows.select(file.alias("file"), F.col("nth"), url.alias("url"), date.alias("date"), body.alias("body"))
-        .select("file", "nth", F.concat(F.when(F.col("file") % 2 == 1, second).otherwise(first), F.lit(" "), length, F.lit("\n"), F.col("body")).alias("value"))
-    )
+    rows = rows.select("url", date.alias("date"), body.alias("body"), name.alias("name"), (place % per_file == 0).alias("opens"), (F.floor(place / per_file) % 2 == 1).alias("second"))
 
     def opening(version: int) -> Column:
         text = f"{version} 0 plenum\n{ARC_FIELDS[version]}\n"
         more = " 200 - - 0 -" if version == 2 else ""
-        return F.concat(F.lit("filedesc://pages-"), F.col("file"), F.lit(f".arc 0.0.0.0 {EPOCH:%Y%m%d%H%M%S} text/plain{more} {len(text)}\n{text}"))
-
-    openings = pages.sparkSession.range(n_files).select(F.col("id").cast("int").alias("file"), F.lit(-1).cast("long").alias("nth"))
-    openings = openings.withColumn("value", F.when(F.col("file") % 2 == 1, opening(2)).otherwise(opening(1)))
-    _write_files(records.unionByName(openings), "\n", path)
-
+        return F.concat(F.lit("filedesc://"), F.col("name"), F.lit(f".arc 0.0.0.0 {EPOCH:%Y%m%d%H%M%S} text/plain{more} {len(text)}\n{text}\n"))
 
-def _write_files(records: DataFrame, separator: str, path: str) -> None:
-    """Records (file, nth, value), each file in order of nth, by the text sink."""
-    records = records.repartition("file").sortWithinPartitions("file", "nth").select("file", "value")
-    records.write.partitionBy("file").option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    header = F.concat_ws(" ", F.col("url"), F.lit("0.0.0.0"), F.col("date"), F.lit("text/html"))
+    header = F.when(F.col("second"), F.concat_ws(" ", header, F.lit("200 - - 0"), F.concat("name", F.lit(".arc")))).otherwise(header)
+    record = F.concat(header, F.lit(" "), F.octet_length("body").cast("string"), F.lit("\n"), F.col("body"))
+    first = F.when(F.col("opens"), F.when(F.col("second"), opening(2)).otherwise(opening(1))).otherwise(F.lit(""))
+    _write_files(rows.select(F.concat(first, record).alias("value")), "\n", per_file, path)
 
 
 # ---- reading ARC ----------------------------------------------------------------------------------------------------------
@@ -201,10 +199,8 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
         return pd.Series([to_warc(*x) for x in zip(url, date, body, to, strict=True)])
 
     bodies = read_arc(spark, arc, bodies=True).join(refers, ["arc", "at"], "left")
-    n_files = _n_files(keys, F.col("n_bytes"))
-    file = F.pmod(F.xxhash64("arc", "at"), F.lit(n_files)).cast("int").alias("file")
-    records = bodies.select(file, F.xxhash64("arc", "at").alias("nth"), record("url", "date", "body", "refers").cast("string").alias("value"))
-    _write_files(records, "\r\n", warc)
+    records = bodies.select(record("url", "date", "body", "refers").cast("string").alias("value"))
+    _write_files(records, "\r\n", _records_per_file(keys, F.col("n_bytes")), warc)
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
