@@ -2,11 +2,15 @@
 
 import gzip
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,6 +110,38 @@ def test_quality_bands(spark, docs):
     assert quality.passing(docs).count() == sum(r.kept for r in out)
 
 
+def noise(n, seed, form):
+    """Random words of 4 to 12 characters, about n bytes."""
+    rng, letters = random.Random(seed), string.hexdigits[:16] if form == "hex" else string.ascii_letters + string.digits + "+/"
+    return " ".join("".join(rng.choices(letters, k=rng.randint(4, 12))) for _ in range(n // 4))[:n]
+
+
+def kept(text):
+    return quality.measure(text, quality.zstandard.ZstdCompressor(level=quality.LEVEL))[-1]
+
+
+def labelled():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    texts = texts.merge(pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas(), on="doc_id")
+    got = pd.DataFrame([quality.measure(t, quality.zstandard.ZstdCompressor(level=quality.LEVEL)) for t in texts.text], columns=quality.FIELDS.names)
+    return pd.concat([texts, got], axis=1)
+
+
+def test_noise_is_rejected_at_each_length():
+    for seed in range(5):
+        for n in (200, 400, 600, 1000, 1500, 3000, 6000, 20000, 100000):
+            assert not kept(noise(n, seed, "base64")), n
+        for n in (5000, 10000, 20000, 100000):  # shorter hexadecimal words compress like prose; the README says so
+            assert not kept(noise(n, seed, "hex")), n
+
+
+def test_labelled_rows_against_bands():
+    found = labelled()
+    good, poor = (found[(found.quality == k) & ~found.base_failed] for k in (1, 0))
+    assert len(good) > 3000 and good.kept.all()
+    assert poor.kept.sum() < 160  # of 301; the rest lies within the range of good rows of its length
+
+
 # ---- 3 ----
 
 NAIVE = [
