@@ -1,6 +1,6 @@
 """Quality rules: compression bands.
 
-Zstandard ratios (raw bytes over compressed bytes) of the whole document and of fixed chunks reject text that is too
+Zstandard ratios (raw bytes over compressed bytes) of the whole document and of chunks of two sizes reject text that is too
 repetitive (ratio above a limit) or incompressible (below one).  Short texts compress little and long ones more, so the
 limits belong to length classes.
 """
@@ -20,8 +20,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 LEVEL = 3
-CHUNK_BYTES = 8192
-#: Share of a document's chunks that may lie outside the band of their length.
+#: Sizes of the chunks; a text under two chunks of a size has none of that size, and a rest belongs to the last chunk.
+CHUNK_BYTES = (1024, 8192)
+#: Share of a document's chunks of one size that may lie outside the band of their length.
 BAD_CHUNK_SHARE = 0.2
 #: Fixed values: (bytes up to, lowest ratio, highest ratio).  In half octaves, about 2 % outside the range of the 86 175 rows of
 #: check_l that are labelled as good and pass the base rules, and of their chunks.  Under 45 and over 65 536 bytes there are too
@@ -67,6 +68,18 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def outside(raw: bytes, size: int, packer: zstandard.ZstdCompressor) -> tuple[int, int]:
+    """Number of chunks of a size, and of those outside the band of their length; every byte lies in one of them."""
+    n, bad = len(raw) // size, 0
+    if n < 2:
+        return 0, 0
+    for k in range(n):
+        part = raw[k * size : (k + 1) * size if k < n - 1 else len(raw)]
+        low, high = band(len(part))
+        bad += not low <= len(part) / len(packer.compress(part)) <= high
+    return n, bad
+
+
 def measure(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     """The values of FIELDS for one whole text; null has no words and fails."""
     text = text or ""
@@ -76,14 +89,9 @@ def measure(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     ratio = len(raw) / len(packer.compress(raw)) if raw else 0.0
     low, high = band(len(raw))
-    chunks = bad = 0
-    if len(raw) > CHUNK_BYTES:
-        for at in range(0, len(raw) - CHUNK_BYTES // 2, CHUNK_BYTES):  # a last piece under half a chunk belongs to none
-            part = raw[at : at + CHUNK_BYTES]
-            a, b = band(len(part))
-            chunks += 1
-            bad += not a <= len(part) / len(packer.compress(part)) <= b
-    kept = not failed and low <= ratio <= high and bad <= BAD_CHUNK_SHARE * chunks
+    tested = [outside(raw, size, packer) for size in CHUNK_BYTES]
+    chunks, bad = map(sum, zip(*tested, strict=True))
+    kept = not failed and low <= ratio <= high and all(k <= BAD_CHUNK_SHARE * n for n, k in tested)
     return (len(words), sum(map(len, words)), len(SYMBOL.findall(text)), duplicate_lines(text), repeats, failed, ratio, chunks, bad, kept)
 
 

@@ -142,6 +142,18 @@ def test_labelled_rows_against_bands():
     assert poor.kept.sum() < 160  # of 301; the rest lies within the range of good rows of its length
 
 
+@pytest.mark.parametrize("clean,bad", [(4096, 4096), (2000, 2000), (5000, 3000), (8192, 4096), (400, 400), (20000, 8000)])
+def test_every_byte_lies_in_a_tested_chunk(clean, bad):
+    good = labelled()
+    text = next(t for t in good[(good.quality == 1) & good.kept].text if t.isascii() and len(t) >= clean)[:clean]
+    assert kept(text)
+    for mixed in (text + noise(bad, 1, "base64"), noise(bad, 2, "base64") + text):
+        assert not kept(mixed)
+    for size in quality.CHUNK_BYTES:
+        n = quality.outside(b"x" * (2 * size + size // 2), size, quality.zstandard.ZstdCompressor(level=quality.LEVEL))
+        assert n == (2, 2)
+
+
 # ---- 3 ----
 
 NAIVE = [
