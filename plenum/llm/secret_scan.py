@@ -26,7 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more
 ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A whole run, also one after or before an equals sign (name=value, ?sig=value); one or two at its end are padding.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Known digests and identifiers: hexadecimal of a digest's length with or without its name, UUIDs, digits with separators.
 KNOWN = re.compile(
     r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_/]?)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"

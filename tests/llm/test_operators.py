@@ -181,6 +181,14 @@ def test_random_strings_and_known_digests(spark):
     assert r.base_sha256 == hashlib.sha256(b"assign:29:43").hexdigest()
 
 
+def test_random_values_after_an_equals_sign():
+    v, value = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), "oHwLq7Zp2VxT9kLw4RbN8sYhc3Jd6FgK"
+    for text in ("AccountKey={}==;x", "access_key={}", "https://x.io/a?sig={}&v=1", "A_LONG_NAME_OF_A_VARIABLE={}", "access_key: {}", "{}=1"):
+        start = text.index("{}")
+        spans = secret_scan.random_spans(text.format(value), [], v)
+        assert [(s, e) for s, e, _ in spans] == [(start, start + len(value) + 2 * ("}==" in text))], text
+
+
 # ---- 4 ----
 
 
