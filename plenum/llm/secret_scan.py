@@ -3,7 +3,8 @@
 Base kinds (leftmost, non-overlapping per kind): ``assign`` a key word, a separator and a value, ``access`` an access-key
 id, ``hex`` a long run of hexadecimal digits.  The method adds kind ``random``: runs of key characters whose characters per
 token under a byte-level BPE vocabulary are few.  Words and their compounds, in whatever language, take 2 characters a token
-or more; random strings take less.  Known digests, UUIDs, plain numbers and identifiers made of words are left out first.
+or more; random strings take less.  Known digests, UUIDs and plain numbers are left out first; in a run
+shaped like an identifier, each letter part that is a word by that measure is left out.
 """
 
 import base64
@@ -34,8 +35,11 @@ KNOWN = re.compile(
     r"|(?:urn[-_/])?(?:uuid[-_/])?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9+/_=-]+",
     re.I,
 )
-#: Identifiers made of words: letter parts between separators or before digits, each of one case or capitalised.
+#: Shape of identifiers made of words: letter parts between separators or before digits, each of one case or capitalised.
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}(?:[_/+-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))*[_/+=-]*")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Letters in parts that are no words, from which a run of that shape is reported; abbreviations in identifiers have fewer.
+ODD_LETTERS = 12
 CHARS_PER_TOKEN = 2.0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -61,11 +65,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def odd_letters(run: str, vocabulary: str) -> int:
+    """Letters of a run in parts with few characters a token, as they stand and in lower case: such parts are no words."""
+    tokens = lambda x: len(encoding(vocabulary).encode_ordinary(x))
+    return sum(len(x) for x in PART.findall(run) if len(x) < CHARS_PER_TOKEN * min(tokens(x), tokens(x.lower())))
+
+
 def is_random(run: str, vocabulary: str) -> bool:
-    if KNOWN.fullmatch(run) or WORDS.fullmatch(run):
-        return False
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) and not (any(c.islower() for c in run) and any(c.isupper() for c in run)):
+    if KNOWN.fullmatch(run):
         return False
+    one_case = (run.islower() or run.isupper()) and not any(map(str.isdigit, run))
+    if WORDS.fullmatch(run.lstrip("_/+-") if one_case else run):
+        return odd_letters(run, vocabulary) >= ODD_LETTERS
     return len(run) < CHARS_PER_TOKEN * len(encoding(vocabulary).encode_ordinary(run))
 
 

@@ -189,6 +189,20 @@ def test_random_values_after_an_equals_sign():
         assert [(s, e) for s, e, _ in spans] == [(start, start + len(value) + 2 * ("}==" in text))], text
 
 
+def test_identifiers_are_told_by_their_words():
+    v, rng = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), random.Random(1)
+    for found in ("zlqhnkjppxrywzrewzxosfvohbwzcukd", "HTWBPBSIWZNZICPAFKPEBWIYXJLNQPOQ", "production_database_zlqhnkjppxrywzrewzxo"):
+        assert secret_scan.is_random(found, v)
+    for harmless in ("_HAVE_POSIX_SPAWN_CLOSEFROM", "verwaltungsgerichtsverfahren", "MAX_HTTP_REQUEST_RETRIES", "/usr/local/share/doc/notes", "report2024-final_version-12"):
+        assert not secret_scan.is_random(harmless, v)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert sum(secret_scan.is_random("".join(rng.choices(letters, k=24)), v) for _ in range(400)) > 360
+        joined = ["-".join("".join(rng.choices(letters, k=rng.randint(4, 6))) + str(rng.randint(1, 9999)) for _ in range(5)) for _ in range(400)]
+        assert sum(secret_scan.is_random(x, v) for x in joined) > 280
+    words = {w for (t,) in pq.read_table(f"{SF.replace('0.001', '0.1')}/documents.parquet", columns=["text"]).to_pandas().itertuples(index=False) for w in re.findall(r"[A-Za-z]{20,}", t or "")}
+    assert len(words) > 20 and not any(secret_scan.is_random(w, v) for w in words if not w.startswith("AKIA"))
+
+
 # ---- 4 ----
 
 
