@@ -9,6 +9,7 @@ manifest names are never read.
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ TIER_BASE = 1 << 20
 TIER = 4
 MERGE_AT = 4
 SEALED = 0.75
+#: Since Spark 4.1 a union of single partitions is one partition; here each has to become a file.
+UNION_KEEPS = "spark.sql.unionOutputPartitioning"
+#: The query's arrivals: one per so many bytes of text, and at least so many; compacted after every MERGE_AT of them.
+ARRIVAL_BYTES = 256 << 20
+LEAST_ARRIVALS = 20
 
 
 class ShardStore:
@@ -82,8 +88,11 @@ class ShardStore:
     def _run(self, name: str, shards: list[dict]) -> dict:
         return {"run": name, "tier": self._tier(sum(s["bytes"] for s in shards)), "shards": shards}
 
-    def append(self, arrivals: DataFrame, by: str | None = None) -> dict:
-        """One run per value of column ``by`` (one run without it), each committed as a version; the column is not kept."""
+    def append(self, arrivals: DataFrame, by: str | None = None, compact_after: int | None = None) -> dict:
+        """One run per value of column ``by`` (one run without it), each committed as a version; the column is not kept.
+
+        With ``compact_after`` the runs are compacted whenever so many have been added.
+        """
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         kept = arrivals.drop(by) if by else arrivals
         writer = arrivals.write.option("compression", "zstd")
@@ -92,36 +101,68 @@ class ShardStore:
         if by:
             folders = sorted(x.getPath().toString() for x in self._fs.listStatus(self._hadoop.Path(folder)) if x.isDirectory())
         now = self.manifest()
-        for one in folders:
+        for k, one in enumerate(folders, 1):
             if shards := self._shards(one):
                 now = self._commit(now, [*now["runs"], self._run(one.rpartition("/data/")[2], shards)], kept.schema.json())
+            if compact_after and k % compact_after == 0:
+                now = self.compact()
         return now
 
-    def compact(self) -> dict:
-        """Merge similarly sized runs until no tier holds MERGE_AT that have shards to merge; a version per merge."""
+    def _bins(self, loose: list[dict]) -> list[list[str]]:
+        """Loose shards dealt into files of SEALED to twice that of the target; what remains goes to the last one."""
+        bins, size = [[]], 0
+        for shard in loose:
+            if size >= SEALED * self.target:
+                bins, size = [*bins, []], 0
+            bins[-1].append(shard["path"])
+            size += shard["bytes"]
+        if len(bins) > 1 and size < SEALED * self.target / 2:
+            bins[-2:] = [bins[-2] + bins[-1]]
+        return bins
+
+    def _merge(self, now: dict, runs: list[dict]) -> dict:
+        merging = {r["run"] for r in runs}
+        every = [s for r in runs for s in r["shards"]]
+        sealed = [s for s in every if s["bytes"] >= SEALED * self.target]
+        loose = [s for s in every if s["bytes"] < SEALED * self.target]
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        made = []
+        if loose:
+            schema = self._schema(now)
+            files = [self.spark.read.schema(schema).parquet(*paths).coalesce(1) for paths in self._bins(loose)]
+            was = self.spark.conf.get(UNION_KEEPS, None)
+            self.spark.conf.set(UNION_KEEPS, "false")
+            try:
+                reduce(DataFrame.union, files).write.option("compression", "zstd").parquet(folder)
+            finally:
+                self.spark.conf.unset(UNION_KEEPS) if was is None else self.spark.conf.set(UNION_KEEPS, was)
+            made = self._shards(folder)
+        merged = self._run(folder.rpartition("/data/")[2], sealed + made)
+        merged["tier"] = max(merged["tier"], max(r["tier"] for r in runs) + 1)
+        return self._commit(now, [r for r in now["runs"] if r["run"] not in merging] + [merged], now["schema"])
+
+    def _unsealed(self, run: dict) -> bool:
+        return any(s["bytes"] < SEALED * self.target for s in run["shards"])
+
+    def compact(self, full: bool = False) -> dict:
+        """Merge similarly sized runs until no tier holds MERGE_AT that have shards to merge; a version per merge.
+
+        ``full``: then also merge what is still loose, in whatever tier.
+        """
         while True:
             now = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for run in now["runs"]:
-                if len(run["shards"]) > 1 or run["shards"][0]["bytes"] < SEALED * self.target:
+                if len(run["shards"]) > 1 or self._unsealed(run):
                     tiers.setdefault(run["tier"], []).append(run)
             ready = [runs for _, runs in sorted(tiers.items()) if len(runs) >= MERGE_AT]
             if not ready:
-                return now
-            merging = {r["run"] for r in ready[0]}
-            every = [s for r in ready[0] for s in r["shards"]]
-            sealed = [s for s in every if s["bytes"] >= SEALED * self.target]
-            loose = [s for s in every if s["bytes"] < SEALED * self.target]
-            folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            made = []
-            if loose:
-                files = -(-sum(s["bytes"] for s in loose) // self.target)
-                rows = self.spark.read.schema(self._schema(now)).parquet(*[s["path"] for s in loose])
-                rows.coalesce(files).write.option("compression", "zstd").parquet(folder)
-                made = self._shards(folder)
-            merged = self._run(folder.rpartition("/data/")[2], sealed + made)
-            merged["tier"] = max(merged["tier"], ready[0][0]["tier"] + 1)
-            self._commit(now, [r for r in now["runs"] if r["run"] not in merging] + [merged], now["schema"])
+                break
+            self._merge(now, ready[0])
+        loose = [r for r in now["runs"] if self._unsealed(r)]
+        if full and sum(len(r["shards"]) for r in loose) > 1:
+            return self._merge(now, loose)
+        return now
 
     def vacuum(self) -> int:
         """Delete data files that the newest manifest does not name; returns how many. For use when no older reader is left."""
@@ -149,20 +190,30 @@ class ShardStore:
         return self.spark.read.schema(self._schema(now)).parquet(*paths)
 
 
-def arrivals_compacted(docs: DataFrame) -> DataFrame:
-    """Documents appended in five arrivals (four eighths and a half, by a hash of doc_id), compacted and read back.
+def arrive(store: ShardStore, docs: DataFrame) -> None:
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    wanted = max(LEAST_ARRIVALS, -(-n_bytes // ARRIVAL_BYTES))
+    tasks = max(1, docs.rdd.getNumPartitions())
+    together, apart = max(1, tasks // wanted), -(-wanted // tasks)
+    arrival = F.floor(F.spark_partition_id() / together) * apart + F.pmod(F.xxhash64("doc_id"), F.lit(apart))
+    store.append(docs.withColumn("_plenum_arrival", arrival), by="_plenum_arrival", compact_after=MERGE_AT)
+    if store.versions():
+        store.compact(full=True)
+
+
+def arrivals_compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Documents appended in arrivals whose number grows with the input, compacted on the way and at the end, and read back.
 
     A row per document: doc_id, text_crc32 and n_bytes of the text read back (null: null), shard, shard_bytes and run (the
     names in the committed manifest).  Repeated rows and nulls are kept as they are; an empty table gives no rows.  All columns
-    of ``docs`` are stored; one named ``_plenum_arrival`` would be lost.
+    of ``docs`` are stored; one named ``_plenum_arrival`` would be lost.  An arrival holds the rows of some neighbouring
+    partitions, so that a task writes one file, or of few partitions a part by a hash of doc_id.
     """
     spark = docs.sparkSession
-    store = ShardStore(spark, shared_dir(spark))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
-    store.append(docs.withColumn("_plenum_arrival", F.least(part, F.lit(4))), by="_plenum_arrival")
+    store = ShardStore(spark, shared_dir(spark), target_bytes)
+    arrive(store, docs)
     if not store.versions():
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_crc32"), F.lit(0).cast("long").alias("n_bytes"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit("").alias("run"))
-    store.compact()
     return store.read().select(
         "doc_id",
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),

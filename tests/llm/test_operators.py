@@ -339,6 +339,20 @@ def test_dissimilar_runs_are_left_alone(spark, docs, tmp_path):
     assert store.compact()["version"] == 3
 
 
+@pytest.mark.parametrize("target,tier,least", [(200_000, 1, 4), (600_000, 2, 2)])
+def test_arrivals_cascade_into_shards_near_the_target(spark, tmp_path, target, tier, least):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=target)
+    sharding.arrive(store, docs)
+    versions = [store.manifest(v) for v in store.versions()]
+    assert len(versions) > 20 and max(r["tier"] for m in versions for r in m["runs"]) >= tier  # 2: merged runs were merged again
+    sizes = sorted(s["bytes"] for r in store.manifest()["runs"] for s in r["shards"])
+    assert len(sizes) >= least and all(0.5 * store.target < x < 2 * store.target for x in sizes[1:])  # the first may be a remainder
+    assert sorted(store.read().collect()) == sorted(docs.collect())
+    out = sharding.arrivals_compacted(docs)
+    assert out.select("shard").distinct().count() == 1 and out.count() == docs.count()  # all of it is less than one shard
+
+
 # ---- 9 ----
 
 
