@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Bounds of the model: labelled texts used for fitting (about), and languages; both bound what is broadcast or collected.
+#: Labelled texts used for fitting (about).
 TRAINING_DOCS = 50_000
-MAX_LANGUAGES = 256
+#: No language is left out; a model of more (256 MB as broadcast) is an error.
+MAX_LANGUAGES = 2048
 #: Texts are counted in steps of so many characters, so a long text needs no more memory than a short one.
 STEP = 1 << 20
 UNKNOWN = "und"
@@ -57,7 +58,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, TRAINING_DOCS / max(1, rows.select(lang).count()))
-    rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    by_hash = F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key))
+    rows = rows.filter(F.pmod(by_hash, F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
@@ -72,14 +74,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     # A task gives a language at most BUCKETS cells; they are summed per bucket before they are listed.
     totals = (
         rows.mapInArrow(sums, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.sum("n").alias("total"))
+        .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
     )
-    found = sorted(totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect(), key=lambda r: r.lang)
-    counts = np.full((len(found), BUCKETS), SMOOTHING, np.float64)
+    found = sorted(totals.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    logp = np.empty((len(found), BUCKETS), np.float32)
     for i, r in enumerate(found):
+        counts = np.full(BUCKETS, SMOOTHING, np.float64)
         for bucket, n in r.cells:
-            counts[i, bucket] += n
-    return [r.lang for r in found], np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+            counts[bucket] += n
+        logp[i] = np.log(counts / counts.sum())
+    return [r.lang for r in found], logp
 
 
 def score(text: str | None, langs: list[str], logp: np.ndarray) -> tuple[str, float]:

@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plenum.llm import dac, exact_dedup, jaccard, langid, mixing, packing, quality, queries, secret_scan, sharding, tokens, warc
@@ -296,6 +297,15 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_rare_languages_and_null_keys_are_learned(spark, monkeypatch):
+    many = spark.createDataFrame([(i, chr(0x4E00 + i) * (400 - i), f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    langs, logp = langid.fit(many)
+    assert len(langs) == 300 and langid.score(chr(0x4E00 + 299), langs, logp)[0] == "l299"
+    monkeypatch.setattr(langid, "TRAINING_DOCS", 100)
+    some = langid.fit(many.withColumn("doc_id", F.lit(None).cast("long")))[0]
+    assert 60 < len(some) < 140  # an even sample, not all or none
+
+
 def test_language_scores_by_hand():
     text = "Abc abc"
     langs, logp = ["aa", "bb"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)).astype(np.float32)
