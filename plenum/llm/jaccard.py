@@ -5,30 +5,38 @@ Jaccard distance is a metric, so what a document's distance to a pivot says abou
 1. Sets.  Every whole text becomes a set of 64-bit hashes of its shingles and a 128-bit signature of the set; equal sets are
    one point of the space from here on.
 2. Isolated points.  A set whose partners can differ in at most k - 1 of its shingles has no partner if k of them occur in no
-   other set.  Hashes are dealt by range, packed and sorted; those that occur once are counted away.  What is left of the
-   corpus ("crowded" sets) keeps its shared hashes, which is all that intersections need.
-3. Cells.  Two crowded sets within the radius share one of their k rarest shingles.  Each such shingle opens a cell.
-4. Pivots.  In each cell pivots are drawn by hash and every member's exact distance to them is computed once per pair.
-   Members within the radius of a pivot are linked to it; members of one component need no further comparison.
+   other set.  Hashes are dealt by range, packed, sorted and counted within a task first; those that occur once are counted
+   away.  What is left of the corpus ("crowded" sets) keeps its shared hashes, which is all that intersections need.
+3. Cells.  Shingles have one order: rare ones first.  Two crowded sets within the radius share one of their k rarest shingles,
+   and the first one they share opens the cell in which they meet.  A shingle that comes late in a set's order leaves room for
+   small partners only, so members for whom every other member is too large leave the cell.
+4. Pivots.  In each cell pivots are drawn: the member with the least share of shingles of its own, which lies in the middle of
+   a group of near copies, and in large cells others by hash.  Every member's exact distance to them is computed once per
+   pair.  Members within the radius of a pivot are linked to it; members of one component need no further comparison.
 5. Regions.  In a cell that holds several components, members go to the nearest pivot's region, and by the triangle
    inequality also to each region whose pivot is at most two radii further away (the boundary window).  Regions are cells of
-   the next level, with pivots of their own; small ones, and those of the last level, are joined within the windows
-   |d(x, p) - d(y, p)| <= radius.  Of a cell's largest component members meet members of others only.
+   the next level, with pivots of their own, until they have CELL members at most or no longer shrink.  Then they are joined
+   within the windows |d(x, p) - d(y, p)| <= radius.  Members outside a cell's largest component meet all members; those
+   inside it are never compared with each other.
 6. Sketches.  The symmetric difference is a metric, too, and folding a set's hashes into parities of SKETCH * 64 counters never
    makes it larger.  Pairs whose parities already differ in more places than the radius allows are left out in the join itself.
 
 No candidate is dropped at any level: each step only leaves out pairs that cannot be within the radius, or whose documents
-already are in one component.
+already are in one component.  What no pivot can tell apart is compared: sets that all lie between one and two radii from each
+other and share most of their rare shingles cost a sketch comparison a pair, dealt over many tasks and without a row of output.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.exact_dedup import FAN_IN, n_levels
@@ -41,29 +49,48 @@ RADIUS = 1 - PERCENT / 100
 SLACK = 1e-9
 #: Hashes that a map task holds before it deals them out, and that a range of hashes has on average.
 CHUNK = 3_000_000
-#: A hash is heavy when more than this share of all hashes equal it; so at most 2 ** HEAVY_BITS are, whatever the input.
-HEAVY_BITS = 20
-HEAVY_LEAST = 64
+#: Members up to which a region is joined; a larger one is split by so many pivots, as long as that leaves at most this share
+#: of the members in a region.
 CELL = 32
-LEVELS = 2
 PIVOTS = 4
+SHRUNK = 0.75
+#: Members that a task compares with a region's members at a time.
+DEALT_NATIVES = 256
 #: 64-bit words of a set's parity sketch.
 SKETCH = 32
 
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Words whose hashes a Python worker keeps, and bytes of text that are shingled at a time.
+KEPT_WORDS = 400_000
+STEP_BYTES = 1 << 20
+
+
+class _Words(dict):
+    """A number per word, and by it one hash for each place that a word can have in a shingle."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+        self.hashes = np.empty((WIDTH, 0), np.uint64)
 
-class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = h
-        return h
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
 
+    def of(self, words: list[list[bytes]], total: int) -> np.ndarray:
+        """WIDTH hashes for each of all the words, one after the other."""
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
+        if self.new:
+            new = [[xxhash.xxh64_intdigest(w, seed=k) for w in self.new] for k in range(WIDTH)]
+            self.hashes, self.new = np.concatenate([self.hashes, np.array(new, np.uint64)], axis=1), []
+        found = self.hashes[:, numbers]
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.hashes = np.empty((WIDTH, 0), np.uint64)
+        return found
 
-_hashes = _WordHashes()
+
+_words = _Words()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,19 +99,43 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each whole text the sorted distinct hashes of its WIDTH-word shingles; fewer words are one shingle, none is no shingle."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def close() -> Iterator[np.ndarray]:
+        lengths = np.fromiter(map(len, held), np.int64, len(held))
+        total = int(lengths.sum())
+        hashes = _words.of(held, total)
+        rolled = _mixed(reduce(np.add, (hashes[k, k : total - WIDTH + 1 + k] for k in range(WIDTH)))) if total >= WIDTH else None
+        for words, start in zip(held, (np.cumsum(lengths) - lengths).tolist(), strict=True):
+            n = len(words)
+            if n >= WIDTH:
+                yield _distinct(rolled[start : start + n - WIDTH + 1])
+            elif n:
+                yield np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)], np.uint64)
+            else:
+                yield np.empty(0, np.uint64)
+
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        held.append(raw.split())
+        size += len(raw)
+        if size >= STEP_BYTES:
+            yield from close()
+            held, size = [], 0
+    if held:
+        yield from close()
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the WIDTH-word shingles of a whole text; fewer words are one shingle, none is no shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < WIDTH:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - WIDTH + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(WIDTH):
-        total += _mixed(h[k : k + n] + _MULTIPLIERS[k]) * _MULTIPLIERS[k]
-    return np.unique(_mixed(total))
+    return next(shingle_sets([text]))
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -96,49 +147,7 @@ def n_prefix(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-# ---- 1. sets --------------------------------------------------------------------------------------------------------------
-
-SIGNED = f"doc_id long, {ROW} long, {KEY[0]} long, {KEY[1]} long, n long, sig binary, hash long, seen long"
-
-
-def _signed(rows: DataFrame) -> DataFrame:
-    """A row per document (sig null for the empty set); and rows of hash and count for hashes frequent within a task."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
-
-        def frequent() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(3, -(-size >> HEAVY_BITS))
-            hashes, counts = hashes[often], counts[often]
-            none = pa.nulls(len(hashes), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], names)
-
-        names = [x.split()[0] for x in SIGNED.split(", ")]
-        for batch in batches:
-            n, sigs = [], []
-            for t in batch.column(4):
-                h = shingles(t.as_py())
-                n.append(len(h))
-                sigs.append(signature(h) if len(h) else None)
-                if len(h) and sigs[-1] not in seen:
-                    seen.add(sigs[-1])
-                    held.append(h)
-                    size += len(h)
-                    if size >= CHUNK:
-                        yield frequent()
-                        held, size = [], 0
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), none, none], names)
-        if held:
-            yield frequent()
-
-    keys = [F.col(k) if k in rows.columns else F.lit(None).cast("long").alias(k) for k in KEY]
-    return stored(rows.select("doc_id", ROW, *keys, "text").mapInArrow(sign, SIGNED), "signed")
-
-
-# ---- 2. crowded sets ------------------------------------------------------------------------------------------------------
+# ---- 1. and 2. sets, isolated and crowded ---------------------------------------------------------------------------------
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -162,106 +171,141 @@ def _unpack(raw: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+#: Kinds of payload: hashes of a range; a chunk's sets; its documents; its hashes that several of its own sets have.
+HASHES, SETS, DOCS, SHARED = range(4)
 DEALT = "range int, chunk long, kind int, payload binary"
-CROWDED = "sig binary, n long, shared array<long>, prefix array<long>, sketch array<long>"
+#: A word beside a hash is the number of the set that has it, or with this bit the number of the chunk's sets that have it.
+COUNT = np.uint32(1 << 31)
+DOC = pa.schema([("doc_id", pa.int64()), (ROW, pa.int64()), *((k, pa.int64()) for k in KEY), ("n", pa.int64()), ("sig", pa.binary())])
+FOUND = f"doc_id long, {ROW} long, {KEY[0]} long, {KEY[1]} long, n long, sig binary, alone long, shared array<long>, prefix array<long>, sketch array<long>"
 
 
-def _crowded(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
-    total = signed.agg(F.sum("n")).first()[0] or 0
-    limit = max(HEAVY_LEAST, total >> HEAVY_BITS)
-    often = signed.filter("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).filter(F.col("seen") > limit)
-    heavy = np.sort(np.array([r.hash for r in often.select("hash").collect()], np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(heavy)
-    bits = max(1, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // CHUNK) - 1).bit_length())
+def _dealt(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents (doc_id, ROW, KEY, text) shingled and dealt as payloads over 2 ** bits ranges of hashes, CHUNK hashes at a time."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, part, made = sent.value, TaskContext.get().partitionId(), 0
+        part, made, size = TaskContext.get().partitionId(), 0, 0
         seen: set[bytes] = set()
         held: list[tuple[bytes, np.ndarray]] = []
-        size = 0
+        docs: list[pa.RecordBatch] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal made
-            chunk = (part << 32) + made
-            made += 1
-            hashes = np.concatenate([h for _, h in held])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for _, h in held])
+            nonlocal made, held, docs, size
+            chunk, made = (part << 32) + made, made + 1
+            sizes = [len(h) for _, h in held]
+            hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h in held)])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], owner[order]
-            is_heavy = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes if len(heavy) else np.zeros(len(hashes), bool)
-            about = zstandard.ZstdCompressor(level=1).compress(b"".join(s + len(h).to_bytes(8, "little") for s, h in held))
-            ranges, kinds, payloads = [chunk % (1 << bits), chunk % (1 << bits)], [1, 2], [about, _pack(hashes[is_heavy], owner[is_heavy])]
-            hashes, owner = hashes[~is_heavy], owner[~is_heavy]
+            about = b"".join(s + n.to_bytes(8, "little") for (s, _), n in zip(held, sizes, strict=True))
+            held, docs_, docs, size = [], pa.Table.from_batches(docs, DOC), [], 0
+            first = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
+            starts = np.flatnonzero(first)
+            counts = np.diff(starts, append=len(hashes))
+            several = np.repeat(counts > 1, counts)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, DOC) as writer:
+                writer.write_table(docs_)
+            small = zstandard.ZstdCompressor(level=1)
+            home = chunk % (1 << bits)
+            out = [(home, SETS, small.compress(about)), (home, DOCS, small.compress(sink.getvalue())), (home, SHARED, _pack(hashes[several], owner[several]))]
+            # A hash that several sets here have travels once, with their number.
+            word = np.where(counts > 1, counts.astype(np.uint32) | COUNT, owner[starts])
+            hashes = hashes[starts]
             edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            for r, (h, o) in enumerate(zip(np.split(hashes, edges), np.split(owner, edges), strict=True)):
+            for r, (h, w) in enumerate(zip(np.split(hashes, edges), np.split(word, edges), strict=True)):
                 if len(h):
-                    ranges.append(r)
-                    kinds.append(0)
-                    payloads.append(_pack(h, o))
-            return pa.RecordBatch.from_pydict({"range": pa.array(ranges, pa.int32()), "chunk": pa.array([chunk] * len(ranges), pa.int64()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+                    out.append((r, HASHES, _pack(h, w)))
+            ranges, kinds, payloads = zip(*out, strict=True)
+            return pa.RecordBatch.from_pydict({"range": pa.array(ranges, pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int64()), "kind": pa.array(kinds, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+        def read(batch: pa.RecordBatch, begin: int, n: list[int], sigs: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(c.slice(begin, len(n)) for c in batch.columns[:4]), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], schema=DOC)
 
         for batch in batches:
-            for t in batch.column(0):
-                h = shingles(t.as_py())
-                if len(h) and (s := signature(h)) not in seen:
-                    seen.add(s)
-                    held.append((s, h))
+            begin, n, sigs = 0, [], []
+            for h in shingle_sets(t.as_py() for t in batch.column(4)):
+                n.append(len(h))
+                sigs.append(signature(h) if len(h) else None)
+                size += 1
+                if len(h) and sigs[-1] not in seen:
+                    seen.add(sigs[-1])
+                    held.append((sigs[-1], h))
                     size += len(h)
-                    if size >= CHUNK:
-                        yield close()
-                        held, size = [], 0
-        if held:
+                if size >= CHUNK:
+                    docs.append(read(batch, begin, n, sigs))
+                    begin, n, sigs = begin + len(n), [], []
+                    yield close()
+            docs.append(read(batch, begin, n, sigs))
+        if docs:
             yield close()
 
-    def common(table: pa.Table) -> pa.Table:
-        """Of a range of hashes those that occur twice or more, back to the chunks they came from, with their counts."""
-        chunks, kinds, payloads = (table.column(c).to_pylist() for c in ("chunk", "kind", "payload"))
-        out = [(c, k, p) for c, k, p in zip(chunks, kinds, payloads, strict=True) if k]
-        parts = [(c, *_unpack(p, np.uint64, np.uint32)) for c, k, p in zip(chunks, kinds, payloads, strict=True) if not k]
-        if parts:
-            hashes = np.concatenate([h for _, h, _ in parts])
-            found, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)[at]
-            start = 0
-            for c, h, o in parts:
-                n = counts[start : start + len(h)]
-                start += len(h)
-                if (on := n > 1).any():
-                    out.append((c, 0, _pack(h[on], o[on], n[on])))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "payload": pa.array([x[2] for x in out], pa.binary())})
-
-    def gather(table: pa.Table) -> pa.Table:
-        """A chunk's sets that are not isolated, with their shared hashes and the rarest of them."""
-        kinds, payloads = (table.column(c).to_pylist() for c in ("kind", "payload"))
-        about = np.frombuffer(zstandard.ZstdDecompressor().decompress(payloads[kinds.index(1)]), np.uint8).reshape(-1, 24)
-        sizes = np.ascontiguousarray(about[:, 16:]).view(np.int64).reshape(-1)
-        light = [_unpack(p, np.uint64, np.uint32, np.uint32) for p, k in zip(payloads, kinds, strict=True) if k == 0]
-        heavy = _unpack(payloads[kinds.index(2)], np.uint64, np.uint32)
-        hashes = np.concatenate([*(x[0] for x in light), heavy[0]])
-        owner = np.concatenate([*(x[1] for x in light), heavy[1]])
-        counts = np.concatenate([*(x[2].astype(np.uint64) for x in light), np.full(len(heavy[0]), 1 << 40, np.uint64)])
-        order = np.lexsort((hashes, counts, owner))
-        hashes, owner = hashes[order], owner[order]
-        edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
-        sigs, n, shared, prefix, sketch = [], [], [], [], []
-        for i, size in enumerate(sizes.tolist()):
-            mine = hashes[edges[i] : edges[i + 1]]
-            left = n_prefix(size) - (size - len(mine))
-            if left > 0 and len(mine):
-                sigs.append(about[i, :16].tobytes())
-                n.append(size)
-                shared.append(mine.view(np.int64))
-                prefix.append(mine[:left].view(np.int64))
-                odd = np.bincount((_mixed(mine) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        lists = pa.list_(pa.int64())
-        return pa.table({"sig": pa.array(sigs, pa.binary()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared, lists), "prefix": pa.array(prefix, lists), "sketch": pa.array(sketch, lists)})
-
-    dealt = rows.select("text").mapInArrow(deal, DEALT)
-    back = dealt.groupBy("range").applyInArrow(common, "chunk long, kind int, payload binary")
-    sets = back.groupBy("chunk").applyInArrow(gather, CROWDED)
-    return stored(sets.dropDuplicates(["sig"]), "crowded")
+    return deal
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """Of a range of hashes those that two sets or more have, back to the chunks they came from, with the number of sets."""
+    chunks, kinds, payloads = (table.column(c).to_pylist() for c in ("chunk", "kind", "payload"))
+    out = [(c, k, p) for c, k, p in zip(chunks, kinds, payloads, strict=True) if k != HASHES]
+    parts = [(c, *_unpack(p, np.uint64, np.uint32)) for c, k, p in zip(chunks, kinds, payloads, strict=True) if k == HASHES]
+    if parts:
+        _, at = np.unique(np.concatenate([h for _, h, _ in parts]), return_inverse=True)
+        words = np.concatenate([w for _, _, w in parts])
+        sets = np.bincount(at, np.where(words & COUNT, words & ~COUNT, 1))
+        sets = np.minimum(sets, np.iinfo(np.uint32).max).astype(np.uint32)[at]
+        start = 0
+        for c, h, w in parts:
+            n = sets[start : start + len(h)]
+            start += len(h)
+            if (on := n > 1).any():
+                out.append((c, HASHES, _pack(h[on], w[on], n[on])))
+    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "payload": pa.array([x[2] for x in out], pa.binary())})
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A chunk's documents, and its sets that are not isolated, with their shared hashes and the rarest of them."""
+    kinds, payloads = (table.column(c).to_pylist() for c in ("kind", "payload"))
+    opened = zstandard.ZstdDecompressor()
+    docs = pa.ipc.open_stream(opened.decompress(payloads[kinds.index(DOCS)])).read_all()
+    about = np.frombuffer(opened.decompress(payloads[kinds.index(SETS)]), np.uint8).reshape(-1, 24)
+    sizes = np.ascontiguousarray(about[:, 16:]).view(np.int64).reshape(-1)
+    back = [_unpack(p, np.uint64, np.uint32, np.uint32) for p, k in zip(payloads, kinds, strict=True) if k == HASHES]
+    hashes, words, counts = (np.concatenate([np.empty(0, kind), *(x[i] for x in back)]) for i, kind in enumerate((np.uint64, np.uint32, np.uint32)))
+    several = (words & COUNT) > 0
+    own, owner = _unpack(payloads[kinds.index(SHARED)], np.uint64, np.uint32)
+    known = np.argsort(hashes[several], kind="stable")
+    own_counts = counts[several][known][np.searchsorted(hashes[several][known], own)] if len(own) else np.empty(0, np.uint32)
+    hashes, owner, counts = np.concatenate([hashes[~several], own]), np.concatenate([words[~several], owner]), np.concatenate([counts[~several], own_counts])
+    order = np.lexsort((hashes, counts, owner))
+    hashes, owner = hashes[order], owner[order]
+    edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    rows = []
+    for i, size in enumerate(sizes.tolist()):
+        mine = hashes[edges[i] : edges[i + 1]]
+        alone = size - len(mine)
+        left = n_prefix(size) - alone
+        if left > 0 and len(mine):
+            odd = np.bincount((_mixed(mine) % np.uint64(SKETCH * 64)).astype(np.int64), minlength=SKETCH * 64) & 1
+            rows.append((size, about[i, :16].tobytes(), alone, mine.view(np.int64), mine[:left].view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)))
+    n, sig, alone, shared, prefix, sketch = zip(*rows, strict=True) if rows else [()] * 6
+    lists = pa.list_(pa.int64())
+    kinds = {"n": pa.int64(), "sig": pa.binary(), "alone": pa.int64(), "shared": lists, "prefix": lists, "sketch": lists}
+    sets = pa.table({k: pa.array(v, kind) for (k, kind), v in zip(kinds.items(), (n, sig, alone, shared, prefix, sketch), strict=True)})
+    return pa.concat_tables([docs, sets], promote_options="default").select([x.split()[0] for x in FOUND.split(", ")])
+
+
+def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row per document: doc_id, ROW, KEY, n, sig (null for the empty set); and the crowded sets, once each."""
+    spark = rows.sparkSession
+    words = (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 6  # about; only deals the hashes
+    bits = max(1, (max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // CHUNK) - 1).bit_length())
+    keys = [F.col(k) if k in rows.columns else F.lit(None).cast("long").alias(k) for k in KEY]
+    dealt = rows.select(F.col("doc_id").cast("long").alias("doc_id"), ROW, *keys, "text").mapInArrow(_dealt(bits), DEALT)
+    back = dealt.groupBy("range").applyInArrow(_common, "chunk long, kind int, payload binary")
+    found = stored(back.groupBy("chunk").applyInArrow(_gathered, FOUND), "found")
+    docs = found.filter(F.col(ROW).isNotNull()).select("doc_id", ROW, *KEY, "n", "sig")
+    crowded = found.filter(F.col(ROW).isNull()).select("sig", "n", "alone", "shared", "prefix", "sketch")
+    return docs, stored(crowded.dropDuplicates(["sig"]), "crowded")
 
 
 # ---- 3. to 5. cells, pivots, regions --------------------------------------------------------------------------------------
@@ -272,6 +316,11 @@ def _spread(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(left.select("run", *on).distinct().join(right, on), ["run", *on])
 
 
+def _run(sig: str, sets: DataFrame) -> Column:
+    """Deals the rows of a key that very many sets have over several."""
+    return F.pmod(F.xxhash64(sig), F.lit(FAN_IN ** n_levels(sets))).alias("run")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (sig, other) with ``distance`` and ``linked``, from their sets."""
     x = sets.select("sig", F.col("n").alias("n1"), F.col("shared").alias("s1"))
@@ -282,99 +331,113 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """Links (sig, other) to (sig, comp), comp the least sig that links lead to; sigs without a link are not in it."""
-    edges = stored(links.select("sig", "other").union(links.select(F.col("other").alias("sig"), F.col("sig").alias("other"))).distinct(), "edges")
-    labels = stored(edges.groupBy("sig").agg(F.least("sig", F.min("other")).alias("comp")), "labels")
+    """Links (sig, other) to (sig, comp, run), comp the least sig that links lead to; sigs without a link are not in it."""
+    edges = links.select("sig", "other").union(links.select(F.col("other").alias("sig"), F.col("sig").alias("other"))).distinct()
+    edges = stored(edges.withColumn("run", _run("sig", links)), "edges")
+    labels = stored(edges.groupBy("sig").agg(F.least("sig", F.min("other")).alias("comp"), F.first("run").alias("run")), "labels")
     while True:
         # The least label among a point, its neighbours and, by pointer jumping, what its own label points to.
-        near = edges.join(labels.select(F.col("sig").alias("other"), "comp"), "other").groupBy("sig").agg(F.min("comp").alias("near"))
+        near = _spread(edges, labels.select(F.col("sig").alias("other"), "comp"), ["other"]).groupBy("sig").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("jump"))
-        moved = labels.join(near, "sig").join(jump, "comp", "left").select("sig", F.least("comp", "near", F.coalesce("jump", "comp")).alias("comp"), F.col("comp").alias("was"))
-        moved = stored(moved, "labels")
-        labels = moved.select("sig", "comp")
+        moved = _spread(labels.join(near, "sig"), jump, ["comp"])
+        moved = stored(moved.select("sig", F.least("comp", "near", "jump").alias("comp"), "run", F.col("comp").alias("was")), "labels")
+        labels = moved.select("sig", "comp", "run")
         if moved.filter("comp != was").isEmpty():
             return labels
 
 
 def _first_cells(sets: DataFrame) -> DataFrame:
-    """A cell per rare shingle that two sets or more have; of cells with the same members, one."""
-    runs = FAN_IN ** n_levels(sets)
-    cells = stored(sets.select(F.explode("prefix").alias("cell"), "sig", "n", F.pmod(F.xxhash64("sig"), F.lit(runs)).alias("run")), "cells")
+    """A cell per rare shingle that two sets or more have, with the sets that may share it first; of cells with the same members, one.
+
+    ``reach`` is the number of shingles up to which a set of the cell can be a partner, given that none of the ``pos`` shingles
+    before this one is shared.
+    """
+    placed = sets.select("sig", "n", "alone", _run("sig", sets), F.posexplode("prefix").alias("at", "cell")).withColumn("pos", F.col("alone") + F.col("at"))
+    reach = F.floor(((100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
+    placed = stored(placed.select("cell", "sig", "n", "alone", "run", "pos", reach.alias("reach")), "cells")
+    least = placed.groupBy("cell").agg(F.min("n").alias("least"), F.count("*").alias("k")).filter("k > 1").select("cell", "least")
+    cells = stored(_spread(placed, least, ["cell"]).filter("reach >= least").drop("least"), "cells")
     marks = [F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    members = cells.groupBy("cell").agg(*marks, F.count("*").alias("members")).filter("members > 1")
-    chosen = members.groupBy("m1", "m2", "members").agg(F.min("cell").alias("cell")).select("cell")
-    cells = _spread(cells, chosen, ["cell"]).withColumn("native", F.lit(True)).withColumn("comp", F.col("sig"))
-    return stored(cells, "cells")
+    members = cells.groupBy("cell").agg(*marks, F.count("*").alias("members"), F.sum("pos").alias("place")).filter("members > 1")
+    # The first in the order: there the pairs of these members that share none before it meet with the most reach.
+    chosen = members.groupBy("m1", "m2", "members").agg(F.min_by("cell", "place").alias("cell")).select("cell", "members")
+    cells = _spread(cells, chosen, ["cell"]).drop("pos")
+    return stored(cells.withColumns({"root": F.col("cell"), "native": F.lit(True), "main": F.lit(False)}), "cells")
 
 
 def _links(sets: DataFrame) -> DataFrame:
     """Links (sig, other) whose components are those of all pairs of ``sets`` within the radius."""
-    cells = _first_cells(sets)
-    known = leaves = None
-    for level in range(LEVELS):
-        n_pivots = 1 if level == 0 else PIVOTS
-        drawn = [F.min(F.when(F.col("native"), F.struct(F.xxhash64("sig", F.lit(level), F.lit(k)).alias("mark"), F.col("sig")))).getField("sig").alias(f"p{k}") for k in range(n_pivots)]
-        pivots = cells.groupBy("cell").agg(*drawn).select("cell", F.array_distinct(F.array(*[f"p{k}" for k in range(n_pivots)])).alias("pivots"))
-        starred = stored(_spread(cells, pivots, ["cell"]).withColumn("pivot", F.explode("pivots")).drop("pivots"), "starred")
-        starred = starred.withColumn("a", F.least("sig", "pivot")).withColumn("b", F.greatest("sig", "pivot"))
+    cells, known, links, level = _first_cells(sets), None, None, 0
+    while True:
+        mark = lambda k: F.xxhash64("sig", F.lit(level), F.lit(k))  # noqa: B023, E731
+        drawn = [F.min(F.when(F.col("native"), F.struct((F.col("alone") / F.col("n")).alias("apart"), mark(0).alias("mark"), "sig"))).getField("sig").alias("p0")]
+        drawn += [F.min(F.when(F.col("native"), F.struct(mark(k).alias("mark"), "sig"))).getField("sig").alias(f"p{k}") for k in range(1, PIVOTS)]
+        several = F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))
+        pivots = cells.groupBy("cell").agg(*drawn, F.first("members").alias("k")).select("cell", F.when(F.col("k") > CELL, several).otherwise(F.array("p0")).alias("pivots"))
+        starred = _spread(cells, pivots, ["cell"]).withColumn("pivot", F.explode("pivots")).drop("pivots")
+        starred = stored(starred.withColumn("a", F.least("sig", "pivot")).withColumn("b", F.greatest("sig", "pivot")), "starred")
         pairs = starred.filter("a != b").select(F.col("a").alias("sig"), F.col("b").alias("other")).distinct()
         new = _verified(pairs if known is None else pairs.join(known, ["sig", "other"], "left_anti"), sets)
         known = new if known is None else known.unionByName(new)
-        links = known.filter("linked").select("sig", "other")
-        links = links if leaves is None else links.unionByName(leaves)
+        found = new.filter("linked").select("sig", "other")
+        links = found if links is None else links.unionByName(found)
         far = starred.join(known.select(F.col("sig").alias("a"), F.col("other").alias("b"), "distance"), ["a", "b"], "left")
-        far = far.withColumn("distance", F.coalesce("distance", F.lit(0.0))).drop("a", "b", "comp")  # none: the pivot itself
+        far = far.withColumn("distance", F.coalesce("distance", F.lit(0.0))).drop("a", "b")  # none: the pivot itself
         # Each point's nearest pivot's region, and the regions whose window it lies in.
         nearest = far.groupBy("cell", "sig").agg(F.min(F.struct("distance", "pivot")).alias("nearest"))
-        region = far.join(nearest, ["cell", "sig"]).filter(F.col("distance") <= F.col("nearest.distance") + 2 * RADIUS + SLACK)
+        regions = far.join(nearest, ["cell", "sig"]).filter(F.col("distance") <= F.col("nearest.distance") + 2 * RADIUS + SLACK)
         native = F.col("native") & (F.col("pivot") == F.col("nearest.pivot"))
-        regions = region.select(F.col("cell").alias("parent"), F.xxhash64("cell", "pivot").alias("cell"), "sig", "n", "run", native.alias("native"), "distance")
-        cells = _open(regions, _components(links))
-        last = level == LEVELS - 1
-        leaf = _leaf(cells if last else cells.filter(F.col("members") <= CELL), sets).filter("linked").select("sig", "other")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        links = links.unionByName(leaf)
-        cells = cells.filter(F.col("members") > CELL).drop("members", "distance", "parent")
-        if last or cells.isEmpty():
+        regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), F.col("members").alias("was"), "root", "main", "sig", "n", "alone", "reach", "run", native.alias("native"), "distance")
+        cells = _open(regions, _components(links), level == 0)
+        is_leaf = (F.col("members") <= CELL) | (F.col("members") > SHRUNK * F.col("was"))
+        links = links.unionByName(_leaf(cells.filter(is_leaf), sets).filter("linked").select("sig", "other"))
+        cells = cells.filter(~is_leaf).drop("was", "distance", "comp", "natives")
+        if cells.isEmpty():
             return links
-    return links
+        level += 1
+
 
+def _open(cells: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
+    """Cells with a native member and another of another component, with the numbers of members and natives.
 
-def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells of two components or more that hold a native member, with each point's component and the cell's size."""
-    cells = stored(cells.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "cells")
-    open_ = cells.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("native").alias("any"), F.count("*").alias("members"))
-    return stored(_spread(cells, open_.filter("a != b and any").select("cell", "members"), ["cell"]), "open")
+    After the first level a root cell's largest component is ``main`` for good: whatever other member links to one of it is a
+    native of some region, where that one is a member, too.  So members of it are no longer natives.
+    """
+    cells = stored(cells.join(labels.select("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "regions")
+    if first:
+        largest = cells.filter("native").groupBy("root", "comp").agg(F.count("*").alias("k")).groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
+        cells = _spread(cells, largest, ["root"]).withColumn("main", F.col("comp") == F.col("largest")).withColumn("native", F.col("native") & ~F.col("main")).drop("largest")
+    counted = cells.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members"), F.count_if("native").alias("natives"))
+    return stored(_spread(cells, counted.filter("a != b and natives > 0").select("cell", "members", "natives"), ["cell"]), "open")
 
 
 def _leaf(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified pairs of members of two components, of fitting sizes, within the window of the cell's pivot and by sketch.
-
-    Two regions of one parent cell hold a pair twice, once for each as the native, so it is enough that natives outside the
-    parent's largest component meet all members.
+    """Verified pairs of a native and another member of other components, of fitting sizes and places, within the window of the
+    cell's pivot and by sketch.  Natives are dealt, DEALT_NATIVES at a time, and each lot meets all members.
     """
-    counts = cells.groupBy("parent", "comp").agg(F.count("*").alias("k")).groupBy("parent").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     words = [F.get("sketch", k).alias(f"w{k}") for k in range(SKETCH)]
-    sketched = sets.select("sig", (F.col("n") - F.size("shared")).alias("alone"), *words)
-    left = _spread(cells.filter("native"), counts, ["parent"]).filter("comp != main").select("cell", "sig", "n", "comp", "distance").join(sketched, "sig")
-    right = cells.select("cell", "sig", "n", "comp", "distance").join(sketched, "sig")
-    right = right.select("cell", *[F.col(c).alias(f"{c}_") for c in right.columns if c != "cell"])
+    lots = F.ceil(F.col("natives") / DEALT_NATIVES)
+    sketched = sets.select("sig", *words)
+    columns = ["cell", "sig", "n", "alone", "reach", "comp", "distance"]
+    left = cells.filter("native").select(*columns, F.pmod(F.xxhash64("sig"), lots).alias("lot")).join(sketched, "sig")
+    right = cells.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("lot")).join(sketched, "sig")
+    right = right.select("cell", "lot", *[F.col(c).alias(f"{c}_") for c in right.columns if c not in ("cell", "lot")])
     differ = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}_"))) for k in range(SKETCH)), F.col("alone") + F.col("alone_"))
-    fits = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (F.abs(F.col("distance") - F.col("distance_")) <= RADIUS + SLACK)
+    fits = (F.col("n_") <= F.col("reach")) & (F.col("n") <= F.col("reach_")) & (F.abs(F.col("distance") - F.col("distance_")) <= RADIUS + SLACK)
     near = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("n_"))
-    pairs = left.join(right, "cell").filter((F.col("comp") != F.col("comp_")) & fits & near)
+    pairs = left.join(right, ["cell", "lot"]).filter((F.col("comp") != F.col("comp_")) & fits & near)
     return _verified(pairs.select(F.least("sig", "sig_").alias("sig"), F.greatest("sig", "sig_").alias("other")).distinct(), sets)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     """A row per row: doc_id, ROW, KEY, n_shingles, component_id, is_first (one row of each component)."""
-    signed = _signed(rows)
-    docs = signed.filter(F.col(ROW).isNotNull()).select("doc_id", ROW, *KEY, "n", "sig").withColumn("run", F.pmod(F.xxhash64(ROW), F.lit(FAN_IN ** n_levels(rows))))
+    docs, sets = _sets(rows)
+    docs = docs.withColumn("run", _run(ROW, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(ROW).alias("row"))).alias("first")
     per_sig = docs.filter("sig is not null").groupBy("sig").agg(first)
-    labels = _components(_links(_crowded(rows, signed)))
+    labels = _components(_links(sets))
     per_comp = per_sig.join(labels, "sig").groupBy("comp").agg(F.min("first").alias("best"))
-    best = labels.join(per_comp, "comp").select("sig", "best")
+    best = _spread(labels, per_comp, ["comp"]).select("sig", "best")
     per_sig = per_sig.join(best, "sig", "left").select("sig", F.coalesce("best", "first").alias("first"))
     named = _spread(docs.filter("sig is not null"), per_sig, ["sig"])
     named = named.select("doc_id", ROW, *KEY, F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col(ROW)).alias("is_first"))
