@@ -1,16 +1,19 @@
 """Exact duplicates by a tree-merge of sorted digest runs, with DataFrame operations only.
 
-Rows are dealt into runs by a hash of their identifier.  Each run sorts and merges its digests to one entry each: the digest,
-the smallest identifier and a count.  In rounds, FAN_IN neighbouring runs exchange entries by (merged run, digest) and are
-merged again, until one run is left.  An entry is verified at every level: entries merge only if digest, length in bytes and
-a second hash of the text all agree.  The winners then go back down the same tree, so a digest that a third of all rows
-share arrives in every run once, and never in one task with all its rows.
+Rows are dealt over FAN_IN ** levels places by a hash of their identifier, and each place sorts its entries by digest and merges
+equal ones: a sorted run.  An entry is the digest, the smallest identifier and a count.  Then partners exchange parts of their
+runs, as in a binomial reduction: in round k the FAN_IN places whose numbers differ in digit k only deal their runs among
+themselves by digit k of the digest, and each merges the FAN_IN parts that it gets.  After the last round a place holds one
+range of digests of all rows.  Every place works in every round, no place ever holds more than its share, and of a digest that
+a third of all rows have at most FAN_IN entries meet.  Entries merge, at every level, only if digest, length in bytes and a
+second hash of the text all agree; what stays is the smallest identifier of those.  The groups then go back down the same
+tree, so each arrives in every run that has it once, and never in one task with all its rows.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
+from plenum.llm.scratch import KEY, ROW, emitted, key_of, stored
 
 FAN_IN = 16
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,7 +34,7 @@ def _keys(rows: DataFrame, text: str, n_runs: int, carried: list[str]) -> DataFr
         F.unhex(F.sha2(F.col("same").cast("binary"), 256)).alias("digest"),
         F.octet_length("same").alias("n_bytes"),
         F.xxhash64("same").alias("second"),
-        F.pmod(F.xxhash64("doc_id", ROW), F.lit(n_runs)).alias("run0"),
+        F.pmod(F.xxhash64("doc_id", ROW), F.lit(n_runs)).alias("place0"),
     )
 
 
@@ -42,19 +45,33 @@ def n_levels(rows: DataFrame) -> int:
     return levels
 
 
+def _digit(digest: str, k: int) -> Column:
+    """Digit k (from 1, base FAN_IN) of the number by which a digest is placed; all of its entries agree on it."""
+    return F.pmod(F.shiftright(F.xxhash64(digest), (FAN_IN.bit_length() - 1) * (k - 1)), F.lit(FAN_IN))
+
+
+def _merged(entries: DataFrame, place: str, entry: list[str], first: Column, size: Column, merges: int) -> DataFrame:
+    """Each place's parts sorted and merged into one run: the partitioning and the order are those of the grouping."""
+    runs = entries.repartition(merges, place).sortWithinPartitions(place, *entry)
+    return runs.groupBy(place, *entry).agg(F.min(first).alias("first"), F.sum(size).alias("group_size"))
+
+
 def tree_merge(keys: DataFrame, entry: list[str], first: Column, levels: int) -> DataFrame:
-    """Groups of two rows or more as (run0, *entry, first, group_size), once in each run that has a row of the group.
+    """Groups of two rows or more as (place0, *entry, first, group_size), once in each run that has a row of the group.
 
-    ``keys`` has ``run0`` below FAN_IN ** levels; ``first`` is what the least row of a group is told by.
+    ``keys`` has ``place0`` below FAN_IN ** levels; ``first`` is what the least row of a group is told by.
     """
-    merged = [keys.groupBy("run0", *entry).agg(F.min(first).alias("first"), F.count("*").alias("group_size"))]
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = [stored(_merged(keys, "place0", entry, first, F.lit(1).cast("long"), tasks), "runs")]
     for k in range(1, levels + 1):
-        run = F.floor(F.col(f"run{k - 1}") / FAN_IN).alias(f"run{k}")
-        merged.append(merged[-1].groupBy(run, *entry).agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size")))
-    won = merged[-1].filter("group_size > 1")
+        unit = FAN_IN ** (k - 1)
+        old = F.pmod(F.floor(F.col(f"place{k - 1}") / unit), F.lit(FAN_IN))
+        dealt = runs[-1].withColumn(f"place{k}", F.col(f"place{k - 1}") + (_digit(entry[0], k) - old) * unit)
+        runs[-1] = dealt
+        runs.append(_merged(dealt, f"place{k}", entry, F.col("first"), F.col("group_size"), tasks))
+    won = runs[-1].filter("group_size > 1")
     for k in range(levels, 0, -1):
-        below = merged[k - 1].withColumn(f"run{k}", F.floor(F.col(f"run{k - 1}") / FAN_IN)).select(f"run{k}", f"run{k - 1}", *entry)
-        won = below.join(won, [f"run{k}", *entry]).select(f"run{k - 1}", *entry, "first", "group_size")
+        won = runs[k - 1].select(f"place{k}", f"place{k - 1}", *entry).join(won, [f"place{k}", *entry]).select(f"place{k - 1}", *entry, "first", "group_size")
     return won
 
 
@@ -68,7 +85,7 @@ def decided(rows: DataFrame, text: str = "text", carried: list[str] | None = Non
     keys = stored(_keys(rows, text, FAN_IN**levels, carried), "digests")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col(ROW).alias("keep_row"))
     won = tree_merge(keys, ENTRY, first, levels)
-    return keys.join(won, ["run0", *ENTRY], "left").select(
+    return keys.join(won, ["place0", *ENTRY], "left").select(
         "doc_id",
         ROW,
         *carried,
@@ -92,5 +109,5 @@ def exact_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def without_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stay."""
-    rows = keyed(docs).select(*KEY, "doc_id", F.col(text).alias("text")).withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs.select(*key_of(docs), "doc_id", F.col(text).alias("text")).withColumn(ROW, F.monotonically_increasing_id())
     return emitted(docs, decided(rows, carried=KEY), "kept")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.exact_dedup import FAN_IN, n_levels
-from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
+from plenum.llm.scratch import KEY, ROW, emitted, key_of, stored
 
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -64,13 +64,16 @@ KEPT_WORDS = 400_000
 STEP_BYTES = 1 << 20
 
 
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
 class _Words(dict):
     """A number per word, and by it one hash for each place that a word can have in a shingle."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[bytes] = []
-        self.hashes = np.empty((WIDTH, 0), np.uint64)
+        self.hashes = np.empty((0, WIDTH), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
@@ -81,12 +84,12 @@ class _Words(dict):
         """WIDTH hashes for each of all the words, one after the other."""
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
         if self.new:
-            new = [[xxhash.xxh64_intdigest(w, seed=k) for w in self.new] for k in range(WIDTH)]
-            self.hashes, self.new = np.concatenate([self.hashes, np.array(new, np.uint64)], axis=1), []
-        found = self.hashes[:, numbers]
+            new = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
+            self.hashes, self.new = np.concatenate([self.hashes, _mixed(new[:, None] + _PLACES) * _PLACES]), []
+        found = self.hashes[numbers]
         if len(self) > KEPT_WORDS:
             self.clear()
-            self.hashes = np.empty((WIDTH, 0), np.uint64)
+            self.hashes = np.empty((0, WIDTH), np.uint64)
         return found
 
 
@@ -113,7 +116,7 @@ def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         lengths = np.fromiter(map(len, held), np.int64, len(held))
         total = int(lengths.sum())
         hashes = _words.of(held, total)
-        rolled = _mixed(reduce(np.add, (hashes[k, k : total - WIDTH + 1 + k] for k in range(WIDTH)))) if total >= WIDTH else None
+        rolled = _mixed(reduce(np.add, (hashes[k : total - WIDTH + 1 + k, k] for k in range(WIDTH)))) if total >= WIDTH else None
         for words, start in zip(held, (np.cumsum(lengths) - lengths).tolist(), strict=True):
             n = len(words)
             if n >= WIDTH:
@@ -457,5 +460,5 @@ def components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, one of each component: the smallest doc_id's."""
-    rows = keyed(docs).select(*KEY, "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs.select(*key_of(docs), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     return emitted(docs, _classes(rows), "is_first")

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by systematic sampling, with DataFrame operations only.
 
-Each document expects target / source size copies.  Documents of a source are put in order of size class and then of a hash;
-their expected copies are prefix-summed, one random offset per source is added, and a document is emitted once per integer
-boundary that its own step crosses.  Sampling in order of size keeps the words taken near the target.
+Each document expects a number of copies: the same for all of a source, target / source size, but for its few large documents.
+One of more than 1 / LARGE of its source expects a whole number, so that no chance decides on it; the others share what is
+left of the target.  Expected copies are prefix-summed within the source in order of size class and then of a hash, one random
+offset is added, and a document is emitted once per integer boundary that its own step crosses (whole numbers cross as many
+whatever the offset is).  The offset is the one of OFFSETS seeded and evenly spaced ones whose words come nearest to the target.
 
 The prefix sum is in two levels, so no task holds a source: ranks within blocks of (source, size class, slot of the hash),
 and sums over the blocks before.  The table of blocks is what one task per source sorts.
@@ -13,13 +15,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import KEY, ROW, emitted, keyed, stored
+from plenum.llm.scratch import KEY, ROW, emitted, key_of, stored
 
 # Weights of the sources in code-point order, repeating; all targets' share of all sizes; a source's most.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix-1"
+#: A source has fewer than so many documents of more than 1 / LARGE of its size.
+LARGE = 50
+OFFSETS = 16
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -57,36 +62,83 @@ def targets(sources: DataFrame) -> DataFrame:
     )
 
 
+def _whole(sizes: Column, source_size: Column, target: Column) -> Column:
+    """Whole copies for sizes in falling order: an array of them, the words they take, and the words they have.
+
+    A document's share of what is left to take is rounded, within what leaves the documents after it a share of 0 to MOST.
+    """
+    start = F.struct(F.array().cast("array<long>").alias("copies"), target.alias("left"), source_size.cast("double").alias("rest"))
+
+    def next_(at: Column, size: Column) -> Column:
+        share = F.floor(at["left"] / at["rest"] + 0.5)
+        low = F.ceil((at["left"] - MOST * (at["rest"] - size)) / size)
+        high = F.floor(at["left"] / size)
+        fitting = F.when(low <= high, F.least(high, F.greatest(low, share))).otherwise(F.floor(at["left"] / size + 0.5))
+        n = F.least(F.lit(int(MOST)).cast("long"), F.greatest(F.lit(0).cast("long"), fitting))
+        return F.struct(F.concat(at["copies"], F.array(n)).alias("copies"), (at["left"] - n * size).alias("left"), (at["rest"] - size).alias("rest"))
+
+    return F.aggregate(sizes, start, next_)
+
+
 def copies(sized: DataFrame) -> DataFrame:
-    """``sized`` (ROW, doc_id, source, size, stored) with source_size, target and copies (0, 1 or 2)."""
+    """``sized`` (ROW, doc_id, source, size, tie, stored) with source_size, target and copies (0, 1 or 2).
+
+    Rows of equal source, doc_id, size and tie are taken for the same and change places at will; all others are ordered alike
+    in every run.
+    """
     digits = max(1, round(math.log(max(1.0, sized.count() ** 0.5 / 64), 16)))  # of the hash, that split a size class
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("z"))  # null after all names
     mark = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = sized.withColumn("key", key).withColumn("mark", mark).withColumn("block", F.concat(size_class(F.col("size")), F.substring("mark", 1, digits)))
-    blocks = placed.groupBy("key", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    totals = targets(blocks.groupBy("key").agg(F.sum("words").alias("source_size")))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "key")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    totals = stored(targets(placed.groupBy("key").agg(F.sum("size").alias("source_size"))), "targets")
+
+    # Large documents: at most LARGE - 1 a source, so their sizes are a short array.
+    order = ["mark", "doc_id", "tie", ROW]
+    large = placed.join(totals, "key").filter(F.col("size") * LARGE > F.col("source_size"))
+    listed = F.reverse(F.array_sort(F.collect_list(F.struct("size", *order))))
+    whole = large.groupBy("key", "source_size", "target").agg(listed.alias("rows"))
+    whole = whole.withColumn("done", _whole(F.col("rows.size"), F.col("source_size"), F.col("target")))
+    rows = F.arrays_zip(F.col(f"rows.{ROW}").alias(ROW), F.col("done.copies").alias("whole"))
+    taken = stored(whole.select(F.explode(rows).alias("row"), "key").select("key", f"row.{ROW}", "row.whole"), "large")
+    rest = totals.join(whole.select("key", "done.left", "done.rest"), "key", "left").withColumns(
+        {"left": F.coalesce("left", "target"), "rest": F.coalesce("rest", F.col("source_size").cast("double"))}
+    )
+    each = F.when(F.col("rest") > 0, F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("left") / F.col("rest")))).otherwise(F.lit(0.0))
+    rest = stored(rest.select("key", "source_size", "target", "left", each.alias("each")), "rest")
+
+    # The others: their place in their source, in two levels.
+    others = placed.join(rest.select("key", "source_size"), "key").filter(F.col("size") * LARGE <= F.col("source_size")).drop("source_size")
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(totals, "key").select("key", "block", "before", "source_size", "target", offset.alias("offset"))
-    inside = Window.partitionBy("key", "block").orderBy("mark", "doc_id")
-    ranked = placed.withColumn("rank", F.row_number().over(inside)).join(before, ["key", "block"])
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = lambda k: F.floor(each * k + F.col("offset"))
-    rank = F.col("before") + F.col("rank")
-    return ranked.withColumn("copies", (crossed(rank) - crossed(rank - 1)).cast("long")).select(*sized.columns, "source_size", "target", "copies")
+    blocks = others.groupBy("key", "block").agg(F.count("*").alias("n"))
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("key", "block", "before")
+    inside = Window.partitionBy("key", "block").orderBy("mark", "doc_id", "tie")
+    ranked = others.withColumn("rank", F.row_number().over(inside)).join(before, ["key", "block"])
+    ranked = stored(ranked.select("key", *sized.columns, (F.col("before") + F.col("rank")).alias("rank")), "ranked")
+
+    shift = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "key")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    crossed = lambda k: F.floor(F.col("each") * k + F.col("offset"))
+    n = (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("long").alias("copies")
+    tried = ranked.join(rest, "key").select("key", "left", "each", "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
+    tried = tried.withColumn("offset", (F.col("k") + shift) / F.lit(float(OFFSETS))).groupBy("key", "left", "k", "offset").agg(F.sum(n * F.col("size")).alias("words"))
+    nearest = tried.groupBy("key").agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("left")), "k")).alias("offset"))
+    chosen = rest.join(nearest, "key")
+    certain = sized.join(taken, ROW).join(totals, "key").select(*sized.columns, "source_size", "target", F.col("whole").alias("copies"))
+    return ranked.join(chosen, "key").select(*sized.columns, "source_size", "target", n).unionByName(certain)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies.
 
     Null sources are a source of their own, ordered last; null and empty texts have size 0 and take no words; rows with the
-    same id are separate documents, ordered as one finds them; an empty table gives no rows.  Other columns are not read.
+    same id are separate documents, ordered by their texts; an empty table gives no rows.  Other columns are not read.  A source
+    whose documents are so few and unequal that no numbers of copies make its target comes as near as they allow.
     """
-    sized = stored(docs.select(F.monotonically_increasing_id().alias(ROW), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size")), "sizes")
+    tie = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("tie")
+    sized = stored(docs.select(F.monotonically_increasing_id().alias(ROW), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie), "sizes")
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, each as often as the mix takes it."""
-    rows = keyed(docs).select(*KEY, "doc_id", "source", n_words(F.col("text")).alias("size")).withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs.select(*key_of(docs), "doc_id", "source", n_words(F.col("text")).alias("size")).withColumns({ROW: F.monotonically_increasing_id(), "tie": F.struct(*KEY)})
     return emitted(docs, copies(stored(rows, "sizes")), "copies")

@@ -77,7 +77,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 MIXING_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('s' || source, 'z') AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS mark
@@ -97,15 +97,38 @@ WITH d AS (
 ), t AS (
   SELECT key, source_size, least(most, weight * max(level) OVER ()) AS target,
          ('0x' || substr(md5('mix-1' || key), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift FROM l
+), g AS (
+  SELECT c.*, source_size, target, row_number() OVER (PARTITION BY c.key ORDER BY size DESC, mark DESC, c.doc_id DESC) AS i
+  FROM c JOIN t ON c.key = t.key WHERE size * 50 > source_size
+), f AS (
+  SELECT key, 0::BIGINT AS i, NULL::BIGINT AS doc_id, 0::BIGINT AS copies, target AS left_, source_size::DOUBLE AS rest FROM t
+  UNION ALL
+  SELECT key, i, doc_id, n, left_ - n * size, rest - size FROM (
+    SELECT f.key, g.i, g.doc_id, f.left_, f.rest, g.size,
+           least(2, greatest(0, CASE WHEN ceil((left_ - 2.0::DOUBLE * (rest - size)) / size) <= floor(left_ / size)
+             THEN least(floor(left_ / size), greatest(ceil((left_ - 2.0::DOUBLE * (rest - size)) / size), floor(left_ / rest + 0.5::DOUBLE)))
+             ELSE floor(left_ / size + 0.5::DOUBLE) END))::BIGINT AS n
+    FROM f JOIN g ON g.key = f.key AND g.i = f.i + 1
+  )
+), e AS (
+  SELECT t.*, x.left_, CASE WHEN x.rest > 0 THEN least(2.0::DOUBLE, greatest(0.0::DOUBLE, x.left_ / x.rest)) ELSE 0.0::DOUBLE END AS each
+  FROM t JOIN (SELECT key, arg_max(left_, i) AS left_, arg_max(rest, i) AS rest FROM f GROUP BY key) x ON x.key = t.key
 ), r AS (
-  SELECT c.doc_id, c.size, t.source_size, t.target, t.shift,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS each,
-         row_number() OVER (PARTITION BY c.key ORDER BY class, mark, c.doc_id) AS rank
-  FROM c JOIN t ON c.key = t.key
+  SELECT c.doc_id, c.size, c.key, row_number() OVER (PARTITION BY c.key ORDER BY class, mark, c.doc_id) AS rank
+  FROM c JOIN t ON c.key = t.key WHERE size * 50 <= source_size
 ), k AS (
-  SELECT *, (floor(each * rank + shift) - floor(each * (rank - 1) + shift))::BIGINT AS copies FROM r
+  SELECT e.key, j, (j + shift) / 16.0::DOUBLE AS shifted, e.left_,
+         sum((floor(each * rank + (j + shift) / 16.0::DOUBLE) - floor(each * (rank - 1) + (j + shift) / 16.0::DOUBLE))::BIGINT * size) AS words
+  FROM r JOIN e ON r.key = e.key CROSS JOIN generate_series(0, 15) AS o(j) GROUP BY ALL
+), b AS (
+  SELECT key, shifted FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY abs(words - left_), j) = 1
+), n AS (
+  SELECT doc_id, size, r.key, (floor(each * rank + shifted) - floor(each * (rank - 1) + shifted))::BIGINT AS copies
+  FROM r JOIN e ON r.key = e.key JOIN b ON b.key = r.key
+  UNION ALL
+  SELECT g.doc_id, size, g.key, copies FROM g JOIN f ON f.key = g.key AND f.i = g.i
 )
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM n JOIN t ON n.key = t.key
 """
 
 EXACT_SQL = r"""

@@ -185,11 +185,11 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
     keys = stored(read_arc(spark, arc), "arc")
     levels = n_levels(keys)
     first = F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id"), F.col("arc"), F.col("at"), F.col("url"), F.col("date"))
-    dealt = keys.filter(F.col("n_bytes") >= MIN_REVISIT).withColumn("run0", F.pmod(F.xxhash64("arc", "at"), F.lit(FAN_IN**levels)))
+    dealt = keys.filter(F.col("n_bytes") >= MIN_REVISIT).withColumn("place0", F.pmod(F.xxhash64("arc", "at"), F.lit(FAN_IN**levels)))
     won = tree_merge(dealt, ["digest"], first, levels)
     is_first = (F.col("first.arc") == F.col("arc")) & (F.col("first.at") == F.col("at"))
     # A revisit names its response by id; where no record of a group has one, all stay responses.
-    revisits = dealt.join(won, ["run0", "digest"]).filter(~is_first & F.col("first.page_id").isNotNull())
+    revisits = dealt.join(won, ["place0", "digest"]).filter(~is_first & F.col("first.page_id").isNotNull())
     refers = revisits.select("arc", "at", F.struct("first.page_id", "first.url", "first.date").alias("refers"))
 
     @F.pandas_udf("binary")

@@ -62,6 +62,33 @@ def test_mix_near_targets_and_bounded(spark, docs):
     assert sorted(out) == sorted(mixing.mixed(docs).collect())
 
 
+@pytest.mark.parametrize("sf,within", [("0.001", 0.02), ("0.01", 0.005), ("0.1", 0.002)])
+def test_each_source_takes_its_target(spark, sf, within):
+    out = mixing.mixed(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "source", "text"))
+    for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
+        assert abs(r.taken / r.target - 1) < within and r.over <= 0
+
+
+def test_mix_of_repeated_ids_is_the_same_in_any_order(spark):
+    rng = random.Random(5)
+    many = [(k % 3 or None, "word " * rng.randint(1, 400) + rng.choice("abc"), rng.choice("xyz"), rng.choice(["a", "b", None])) for k in range(120)]
+    many += many[:20]
+    found = []
+    for seed in range(3):
+        random.Random(seed).shuffle(many)
+        df = spark.createDataFrame(many, "doc_id long, text string, lang string, source string").repartition(seed + 1)
+        found.append((Counter(map(tuple, mixing.mixed(df).collect())), Counter(map(tuple, mixing.mixture(df).collect()))))
+    assert found[0] == found[1] == found[2]
+
+
+def test_whole_copies_of_large_documents(spark):
+    cases = [([2770], 5276, 2865.0, [1]), ([60, 40], 100, 150.0, [2, 1]), ([2770], 2900, 1740.0, [1]), ([30, 30, 30], 100, 0.0, [0, 0, 0]), ([50, 50], 100, 200.0, [2, 2])]
+    df = spark.createDataFrame(cases, "sizes array<long>, total long, target double, want array<long>")
+    for r in df.select("want", "sizes", "total", "target", mixing._whole(F.col("sizes"), F.col("total"), F.col("target")).alias("got")).collect():
+        assert r.got.copies == r.want
+        assert r.got.left == r.target - sum(a * b for a, b in zip(r.want, r.sizes, strict=True)) and r.got.rest == r.total - sum(r.sizes)
+
+
 def test_targets_stop_and_reshare(spark):
     sizes = spark.createDataFrame([("sa", 10), ("sb", 100), ("sc", 100), ("sd", 1000)], "key string, source_size long")
     got = {r.key: r.target for r in mixing.targets(sizes).collect()}
@@ -225,6 +252,62 @@ def test_one_row_of_repeated_rows_stays(spark):
     assert out.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in AWKWARD})
 
 
+def clashing(spark):
+    """Columns with the names that the library uses itself, a map, and rows that occur often."""
+    rows = [(k // 3, f"text {k // 4} of some words", "a", 5, 6, 7, {"k": k // 5}, 1, "x") for k in range(24)] + [(1, "often", "b", 1, 2, 3, {"a": 1}, 2, None)] * 50
+    names = "doc_id long, text string, source string, _plenum_k1 long, _PLENUM_K2 long, _plenum_row long, m map<string, int>, _plenum_wanted int, `a.b` string"
+    return spark.createDataFrame(rows, names).repartition(3)
+
+
+def test_columns_with_clashing_names_come_back_unchanged(spark):
+    df = clashing(spark)
+    before = Counter(str(r) for r in df.collect())
+    for f, n in ((exact_dedup.without_copies, 7), (jaccard.one_of_each, 7), (mixing.mixture, None)):
+        out = f(df)
+        assert out.columns == df.columns and set(str(r) for r in out.collect()) <= set(before)
+        assert n is None or out.count() == n
+    assert quality.passing(df).columns == df.columns
+
+
+def test_one_of_rows_that_occur_often_is_repeated(spark):
+    from plenum.llm.scratch import emitted, key_of
+
+    df = clashing(spark)
+    each = df.select(*key_of(df)).withColumn("times", F.lit(1))
+    assert Counter(str(r) for r in emitted(df, each, "times").collect()) == Counter(str(r) for r in df.collect())
+
+
+def test_folders_are_shared_or_refused(spark, monkeypatch):
+    from plenum.llm import scratch
+
+    assert scratch.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch.shared_dir(Elsewhere)
+
+
+def test_runs_are_merged_over_several_levels(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 701).cast("string")).alias("text"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")  # two levels
+    try:
+        got = {r.doc_id: r for r in exact_dedup.exact_groups(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    groups = {}
+    for k in range(3000):
+        groups.setdefault("hot" if k % 3 == 0 else k % 701, []).append(k)
+    for group in groups.values():
+        assert all((got[k].keep_id, got[k].group_size, got[k].kept) == (group[0], len(group), k == group[0]) for k in group)
+
+
 # ---- 5 ----
 
 
