@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plenum.llm.scratch import free_name
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
@@ -101,13 +103,13 @@ def _measured(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t if isinstance(t, str) else None, packer) for t in texts], columns=FIELDS.names)
 
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one column ``quality`` (a struct of FIELDS).
+def quality(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
+    """``docs`` with one column ``into`` (a struct of FIELDS).
 
     Nulls and empty texts count as no words: base_failed, not kept.  Rows are independent: repeated rows get equal values.
-    A column already named ``quality`` is replaced.
+    A column of that name stays, and the new one gets an underscore behind its own.
     """
-    return docs.withColumn("quality", _measured(F.col(text)))
+    return docs.withColumn(free_name(into, docs.columns), _measured(F.col(text)))
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -17,11 +17,11 @@ def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_documents(spark, sf_dir)).select("doc_id", "quality.*")
+    return quality.quality(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "quality.*")
 
 
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scanned(_documents(spark, sf_dir)).select("doc_id", "secrets.*")
+    return secret_scan.scanned(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets.*")
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = langid.fit(docs.filter(~held_out))
-    return langid.predicted(docs, model).select("doc_id", held_out.alias("held_out"), "language.*")
+    return langid.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.*")
 
 
 def shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plenum.llm.scratch import free_name
+
 # The base kinds, in the order in which kinds at one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # as AKIA[A-Z0-9]+ of 20 or more characters: a run's first AKIA starts its longest match
@@ -28,7 +30,7 @@ ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "random")
 
 #: A whole run, also one after or before an equals sign (name=value, ?sig=value); one or two at its end are padding.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Known digests and identifiers: hexadecimal of a digest's length with or without its name, UUIDs, digits with separators.
 KNOWN = re.compile(
     r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_/]?)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
@@ -40,6 +42,8 @@ WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}(?:[_/+-]+(?:(?:[A-Z]?[a-z
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Letters in parts that are no words, from which a run of that shape is reported; abbreviations in identifiers have fewer.
 ODD_LETTERS = 12
+#: Shortest run of that shape that is reported: shorter made-up words take as many tokens as random letters.
+LONG_WORDS = 20
 CHARS_PER_TOKEN = 2.0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -76,7 +80,7 @@ def is_random(run: str, vocabulary: str) -> bool:
         return False
     one_case = (run.islower() or run.isupper()) and not any(map(str.isdigit, run))
     if WORDS.fullmatch(run.lstrip("_/+-") if one_case else run):
-        return odd_letters(run, vocabulary) >= ODD_LETTERS
+        return len(run) >= LONG_WORDS and odd_letters(run, vocabulary) >= ODD_LETTERS
     return len(run) < CHARS_PER_TOKEN * len(encoding(vocabulary).encode_ordinary(run))
 
 
@@ -103,11 +107,12 @@ def scan(text: str | None, vocabulary: str) -> tuple:
     return (*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans))
 
 
-def scanned(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with one column ``secrets`` (a struct of RESULT), for whole texts.
+def scanned(docs: DataFrame, text: str = "text", vocabulary: str | None = None, into: str = "secrets") -> DataFrame:
+    """``docs`` with one column ``into`` (a struct of RESULT), for whole texts.
 
-    Null counts as empty: no spans, and the digest of the empty string.  Rows are independent.  A column already named
-    ``secrets`` is replaced.  ``vocabulary`` is the path of a tiktoken rank file that every worker can read.
+    Null counts as empty: no spans, and the digest of the empty string.  Rows are independent.  A column
+    of that name stays, and the new one gets an underscore behind its own.  ``vocabulary`` is the path of a tiktoken rank file
+    that every worker can read.
     """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
 
@@ -115,4 +120,4 @@ def scanned(docs: DataFrame, text: str = "text", vocabulary: str | None = None)
     def found(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([scan(t if isinstance(t, str) else None, vocabulary) for t in texts], columns=RESULT.names)
 
-    return docs.withColumn("secrets", found(F.col(text)))
+    return docs.withColumn(free_name(into, docs.columns), found(F.col(text)))

@@ -1,20 +1,23 @@
 """Sharding: size-tiered compaction of immutable Parquet shards, with DataFrame operations only.
 
-An arrival is appended as a run of small shards.  Runs of similar size (one tier: sizes within a factor of TIER) are merged
-once there are MERGE_AT of them, into shards of about TARGET_BYTES; the merged run belongs to a higher tier.  Shards of that
-size are sealed and not rewritten.  Every change is one new version of the manifest, written aside and renamed to a name that
-must not exist: a writer that comes second fails and can retry, readers of older versions keep their files, and files that no
-manifest names are never read.
+An arrival is appended as a run of small shards.  Runs of similar size (one tier: sizes within a factor of TIER) are merged,
+MERGE_AT at a time, into shards of about TARGET_BYTES; the merged run belongs to a higher tier.  Shards of that size are
+sealed and not rewritten.  Every change, whatever number of runs it adds or replaces, is one new version of the manifest,
+written aside and renamed to a name that must not exist.  A writer that comes second makes its change anew on the version that
+won: an append adds its runs to it, a merge is given up if one of its runs is gone.  Readers of older versions keep their
+files, and files that no manifest names are never read, so a writer that fails leaves nothing to be seen.
 """
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import shared_dir
+from plenum.llm.scratch import every, free_name, shared_dir
 
 TARGET_BYTES = 64 << 20
 TIER_BASE = 1 << 20
@@ -23,7 +26,7 @@ MERGE_AT = 4
 SEALED = 0.75
 #: Since Spark 4.1 a union of single partitions is one partition; here each has to become a file.
 UNION_KEEPS = "spark.sql.unionOutputPartitioning"
-#: The query's arrivals: one per so many bytes of text, and at least so many; compacted after every MERGE_AT of them.
+#: The query's arrivals: one per so many bytes of text, and at least so many.
 ARRIVAL_BYTES = 256 << 20
 LEAST_ARRIVALS = 20
 
@@ -58,9 +61,21 @@ class ShardStore:
         finally:
             stream.close()
 
-    def _commit(self, before: dict, runs: list[dict], schema: str) -> dict:
-        after = {"version": before["version"] + 1, "schema": schema, "runs": runs}
+    def _commit(self, change: Callable[[list[dict]], list[dict] | None], schema: str) -> dict:
+        """One new version whose runs are ``change`` of the newest version's runs; no version if that is None."""
+        while True:
+            before = self.manifest()
+            runs = change(before["runs"])
+            if runs is None:
+                return before
+            after = {"version": before["version"] + 1, "schema": schema, "runs": runs}
+            if self._published(after):
+                return after
+
+    def _published(self, after: dict) -> bool:
+        """Whether this was the first writer of that version."""
         aside = self._hadoop.Path(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
+        to = self._hadoop.Path(f"{self.path}/_manifests/v{after['version']:08d}.json")
         out = self._fs.create(aside, False)
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
@@ -68,8 +83,14 @@ class ShardStore:
         never = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
         never[0] = self._hadoop.Options.Rename.NONE
         context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(aside, self._hadoop.Path(f"{self.path}/_manifests/v{after['version']:08d}.json"), never)
-        return after
+        try:
+            context.rename(aside, to, never)
+        except Py4JJavaError as lost:
+            if not lost.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            self._fs.delete(aside, False)
+            return False
+        return True
 
     # -- runs
 
@@ -88,10 +109,10 @@ class ShardStore:
     def _run(self, name: str, shards: list[dict]) -> dict:
         return {"run": name, "tier": self._tier(sum(s["bytes"] for s in shards)), "shards": shards}
 
-    def append(self, arrivals: DataFrame, by: str | None = None, compact_after: int | None = None) -> dict:
-        """One run per value of column ``by`` (one run without it), each committed as a version; the column is not kept.
+    def append(self, arrivals: DataFrame, by: str | None = None) -> dict:
+        """One run per value of column ``by``, which is not kept (one run without it), all of them in one version.
 
-        With ``compact_after`` the runs are compacted whenever so many have been added.
+        Without any row there are no runs, but a version with the schema.
         """
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         kept = arrivals.drop(by) if by else arrivals
@@ -100,13 +121,8 @@ class ShardStore:
         folders = [folder]
         if by:
             folders = sorted(x.getPath().toString() for x in self._fs.listStatus(self._hadoop.Path(folder)) if x.isDirectory())
-        now = self.manifest()
-        for k, one in enumerate(folders, 1):
-            if shards := self._shards(one):
-                now = self._commit(now, [*now["runs"], self._run(one.rpartition("/data/")[2], shards)], kept.schema.json())
-            if compact_after and k % compact_after == 0:
-                now = self.compact()
-        return now
+        runs = [self._run(one.rpartition("/data/")[2], shards) for one in folders if (shards := self._shards(one))]
+        return self._commit(lambda now: now + runs, kept.schema.json())
 
     def _bins(self, loose: list[dict]) -> list[list[str]]:
         """Loose shards dealt into files of SEALED to twice that of the target; what remains goes to the last one."""
@@ -139,15 +155,20 @@ class ShardStore:
             made = self._shards(folder)
         merged = self._run(folder.rpartition("/data/")[2], sealed + made)
         merged["tier"] = max(merged["tier"], max(r["tier"] for r in runs) + 1)
-        return self._commit(now, [r for r in now["runs"] if r["run"] not in merging] + [merged], now["schema"])
+
+        def replaced(held: list[dict]) -> list[dict] | None:
+            left = [r for r in held if r["run"] not in merging]
+            return [*left, merged] if len(held) - len(left) == len(merging) else None
+
+        return self._commit(replaced, now["schema"])
 
     def _unsealed(self, run: dict) -> bool:
         return any(s["bytes"] < SEALED * self.target for s in run["shards"])
 
     def compact(self, full: bool = False) -> dict:
-        """Merge similarly sized runs until no tier holds MERGE_AT that have shards to merge; a version per merge.
+        """Merge the oldest MERGE_AT runs of the lowest tier that has so many with shards to merge, until none has; a version each.
 
-        ``full``: then also merge what is still loose, in whatever tier.
+        Merged runs fill the next tier, so merges cascade.  ``full``: then also merge what is still loose, in whatever tier.
         """
         while True:
             now = self.manifest()
@@ -158,7 +179,7 @@ class ShardStore:
             ready = [runs for _, runs in sorted(tiers.items()) if len(runs) >= MERGE_AT]
             if not ready:
                 break
-            self._merge(now, ready[0])
+            self._merge(now, ready[0][:MERGE_AT])
         loose = [r for r in now["runs"] if self._unsealed(r)]
         if full and sum(len(r["shards"]) for r in loose) > 1:
             return self._merge(now, loose)
@@ -185,8 +206,9 @@ class ShardStore:
         paths = [s["path"] for r in now["runs"] for s in r["shards"]]
         if now["schema"] is None:
             raise ValueError("no version has been committed")
-        if not paths:
-            return self.spark.createDataFrame([], self._schema(now))
+        if not paths:  # a folder without files, so that the hidden column is there, too
+            paths = [f"{self.path}/_none"]
+            self._fs.mkdirs(self._hadoop.Path(paths[0]))
         return self.spark.read.schema(self._schema(now)).parquet(*paths)
 
 
@@ -196,9 +218,9 @@ def arrive(store: ShardStore, docs: DataFrame) -> None:
     tasks = max(1, docs.rdd.getNumPartitions())
     together, apart = max(1, tasks // wanted), -(-wanted // tasks)
     arrival = F.floor(F.spark_partition_id() / together) * apart + F.pmod(F.xxhash64("doc_id"), F.lit(apart))
-    store.append(docs.withColumn("_plenum_arrival", arrival), by="_plenum_arrival", compact_after=MERGE_AT)
-    if store.versions():
-        store.compact(full=True)
+    by = free_name("arrival", docs.columns)
+    store.append(docs.select(*every(docs), arrival.alias(by)), by=by)
+    store.compact(full=True)
 
 
 def arrivals_compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -206,14 +228,12 @@ def arrivals_compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> Dat
 
     A row per document: doc_id, text_crc32 and n_bytes of the text read back (null: null), shard, shard_bytes and run (the
     names in the committed manifest).  Repeated rows and nulls are kept as they are; an empty table gives no rows.  All columns
-    of ``docs`` are stored; one named ``_plenum_arrival`` would be lost.  An arrival holds the rows of some neighbouring
+    of ``docs`` are stored, whatever their names.  An arrival holds the rows of some neighbouring
     partitions, so that a task writes one file, or of few partitions a part by a hash of doc_id.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, shared_dir(spark), target_bytes)
     arrive(store, docs)
-    if not store.versions():
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_crc32"), F.lit(0).cast("long").alias("n_bytes"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit("").alias("run"))
     return store.read().select(
         "doc_id",
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),

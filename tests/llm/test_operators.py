@@ -126,7 +126,7 @@ def test_quality_bands(spark, docs):
     clean = "The committee met on Monday and agreed that each school should report how many pupils had chosen the new course before spring. "
     noise = " ".join(hashlib.sha512(bytes([i])).hexdigest() for i in range(60))
     same = "\n".join(f"item {i % 40} of the list is the same as all the other items here, number {i % 40}" for i in range(800))
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows(clean * 1, noise, same), SCHEMA)).select("doc_id", "quality.*").collect()}
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows(clean * 1, noise, same), SCHEMA)).select("doc_id", "quality_.*").collect()}
     assert got[0].kept and not got[2].kept
     out = quality.quality(docs).select("text", "quality.*").collect()
     for r in out:
@@ -217,6 +217,19 @@ def test_random_values_after_an_equals_sign():
         assert [(s, e) for s, e, _ in spans] == [(start, start + len(value) + 2 * ("}==" in text))], text
 
 
+def test_planted_strings_of_each_form():
+    """The shares that the README states, and no word of the documents."""
+    v, rng = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), random.Random(1)
+    forms = {"base64": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits}
+    for form, letters in forms.items():
+        for n in (16, 20, 32):
+            planted = [f"see x={''.join(rng.choices(letters, k=n))} there" for _ in range(300)]
+            found = sum(len(secret_scan.random_spans(t, secret_scan.base_spans(t), v)) for t in planted)
+            assert found > 0.96 * len(planted), (form, n)
+    texts = pq.read_table(f"{SF.replace('0.001', '0.1')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    assert not any(secret_scan.random_spans(t, secret_scan.base_spans(t), v) for t in texts)
+
+
 def test_identifiers_are_told_by_their_words():
     v, rng = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), random.Random(1)
     for found in ("zlqhnkjppxrywzrewzxosfvohbwzcukd", "HTWBPBSIWZNZICPAFKPEBWIYXJLNQPOQ", "production_database_zlqhnkjppxrywzrewzxo"):
@@ -382,28 +395,66 @@ def test_language_held_out(spark):
 
 def test_rare_languages_and_null_keys_are_learned(spark, monkeypatch):
     many = spark.createDataFrame([(i, chr(0x4E00 + i) * (400 - i), f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
-    langs, logp = langid.fit(many)
-    assert len(langs) == 300 and langid.score(chr(0x4E00 + 299), langs, logp)[0] == "l299"
+    model = langid.fit(many)
+    assert len(model.langs) == 300 and langid.scores([chr(0x4E00 + 299)], model)[0][0] == "l299"
     monkeypatch.setattr(langid, "TRAINING_DOCS", 100)
-    some = langid.fit(many.withColumn("doc_id", F.lit(None).cast("long")))[0]
+    some = langid.fit(many.withColumn("doc_id", F.lit(None).cast("long"))).langs
     assert 60 < len(some) < 140  # an even sample, not all or none
 
 
-def test_language_scores_by_hand():
-    text = "Abc abc"
-    langs, logp = ["aa", "bb"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)).astype(np.float32)
-    counts = langid.buckets(text)
-    assert counts.sum() == sum(len(" abc abc ") - k + 1 for k in langid.ORDERS)
-    likely = logp.astype(np.float64) @ counts
-    name, score = langid.score(text, langs, logp)
-    assert name == langs[int(likely.argmax())] and score == pytest.approx(1 / (1 + np.exp(-abs(likely[0] - likely[1]))))
-    assert langid.score("12 %", langs, logp) == langid.score(None, langs, logp) == ("und", 0.0)
-    whole = langid.buckets("xyz " * 9000)
-    old, langid.STEP = langid.STEP, 1000
+def n_grams(text):
+    """Counts by bucket, n-gram by n-gram."""
+    text, counts = f" {' '.join(text.lower().split())} ", Counter()
+    for order in langid.ORDERS:
+        for i in range(len(text) - order + 1):
+            h = 0x9E3779B1
+            for c in text[i : i + order]:
+                h = ((h ^ ord(c)) * 0x85EBCA6B) & 0xFFFFFFFF
+                h ^= h >> 15
+            counts[h % langid.BUCKETS] += 1
+    return counts
+
+
+@given(st.lists(st.text(st.sampled_from("aBc é\n1"), min_size=0, max_size=60), max_size=8), st.sampled_from([3, 17, 1000]))
+@settings(max_examples=60, deadline=None)
+def test_counts_n_gram_by_n_gram(texts, step):
+    old, langid.STEP = langid.STEP, step
     try:
-        assert (langid.buckets("xyz " * 9000) == whole).all()
+        found = langid.counted(texts)
     finally:
         langid.STEP = old
+    for i, t in enumerate(texts):
+        mine = slice(found.starts[i], found.starts[i + 1])
+        assert dict(zip(found.buckets[mine].tolist(), found.counts[mine].tolist())) == n_grams(t)
+
+
+def test_language_query_by_brute_force(spark, docs):
+    """Every row's language and score from counts in plain Python."""
+    rows = [(r.doc_id, r.text, r.lang, zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in docs.collect()]
+    by, n = {}, Counter()
+    for _, text, lang, held_out in rows:
+        if not held_out and lang is not None and langid.has_letter(text):
+            by.setdefault(lang, Counter()).update(n_grams(text))
+            n[lang] += 1
+    langs = sorted(by)
+    logp = {k: np.log((np.array([by[k][b] for b in range(langid.BUCKETS)]) + langid.SMOOTHING) / (sum(by[k].values()) + langid.SMOOTHING * langid.BUCKETS)) for k in langs}
+    got = {r.doc_id: r for r in queries.language_id(spark, SF).collect()}
+    for doc_id, text, _, held_out in rows:
+        r = got[doc_id]
+        assert r.held_out == held_out
+        if not langid.has_letter(text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = n_grams(text)
+        likely = np.array([np.log(n[k] / sum(n.values())) + sum(c * logp[k][b] for b, c in counts.items()) for k in langs])
+        assert r.lang_pred == langs[int(likely.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(likely - likely.max()).sum(), rel=1e-2)
+
+
+def test_language_of_no_letters():
+    model = langid.Model(["aa", "bb"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)).astype(np.float32), np.log([0.5, 0.5]))
+    (a, b, c), none = langid.scores(["12 %", None, "ab"], model), langid.scores(["ab"], langid.Model([], model.logp[:0], model.prior[:0]))
+    assert a == b == none[0] == ("und", 0.0) and c[0] in model.langs
 
 
 # ---- 8 ----
@@ -420,11 +471,47 @@ def test_shards_keep_every_row_and_version(spark, docs, tmp_path):
     assert sorted(store.read().collect()) == want == sorted(store.read(before["version"]).collect())
     sizes = [s["bytes"] for s in after["runs"][0]["shards"]]
     assert len(sizes) < sum(len(r["shards"]) for r in before["runs"]) and max(sizes) < 3 * store.target
-    with pytest.raises(Exception, match="[Ee]xist"):
-        store._commit(before, [], before["schema"])  # a second writer of the same version
+    assert not store._published(before | {"runs": []})  # a second writer of the same version
     assert store.vacuum() > 0 and sorted(store.read().collect()) == want
 
 
+def test_a_writer_that_comes_second_starts_anew(spark, docs, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        store.append(docs.filter(f"doc_id % 8 = {k}"))
+    published, late = store._published, iter([4, 5])
+
+    def raced(after):
+        if (k := next(late, None)) is not None:
+            other = sharding.ShardStore(spark, store.path)
+            other.append(docs.filter(f"doc_id % 8 = {k}"))
+        return published(after)
+
+    monkeypatch.setattr(store, "_published", raced)
+    store.append(docs.filter("doc_id % 8 = 6"))  # loses twice
+    assert sorted(store.read().collect()) == sorted(docs.filter("doc_id % 8 < 7").collect())
+    late = iter([7])
+    now = store.compact()  # loses once, to an append: its runs are still there
+    assert sorted(store.read().collect()) == sorted(docs.collect()) and any(r["tier"] > 0 for r in now["runs"])
+    gone = store._merge(now, [{"run": "gone", "tier": 0, "shards": []}])
+    assert gone == store.manifest() and sorted(store.read().collect()) == sorted(docs.collect())
+
+
+def test_an_append_is_one_version(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    now = store.append(docs.withColumn("part", F.col("doc_id") % 5), by="part")
+    assert store.versions() == [1] and len(now["runs"]) == 5 and store.read().columns == docs.columns
+
+
+def test_shard_query_by_brute_force(spark, docs):
+    odd = docs.limit(50).union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None)], docs.schema)).withColumn("arrival", F.lit(3))
+    out = sharding.arrivals_compacted(odd).collect()
+    want = [(r.doc_id, None if r.text is None else zlib.crc32(r.text.encode()), None if r.text is None else len(r.text.encode())) for r in odd.collect()]
+    assert Counter((r.doc_id, r.text_crc32, r.n_bytes) for r in out) == Counter(want)
+    assert len({r.shard for r in out}) == len({r.run for r in out}) == 1 and all(r.shard_bytes > 0 for r in out)
+    assert sharding.arrivals_compacted(odd.limit(0)).columns == ["doc_id", "text_crc32", "n_bytes", "shard", "shard_bytes", "run"]
+
+
 def test_dissimilar_runs_are_left_alone(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
     for k in range(3):
@@ -438,7 +525,7 @@ def test_arrivals_cascade_into_shards_near_the_target(spark, tmp_path, target, t
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=target)
     sharding.arrive(store, docs)
     versions = [store.manifest(v) for v in store.versions()]
-    assert len(versions) > 20 and max(r["tier"] for m in versions for r in m["runs"]) >= tier  # 2: merged runs were merged again
+    assert len(versions) > 5 and max(r["tier"] for m in versions for r in m["runs"]) >= tier  # 2: merged runs were merged again
     sizes = sorted(s["bytes"] for r in store.manifest()["runs"] for s in r["shards"])
     assert len(sizes) >= least and all(0.5 * store.target < x < 2 * store.target for x in sizes[1:])  # the first may be a remainder
     assert sorted(store.read().collect()) == sorted(docs.collect())
