@@ -225,7 +225,7 @@ def test_planted_strings_of_each_form():
         for n in (16, 20, 32):
             planted = [f"see x={''.join(rng.choices(letters, k=n))} there" for _ in range(300)]
             found = sum(len(secret_scan.random_spans(t, secret_scan.base_spans(t), v)) for t in planted)
-            assert found > 0.96 * len(planted), (form, n)
+            assert found > 0.95 * len(planted), (form, n)
     texts = pq.read_table(f"{SF.replace('0.001', '0.1')}/documents.parquet", columns=["text"]).column(0).to_pylist()
     assert not any(secret_scan.random_spans(t, secret_scan.base_spans(t), v) for t in texts)
 
