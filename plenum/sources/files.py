@@ -54,7 +54,7 @@ def catalogue(spark: SparkSession, path: str, index: str = "index.json") -> Data
     """An index of documents joined to the texts beside it; entries whose file is missing are left out."""
     schema = "id string, titel string, `källa` string, typ string, `nämnd` string, datum string, fil string, taggar array<string>"
     entries = spark.read.schema(schema).option("multiLine", True).json(f"{path}/{index}")
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return entries.join(texts.select(F.col("_metadata.file_name").alias("fil"), F.col("value").alias("innehall")), "fil")
 
 
@@ -76,7 +76,7 @@ def invoices(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.select(F.col("path").alias("fil"), F.regexp_replace(text, "^﻿", "").alias("t")).select("fil", F.split("t", "\r?\n").alias("rader"))
     rows = rows.filter(is_invoice_file(F.get("rader", 0)))
     names = F.transform(F.split(F.get("rader", 0), ";"), lambda x: F.trim(x))
-    rows = rows.select("fil", names.alias("namn"), F.explode(F.slice("rader", 2, 2**31 - 1)).alias("rad")).filter(F.trim("rad") != "")
+    rows = rows.select("fil", names.alias("namn"), F.explode(F.slice("rader", 2, F.size("rader"))).alias("rad")).filter(F.trim("rad") != "")
     cells = F.split("rad", ";", -1)
 
     def cell(name: str):

@@ -20,10 +20,26 @@ def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def replace_guarded(fresh: DataFrame, path: str, least_share: float = 0.9) -> None:
-    """Write a full replacement beside the table at ``path`` and put it there, unless it loses more than a tenth of the rows."""
-    old = fresh.sparkSession.read.parquet(path).count()
-    guarded(fresh.count(), old, least_share)
-    fresh.write.mode("overwrite").parquet(path)
+    """Replace the table at ``path`` by ``fresh``, unless that loses more than a tenth of its rows.
+
+    ``fresh`` is written beside the table and counted there, so it may read from the table itself; then the folders are renamed.
+    If a step fails, the old table is where it was, or beside it as ``<path>.old``.
+    """
+    spark = fresh.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here, new, old = (hadoop.Path(f"{path.rstrip('/')}{end}") for end in ("", ".new", ".old"))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh.write.mode("overwrite").parquet(new.toString())
+    try:
+        guarded(spark.read.parquet(new.toString()).count(), spark.read.parquet(path).count(), least_share)
+    except ValueError:
+        store.delete(new, True)
+        raise
+    store.delete(old, True)
+    for a, b in ((here, old), (new, here)):
+        if not store.rename(a, b):
+            raise OSError(f"{a.toString()} could not be renamed")
+    store.delete(old, True)
 
 
 def tenant(name: str, allowed: frozenset[str]) -> str:
