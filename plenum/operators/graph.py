@@ -21,10 +21,10 @@ def incident_to_set(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def frontier(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Ids next to a set, without the set's own."""
-    touched = incident_to_set(edges, ids)
-    ends = touched.select(F.col("from_id").alias("id")).union(touched.select("to_id")).distinct()
-    return ends.join(ids.select("id"), "id", "left_anti")
+    """Ids next to a set, without the set's own: the other ends of edges that begin or end in it."""
+    out = edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id"))
+    into = edges.join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id"))
+    return out.union(into).distinct().join(ids.select("id"), "id", "left_anti")
 
 
 def within(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,70 +1,41 @@
 """Which texts hold which names or passages, and where first."""
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many bytes of names are sent to every task; beyond, names and texts meet in a join.
-DICTIONARY_BYTES = 32 << 20
-OPENING_WORDS = 4
-
-
-def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str) -> DataFrame:
-    """key, name_key, plats (1-based, of the first hit): one row per pair; empty names and null texts give none."""
-    names = names.filter(F.length(name) > 0)
-    size = names.agg(F.sum(F.octet_length(name))).first()[0] or 0
-    how = _by_automaton if size <= DICTIONARY_BYTES else _by_openings
-    return how(docs, key, text, names, name_key, name)
-
+#: Words of a name's inside, or characters of a name without one, by which it meets the texts.
+KEY_WORDS = 4
+KEY_CHARACTERS = 8
 
-def _by_automaton(docs: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str) -> DataFrame:
-    """One pass over each text for all names at once; nothing is shuffled."""
-    words: dict[str, list[int]] = {}
-    for r in names.select(F.col(name_key).cast("long").alias("k"), F.col(name).alias("n")).collect():
-        words.setdefault(r.n, []).append(r.k)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for word, ids in sent.value.items():
-            automaton.add_word(word, (len(word), ids))
-        automaton.make_automaton()
-        for batch in batches:
-            keys, ids, places = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen: set[int] = set()
-                for end, (length, found) in automaton.iter(t.as_py() or "") if sent.value else ():
-                    for i in found:
-                        if i not in seen:
-                            seen.add(i)
-                            keys.append(k)
-                            ids.append(i)
-                            places.append(end - length + 2)
-            yield pa.RecordBatch.from_pydict({key: pa.array(keys, pa.int64()), name_key: pa.array(ids, pa.int64()), "plats": pa.array(places, pa.int64())})
+def _runs(words: Column, length: int) -> Column:
+    """All runs of ``length`` neighbouring words, each once; the outer transform binds the array, so it is split once."""
+    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.array_join(F.slice(w, i, F.lit(length)), " "))
+    return F.array_distinct(F.transform(F.array(words), lambda w: F.when(F.size(w) >= length, run(w)))[0])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(find, f"{key} long, {name_key} long, plats long")
 
+def mentions(docs: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str) -> DataFrame:
+    """key, name_key, plats (1-based, of the first hit): one row per pair; empty names and null texts give none.
 
-def _by_openings(docs: DataFrame, key: str, text: str, names: DataFrame, name_key: str, name: str) -> DataFrame:
-    """Pairs meet on words of the name that a text that holds it must have whole, and are then compared: an equi-join.
-
-    The first and last word of a name may be part of a longer one in the text, so the key is what follows the first; names of
-    two words or fewer have none and are compared with every text.
+    Names and texts meet in equi-joins and are compared only then.  The first and last word of a name may be part of a longer
+    one in the text, the words between are whole ones there, so up to KEY_WORDS of them are the key.  Names of two words or
+    fewer meet the texts by their first KEY_CHARACTERS characters.
     """
-
-    def runs(words):  # the outer transform binds the array, so it is split once
-        return F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(OPENING_WORDS)), " ")))[0]
-
-    parts = F.split(name, r"\s+")
-    keyed = names.select(name_key, F.col(name).alias("_name"), F.slice(parts, 2, F.greatest(F.least(F.size(parts) - 2, F.lit(OPENING_WORDS)), F.lit(0))).alias("_w"))
-    long = keyed.filter(F.size("_w") == OPENING_WORDS).withColumn("_k", F.array_join("_w", " ")).drop("_w")
-    short = keyed.filter(F.size("_w") < OPENING_WORDS).drop("_w")
-    texts = docs.select(key, F.col(text).alias("_text"))
-    keys = texts.select(key, F.explode(F.array_distinct(runs(F.split("_text", r"\s+")))).alias("_k"))
-    pairs = keys.join(long.select(name_key, "_k"), "_k").select(key, name_key).distinct()
-    hits = pairs.join(texts, key).join(long.drop("_k"), name_key).select(key, name_key, F.instr("_text", F.col("_name")).cast("long").alias("plats"))
-    few = texts.join(short, F.contains("_text", "_name")).select(key, name_key, F.instr("_text", F.col("_name")).cast("long").alias("plats"))
-    return hits.filter("plats > 0").unionByName(few)
+    words = F.split(F.col(name), r"\s+")
+    n = F.least(F.size(words) - 2, F.lit(KEY_WORDS))
+    keyed = names.filter(F.length(name) > 0).select(name_key, F.col(name).alias("_name"), F.greatest(n, F.lit(0)).alias("_n"), words.alias("_w"))
+    texts = docs.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    inside = keyed.filter("_n > 0").select(name_key, F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ").alias("_k"), "_n")
+    start = F.left("_name", F.lit(KEY_CHARACTERS))
+    short = keyed.filter("_n = 0").select(name_key, start.alias("_k"), (-F.length(start)).alias("_n"))
+    # Texts have keys of those lengths only that some name has: at most KEY_WORDS + KEY_CHARACTERS numbers.
+    lengths = sorted(r[0] for r in inside.unionByName(short).select("_n").distinct().collect())
+    split = F.split("_text", r"\s+")
+    pieces = lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - k + 1), lambda i: F.substring("_text", i, F.lit(k))))
+    of = [F.struct(F.lit(k).alias("n"), (_runs(split, k) if k > 0 else F.when(F.length("_text") >= -k, pieces(-k))).alias("k")) for k in lengths]
+    if not of:
+        return texts.join(names.select(name_key).limit(0), F.lit(False)).select(key, name_key, F.lit(0).cast("long").alias("plats"))
+    met = texts.select(key, F.inline(F.array(*of))).select(key, F.col("n").alias("_n"), F.explode("k").alias("_k"))
+    pairs = met.join(inside.unionByName(short), ["_n", "_k"]).select(key, name_key).distinct()
+    hits = pairs.join(texts, key).join(keyed.select(name_key, "_name"), name_key)
+    return hits.select(key, name_key, F.instr("_text", F.col("_name")).cast("long").alias("plats")).filter("plats > 0")

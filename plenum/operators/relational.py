@@ -58,9 +58,11 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def top_and_rest(df: DataFrame, name: str, value: str, top: int, rest: str = "Övrigt") -> DataFrame:
-    """The ``top`` names by value and one row that sums the others."""
-    ranked = df.withColumn("_nth", F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(name))))
-    return ranked.groupBy(F.when(F.col("_nth") <= top, F.col(name)).otherwise(F.lit(rest)).alias(name)).agg(F.sum(value).alias(value))
+    """The ``top`` names by value and, if there are more, one row that sums the others; a name has one row."""
+    best = df.select(name, value).orderBy(F.col(value).desc(), F.col(name)).limit(top)
+    others = df.join(best.select(F.col(name).alias("_name")), F.col(name).eqNullSafe(F.col("_name")), "left_anti")
+    total = others.agg(F.sum(value).alias(value), F.count("*").alias("_n")).filter("_n > 0").select(F.lit(rest).alias(name), value)
+    return best.unionByName(total)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
@@ -76,14 +78,32 @@ def matching(df: DataFrame, filters: dict[str, str | None]) -> DataFrame:
     return df
 
 
+def _prefixes(text: Column, least: int = 1) -> Column:
+    return F.when(F.length(text) >= least, F.transform(F.sequence(F.lit(least), F.length(text)), lambda n: F.left(text, n)))
+
+
 def best_prefix_match(names: DataFrame, name: str, entries: DataFrame, entry: str, place: str, least: int = 10) -> DataFrame:
     """Each name with its first dictionary entry, in dictionary order: equal, or one the other's prefix.
 
-    An entry may start with a name of at least ``least`` characters.  The dictionary is small and is broadcast; a name gives
-    at most one row.
+    An entry may start with a name of at least ``least`` characters.  Prefixes are keys, so names and entries meet in two
+    equi-joins; a name gives at most one row.
+    """
+    post = entries.select(F.struct(*entries.columns).alias("_post"), F.col(entry).alias("_e"), F.col(place).alias("_p"))
+    each = names.select(name).distinct()
+    begun = each.select(name, F.explode(_prefixes(F.col(name))).alias("_e")).join(post, "_e")
+    begins = post.select("_post", "_e", "_p", F.explode(_prefixes(F.col("_e"), least)).alias(name)).join(each, name)
+    order = F.struct((F.col(name) != F.col("_e")).alias("inexact"), F.col("_p"), F.col("_post"))
+    hit = begun.select(name, "_post", "_e", "_p").unionByName(begins.select(name, "_post", "_e", "_p")).groupBy(name).agg(F.min(order).alias("hit"))
+    return names.join(hit, name).select(*names.columns, "hit._post.*")
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, longest: int) -> DataFrame:
+    """Rows of ``texts`` and ``parts`` with the part (at most ``longest`` characters, not empty) somewhere in the text.
+
+    For short texts, such as names: all their pieces of up to ``longest`` characters are keys of an equi-join.
     """
-    n, e = F.col(name), F.col(entry)
-    fits = (n == e) | n.startswith(e) | ((F.length(n) >= least) & e.startswith(n))
-    order = F.struct((n != e).alias("inexact"), F.col(place).alias("place"), F.struct(*entries.columns).alias("entry"))
-    hit = names.join(F.broadcast(entries), fits).groupBy(*names.columns).agg(F.min(order).alias("hit"))
-    return hit.select(*names.columns, "hit.entry.*")
+    t = F.col(text)
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(longest))), of_length))
+    keyed = texts.withColumn("_piece", F.explode(F.array_distinct(F.when(F.length(t) > 0, pieces))))
+    return keyed.join(parts, keyed["_piece"] == parts[part]).drop("_piece")

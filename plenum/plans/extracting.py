@@ -154,12 +154,15 @@ def full_text(c: Civic) -> DataFrame:
     return Q.search(c.table("documents"), "doc_id", "text", "This theren").select("doc_id", "poang")
 
 
-@query("txt_03_headline")
+FOUND = f"SELECT doc_id, text, floor(len(list_filter(s, lambda x: x IN ('the', 'that'))) / len(s) * 1e6 + 0.5) / 1e6 AS poang FROM (SELECT doc_id, text, {STEMS} AS s FROM documents) WHERE list_contains(s, 'the') AND list_contains(s, 'that')"
+
+
+@query("txt_03_headline", rf"SELECT doc_id, trim(substr(text, greatest(length(regexp_extract(lower(text), '(?s)^(|.*?[^\p{{L}}\p{{N}}])the', 1)) + 1 - 80, 1), 240)) AS utdrag FROM ({FOUND})", plain=True)
 def headline(c: Civic) -> DataFrame:
     return Q.search(c.table("documents"), "doc_id", "text", "the that").select("doc_id", "utdrag")
 
 
-@query("srt_06_ranked")
+@query("srt_06_ranked", f"SELECT doc_id, poang FROM ({FOUND}) ORDER BY poang DESC, doc_id LIMIT 20", plain=True)
 def ranked(c: Civic) -> DataFrame:
     """The twenty best hits: a search page."""
     return Q.search(c.table("documents"), "doc_id", "text", "the that", take=20).select("doc_id", "poang")

@@ -91,20 +91,23 @@ def alias_lookup(c: Civic) -> DataFrame:
 
 
 @query("jon_10_token_subset", """
-SELECT p.p_partkey, min(w.p_partkey) AS traff FROM part p JOIN (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part WHERE p_partkey < 40) w
+SELECT p.p_partkey, min(w.p_partkey) AS traff FROM part p JOIN (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part) w
   ON list_has_all(string_split(p.p_name, ' '), w.t) OR list_has_all(w.t, string_split(p.p_name, ' ')) GROUP BY 1
 """, plain=True)
 def token_subset(c: Civic) -> DataFrame:
     """A name and a roster entry match if one's words are all among the other's; the first in roster order counts.
 
-    The roster is a small dictionary; both sides meet by their distinct word sets, so equal names are compared once.
+    Both sides are distinct word sets.  A set that lies in another has its rarest word there, too, so they meet on that word.
     """
-    parts = c.table("part").select("p_partkey", F.split("p_name", " ").alias("t"))
-    roster = parts.filter("p_partkey < 40").groupBy(F.col("t").alias("w")).agg(F.min("p_partkey").alias("traff"))
-    sets = parts.select("t").distinct()
-    fits = (F.size(F.array_except("t", "w")) == 0) | (F.size(F.array_except("w", "t")) == 0)
-    best = sets.join(roster, fits).groupBy("t").agg(F.min("traff").alias("traff"))
-    return parts.join(best, "t").select("p_partkey", "traff")
+    parts = c.table("part").select("p_partkey", F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("t"))
+    sets = parts.groupBy("t").agg(F.min("p_partkey").alias("traff"))
+    words = sets.select("t", "traff", F.explode("t").alias("ord"))
+    counts = words.groupBy("ord").agg(F.count("*").alias("n"))
+    rarest = words.join(counts, "ord").groupBy("t", "traff").agg(F.min_by("ord", F.struct("n", "ord")).alias("ord"))
+    small = rarest.select("ord", F.col("t").alias("s"), F.col("traff").alias("s_traff"))
+    inside = words.join(small, "ord").filter(F.size(F.array_except("s", "t")) == 0)
+    pairs = inside.select("t", F.col("s_traff").alias("traff")).union(inside.select(F.col("s").alias("t"), "traff"))
+    return parts.join(pairs.groupBy("t").agg(F.min("traff").alias("traff")), "t").select("p_partkey", "traff")
 
 
 @query("jon_11_prefix_overlap", """
@@ -133,10 +136,11 @@ def dictionary(c: Civic) -> DataFrame:
 SELECT a.n_name AS namn, min(b.n_name) AS traff FROM nation a JOIN nation b ON contains(lower(a.n_name), left(lower(b.n_name), 15)) OR contains(lower(b.n_name), left(lower(a.n_name), 15)) GROUP BY 1
 """, plain=True)
 def containment(c: Civic) -> DataFrame:
-    a = c.table("nation").select(F.col("n_name").alias("namn"))
-    b = c.table("nation").select(F.col("n_name").alias("andra"))
-    fits = F.contains(F.lower("namn"), F.left(F.lower("andra"), F.lit(15))) | F.contains(F.lower("andra"), F.left(F.lower("namn"), F.lit(15)))
-    return a.join(F.broadcast(b), fits).groupBy("namn").agg(F.min("andra").alias("traff"))
+    names = c.table("nation").select(F.col("n_name").alias("namn"), F.lower("n_name").alias("liten"))
+    parts = names.select(F.col("namn").alias("andra"), F.left("liten", F.lit(15)).alias("del"))
+    found = R.containing(names, "liten", parts, "del", 15).select("namn", "andra")
+    both = found.union(found.select("andra", "namn"))
+    return both.groupBy("namn").agg(F.min("andra").alias("traff"))
 
 
 @query("jon_14_mentions", """
@@ -223,12 +227,12 @@ SELECT a.nr, coalesce(h.id, 'votering-' || a.nr) AS id, h.id IS NULL AS ny FROM
 def annex_merge(c: Civic) -> DataFrame:
     """Annexes go to the first paragraph whose label contains their first 20 characters, else they become nodes of their own.
 
-    The annexes of one protocol are a handful and are broadcast; a paragraph is scanned once.
+    The annexes of one protocol are a handful, which Spark broadcasts when it finds them small; a paragraph is scanned once.
     """
     key = F.col("n_nationkey")
     text = F.concat(F.lit("ärende "), (key * 37).cast("string"), F.when(key % 5 == 0, " saknas helt").otherwise(" ("))
     annex = c.table("nation").select(key.alias("nr"), F.left(text, F.lit(20)).alias("text"))
-    hits = c.paragraphs().select("id", F.lower("label").alias("label")).join(F.broadcast(annex), F.contains("label", "text")).groupBy("nr").agg(F.min("id").alias("hit"))
+    hits = c.paragraphs().select("id", F.lower("label").alias("label")).join(annex, F.contains("label", "text")).groupBy("nr").agg(F.min("id").alias("hit"))
     return annex.join(hits, "nr", "left").select("nr", F.coalesce("hit", F.concat(F.lit("votering-"), F.col("nr").cast("string"))).alias("id"), F.col("hit").isNull().alias("ny"))
 
 

@@ -73,7 +73,7 @@ def agreement(c: Civic) -> DataFrame:
     b = positions.select("to_id", F.col("parti").alias("b"), F.col("s").alias("sb"))
     same = a.join(b, "to_id").filter("a < b").groupBy("a", "b").agg(S.half_up(F.avg(F.when(F.col("sa") == F.col("sb"), 1.0).otherwise(0.0)), 2).alias("enighet"))
     parties = c.people().select("parti").distinct()
-    cells = parties.withColumnRenamed("parti", "a").join(F.broadcast(parties.withColumnRenamed("parti", "b")), F.col("a") <= F.col("b"))
+    cells = parties.withColumnRenamed("parti", "a").join(parties.withColumnRenamed("parti", "b"), F.col("a") <= F.col("b"))
     return cells.join(same, ["a", "b"], "left").withColumn("enighet", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("enighet")))
 
 
@@ -92,7 +92,13 @@ SELECT floor((2 * sum(r * n) - (count(*) + 1) * sum(n)) / (count(*) * sum(n)) *
 def debate_gini(c: Civic) -> DataFrame:
     """Concentration of speaking among speakers, procedural remarks left out."""
     per = c.acts().filter("typ = 'talade_i' and langd >= 10").groupBy("from_id").agg(F.count("*").alias("value"))
-    return per.withColumn("rank", F.row_number().over(Window.orderBy("value"))).agg(S.gini().alias("gini"), F.count("*").alias("talare"))
+    # Speakers with as many turns share a row: what is put in order is the numbers of turns that occur.
+    same = per.groupBy("value").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.col("k") * F.col("fore") + F.col("k") * (F.col("k") + 1) / 2
+    people, turns = F.sum("k"), F.sum(F.col("k") * F.col("value"))
+    gini = F.when(people > 1, (2 * F.sum(ranks * F.col("value")) - (people + 1) * turns) / (people * turns)).otherwise(F.lit(0.0))
+    return same.withColumn("fore", before).agg(S.half_up(gini, 2).alias("gini"), people.alias("talare"))
 
 
 @query("met_08_debate_depth", """
@@ -138,8 +144,10 @@ def profile_axes(c: Civic) -> DataFrame:
         F.count_distinct(F.when(typ == "närvarade", F.col("to_id"))).alias("nar"), F.count_if(typ == "talade_i").alias("tal"), F.count_if(typ.isin("yrkat", "inlämnade_motion")).alias("ini")
     )
     meetings = c.acts().agg(F.count_distinct("to_id").alias("alla"))
-    majority = party_tallies(c).filter("ja != nej").select("parti", "to_id", (F.col("ja") > F.col("nej")).alias("for"))
-    own = c.party_votes().filter(F.col("rost").isin("ja", "nej")).join(majority, ["parti", "to_id"])
+    same = Window.partitionBy("parti", "to_id")
+    tallies = [F.count_if(F.col("rost") == k).over(same).alias(k) for k in ("ja", "nej")]
+    votes = c.party_votes().filter(F.col("rost").isin("ja", "nej")).select("from_id", "rost", *tallies)
+    own = votes.filter("ja != nej").select("from_id", "rost", (F.col("ja") > F.col("nej")).alias("for"))
     loyalty = own.groupBy("from_id").agg(F.count("*").alias("n"), (F.avg(F.when((F.col("rost") == "ja") == F.col("for"), 1.0).otherwise(0.0)) * 100).alias("l"))
     rows = c.people().select(F.col("id").alias("from_id")).join(acts, "from_id").join(loyalty, "from_id", "left").crossJoin(F.broadcast(meetings))
     per = F.col("tal") / F.col("nar")

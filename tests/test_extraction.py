@@ -333,14 +333,25 @@ def test_search(spark):
     assert [r.id for r in search(rows, "id", "text", "bilar", take=5).collect()] == [3, 2]
 
 
-def test_mentions_both_ways(spark):
+def test_mentions(spark):
     from plenum.operators import mentions as M
 
-    texts = spark.createDataFrame([(1, "xa lilla huset vid den stora sjön här; ab"), (2, "ab ab"), (3, None), (4, "")], "id long, text string")
-    names = spark.createDataFrame([(7, "a lilla huset vid den stora sjö"), (8, "ab"), (9, ""), (10, "saknas helt")], "nr long, namn string")
-    want = [(1, 7, 2), (1, 8, 40), (2, 8, 1)]
-    for how in (M.mentions, M._by_openings):
-        assert values(how(texts, "id", "text", names.filter("namn != ''"), "nr", "namn"), "id", "nr", "plats") == want
+    texts = spark.createDataFrame([(1, "xa lilla huset vid den stora sjön här; ab"), (2, "ab ab\ncd e"), (3, None), (4, "")], "id long, text string")
+    names = [(7, "a lilla huset vid den stora sjö"), (8, "ab"), (9, ""), (10, "saknas helt"), (11, "b\ncd"), (12, "huset  vid den"), (13, "lilla huset vid"), (14, "a lilla huset här"), (15, None), (16, "sjön här; ab")]
+    got = values(M.mentions(texts, "id", "text", spark.createDataFrame(names, "nr long, namn string"), "nr", "namn"), "id", "nr", "plats")
+    assert got == [(1, 7, 2), (1, 8, 40), (1, 13, 4), (1, 16, 30), (2, 8, 1), (2, 11, 5)]
+    assert M.mentions(texts, "id", "text", spark.createDataFrame([], "nr long, namn string"), "nr", "namn").count() == 0
+
+
+def test_prefixes_and_pieces(spark):
+    names = spark.createDataFrame([("grundskolan", 1), ("grundskolan i norr", 2), ("kort", 3), ("annat", 4)], "namn string, k int")
+    entries = spark.createDataFrame([("grundskolan i syd", 1), ("grundskolan", 2), ("kortare", 3), ("grund", 0)], "post string, plats int")
+    assert values(R.best_prefix_match(names, "namn", entries, "post", "plats"), "k", "plats") == [(1, 2), (2, 0)]
+    parts = spark.createDataFrame([("sko",), ("n",), ("",), (None,), ("grundskolan i norr",)], "del string")
+    assert values(R.containing(names, "namn", parts, "del", 5).distinct(), "k", "del") == [(1, "n"), (1, "sko"), (2, "n"), (2, "sko"), (4, "n")]
+    rows = spark.createDataFrame([("a", 5), ("b", 3), (None, 2), ("c", 1)], "namn string, v long")
+    assert sorted(map(tuple, R.top_and_rest(rows, "namn", "v", 2).collect())) == [("a", 5), ("b", 3), ("Övrigt", 3)]
+    assert R.top_and_rest(rows, "namn", "v", 9).count() == 4
 
 
 def test_values(spark):
