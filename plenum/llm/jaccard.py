@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.exact_dedup import FAN_IN, n_levels
-from plenum.llm.scratch import KEY, ROW, emitted, key_of, stored
+from plenum.llm.scratch import KEY, ROW, emitted, key_of, over_cores, spread, stored
 
 WIDTH = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -314,11 +314,6 @@ def _sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---- 3. to 5. cells, pivots, regions --------------------------------------------------------------------------------------
 
 
-def _spread(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join for a ``left`` in which a key may have very many rows, by way of its distinct keys per run (column ``run``)."""
-    return left.join(left.select("run", *on).distinct().join(right, on), ["run", *on])
-
-
 def _run(sig: str, sets: DataFrame) -> Column:
     """Deals the rows of a key that very many sets have over several."""
     return F.pmod(F.xxhash64(sig), F.lit(FAN_IN ** n_levels(sets))).alias("run")
@@ -340,9 +335,9 @@ def _components(links: DataFrame) -> DataFrame:
     labels = stored(edges.groupBy("sig").agg(F.least("sig", F.min("other")).alias("comp"), F.first("run").alias("run")), "labels")
     while True:
         # The least label among a point, its neighbours and, by pointer jumping, what its own label points to.
-        near = _spread(edges, labels.select(F.col("sig").alias("other"), "comp"), ["other"]).groupBy("sig").agg(F.min("comp").alias("near"))
+        near = spread(edges, labels.select(F.col("sig").alias("other"), "comp"), ["other"]).groupBy("sig").agg(F.min("comp").alias("near"))
         jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("jump"))
-        moved = _spread(labels.join(near, "sig"), jump, ["comp"])
+        moved = spread(labels.join(near, "sig"), jump, ["comp"])
         moved = stored(moved.select("sig", F.least("comp", "near", "jump").alias("comp"), "run", F.col("comp").alias("was")), "labels")
         labels = moved.select("sig", "comp", "run")
         if moved.filter("comp != was").isEmpty():
@@ -359,12 +354,12 @@ def _first_cells(sets: DataFrame) -> DataFrame:
     reach = F.floor(((100 + PERCENT) * (F.col("n") - F.col("pos")) - PERCENT * F.col("n")) / PERCENT)
     placed = stored(placed.select("cell", "sig", "n", "alone", "run", "pos", reach.alias("reach")), "cells")
     least = placed.groupBy("cell").agg(F.min("n").alias("least"), F.count("*").alias("k")).filter("k > 1").select("cell", "least")
-    cells = stored(_spread(placed, least, ["cell"]).filter("reach >= least").drop("least"), "cells")
+    cells = stored(spread(placed, least, ["cell"]).filter("reach >= least").drop("least"), "cells")
     marks = [F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
     members = cells.groupBy("cell").agg(*marks, F.count("*").alias("members"), F.sum("pos").alias("place")).filter("members > 1")
     # The first in the order: there the pairs of these members that share none before it meet with the most reach.
     chosen = members.groupBy("m1", "m2", "members").agg(F.min_by("cell", "place").alias("cell")).select("cell", "members")
-    cells = _spread(cells, chosen, ["cell"]).drop("pos")
+    cells = spread(cells, chosen, ["cell"]).drop("pos")
     return stored(cells.withColumns({"root": F.col("cell"), "native": F.lit(True), "main": F.lit(False)}), "cells")
 
 
@@ -377,7 +372,7 @@ def _links(sets: DataFrame) -> DataFrame:
         drawn += [F.min(F.when(F.col("native"), F.struct(mark(k).alias("mark"), "sig"))).getField("sig").alias(f"p{k}") for k in range(1, PIVOTS)]
         several = F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))
         pivots = cells.groupBy("cell").agg(*drawn, F.first("members").alias("k")).select("cell", F.when(F.col("k") > CELL, several).otherwise(F.array("p0")).alias("pivots"))
-        starred = _spread(cells, pivots, ["cell"]).withColumn("pivot", F.explode("pivots")).drop("pivots")
+        starred = spread(cells, pivots, ["cell"]).withColumn("pivot", F.explode("pivots")).drop("pivots")
         starred = stored(starred.withColumn("a", F.least("sig", "pivot")).withColumn("b", F.greatest("sig", "pivot")), "starred")
         pairs = starred.filter("a != b").select(F.col("a").alias("sig"), F.col("b").alias("other")).distinct()
         new = _verified(pairs if known is None else pairs.join(known, ["sig", "other"], "left_anti"), sets)
@@ -409,9 +404,9 @@ def _open(cells: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
     cells = stored(cells.join(labels.select("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "regions")
     if first:
         largest = cells.filter("native").groupBy("root", "comp").agg(F.count("*").alias("k")).groupBy("root").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
-        cells = _spread(cells, largest, ["root"]).withColumn("main", F.col("comp") == F.col("largest")).withColumn("native", F.col("native") & ~F.col("main")).drop("largest")
+        cells = spread(cells, largest, ["root"]).withColumn("main", F.col("comp") == F.col("largest")).withColumn("native", F.col("native") & ~F.col("main")).drop("largest")
     counted = cells.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members"), F.count_if("native").alias("natives"))
-    return stored(_spread(cells, counted.filter("a != b and natives > 0").select("cell", "members", "natives"), ["cell"]), "open")
+    return stored(spread(cells, counted.filter("a != b and natives > 0").select("cell", "members", "natives"), ["cell"]), "open")
 
 
 def _leaf(cells: DataFrame, sets: DataFrame) -> DataFrame:
@@ -440,9 +435,9 @@ def _classes(rows: DataFrame) -> DataFrame:
     per_sig = docs.filter("sig is not null").groupBy("sig").agg(first)
     labels = _components(_links(sets))
     per_comp = per_sig.join(labels, "sig").groupBy("comp").agg(F.min("first").alias("best"))
-    best = _spread(labels, per_comp, ["comp"]).select("sig", "best")
+    best = spread(labels, per_comp, ["comp"]).select("sig", "best")
     per_sig = per_sig.join(best, "sig", "left").select("sig", F.coalesce("best", "first").alias("first"))
-    named = _spread(docs.filter("sig is not null"), per_sig, ["sig"])
+    named = spread(docs.filter("sig is not null"), per_sig, ["sig"])
     named = named.select("doc_id", ROW, *KEY, F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.row") == F.col(ROW)).alias("is_first"))
     empty = docs.filter("sig is null").select("doc_id", ROW, *KEY, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first"))
     return named.unionByName(empty)
@@ -454,11 +449,11 @@ def components(docs: DataFrame) -> DataFrame:
     Null and empty texts have no shingles and are components of their own; a null id is never a component's unless the
     component has no other; repeated rows are in one component; an empty table gives no rows.  Other columns are not read.
     """
-    rows = docs.select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    rows = over_cores(docs.select("doc_id", "text")).withColumn(ROW, F.monotonically_increasing_id())
     return _classes(rows).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, one of each component: the smallest doc_id's."""
-    rows = docs.select(*key_of(docs), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    rows = over_cores(docs.select(*key_of(docs), "doc_id", "text")).withColumn(ROW, F.monotonically_increasing_id())
     return emitted(docs, _classes(rows), "is_first")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenum.llm.scratch import free_name
+from plenum.llm.scratch import free_name, over_cores
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     # A task gives a language at most BUCKETS cells; they are summed per bucket before they are listed.
     totals = (
-        rows.mapInArrow(sums, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        over_cores(rows).mapInArrow(sums, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
     )
     found = sorted(totals.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r.lang)
@@ -182,4 +182,4 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", into: str = "la
     def scored(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(scores((t if isinstance(t, str) else None for t in texts), Model(*sent.value)), columns=RESULT.names)
 
-    return docs.withColumn(free_name(into, docs.columns), scored(F.col(text)))
+    return over_cores(docs).withColumn(free_name(into, docs.columns), scored(F.col(text)))

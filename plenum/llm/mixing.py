@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import KEY, ROW, emitted, key_of, stored
+from plenum.llm.scratch import KEY, ROW, emitted, key_of, over_cores, spread, stored
 
 # Weights of the sources in code-point order, repeating; all targets' share of all sizes; a source's most.
 WEIGHTS = (5, 2, 1)
@@ -25,6 +25,8 @@ SEED = "mix-1"
 #: A source has fewer than so many documents of more than 1 / LARGE of its size.
 LARGE = 50
 OFFSETS = 16
+#: Rows of a source meet what is known of the source in so many lots.
+RUNS = 64
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -89,41 +91,43 @@ def copies(sized: DataFrame) -> DataFrame:
     digits = max(1, round(math.log(max(1.0, sized.count() ** 0.5 / 64), 16)))  # of the hash, that split a size class
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("z"))  # null after all names
     mark = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = sized.withColumn("key", key).withColumn("mark", mark).withColumn("block", F.concat(size_class(F.col("size")), F.substring("mark", 1, digits)))
-    totals = stored(targets(placed.groupBy("key").agg(F.sum("size").alias("source_size"))), "targets")
+    block = F.concat(size_class(F.col("size")), F.substring(mark, 1, digits))
+    placed = sized.withColumns({"key": key, "mark": mark, "block": block, "run": F.pmod(F.xxhash64(ROW), F.lit(RUNS))})
+    totals = targets(placed.groupBy("key").agg(F.sum("size").alias("source_size")))
 
     # Large documents: at most LARGE - 1 a source, so their sizes are a short array.
     order = ["mark", "doc_id", "tie", ROW]
-    large = placed.join(totals, "key").filter(F.col("size") * LARGE > F.col("source_size"))
+    placed = stored(spread(placed, totals, ["key"]), "placed")
+    large = placed.filter(F.col("size") * LARGE > F.col("source_size"))
     listed = F.reverse(F.array_sort(F.collect_list(F.struct("size", *order))))
     whole = large.groupBy("key", "source_size", "target").agg(listed.alias("rows"))
     whole = whole.withColumn("done", _whole(F.col("rows.size"), F.col("source_size"), F.col("target")))
     rows = F.arrays_zip(F.col(f"rows.{ROW}").alias(ROW), F.col("done.copies").alias("whole"))
-    taken = stored(whole.select(F.explode(rows).alias("row"), "key").select("key", f"row.{ROW}", "row.whole"), "large")
+    taken = whole.select(F.explode(rows).alias("row")).select(f"row.{ROW}", "row.whole")
     rest = totals.join(whole.select("key", "done.left", "done.rest"), "key", "left").withColumns(
         {"left": F.coalesce("left", "target"), "rest": F.coalesce("rest", F.col("source_size").cast("double"))}
     )
     each = F.when(F.col("rest") > 0, F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("left") / F.col("rest")))).otherwise(F.lit(0.0))
-    rest = stored(rest.select("key", "source_size", "target", "left", each.alias("each")), "rest")
+    rest = rest.select("key", "source_size", "target", "left", each.alias("each"))
 
     # The others: their place in their source, in two levels.
-    others = placed.join(rest.select("key", "source_size"), "key").filter(F.col("size") * LARGE <= F.col("source_size")).drop("source_size")
+    others = placed.filter(F.col("size") * LARGE <= F.col("source_size"))
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = others.groupBy("key", "block").agg(F.count("*").alias("n"))
     before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("key", "block", "before")
     inside = Window.partitionBy("key", "block").orderBy("mark", "doc_id", "tie")
     ranked = others.withColumn("rank", F.row_number().over(inside)).join(before, ["key", "block"])
-    ranked = stored(ranked.select("key", *sized.columns, (F.col("before") + F.col("rank")).alias("rank")), "ranked")
+    ranked = stored(ranked.select("key", "run", *sized.columns, (F.col("before") + F.col("rank")).alias("rank")), "ranked")
 
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "key")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     crossed = lambda k: F.floor(F.col("each") * k + F.col("offset"))
     n = (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("long").alias("copies")
-    tried = ranked.join(rest, "key").select("key", "left", "each", "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
+    tried = spread(ranked, rest, ["key"]).select("key", "left", "each", "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
     tried = tried.withColumn("offset", (F.col("k") + shift) / F.lit(float(OFFSETS))).groupBy("key", "left", "k", "offset").agg(F.sum(n * F.col("size")).alias("words"))
     nearest = tried.groupBy("key").agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("left")), "k")).alias("offset"))
     chosen = rest.join(nearest, "key")
-    certain = sized.join(taken, ROW).join(totals, "key").select(*sized.columns, "source_size", "target", F.col("whole").alias("copies"))
-    return ranked.join(chosen, "key").select(*sized.columns, "source_size", "target", n).unionByName(certain)
+    certain = large.join(taken, ROW).select(*sized.columns, "source_size", "target", F.col("whole").alias("copies"))
+    return spread(ranked, chosen, ["key"]).select(*sized.columns, "source_size", "target", n).unionByName(certain)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -134,6 +138,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     whose documents are so few and unequal that no numbers of copies make its target comes as near as they allow.
     """
     tie = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("tie")
+    docs = over_cores(docs.select("doc_id", "source", "text"))
     sized = stored(docs.select(F.monotonically_increasing_id().alias(ROW), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), tie), "sizes")
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

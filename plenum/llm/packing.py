@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.llm.scratch import stored
+from plenum.llm.scratch import over_cores, stored
 from plenum.llm.tokens import encoder, vocabulary_path
 
 SIZE = 4096
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) ->
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return stored(rows.mapInArrow(cut, PIECES), "pieces")
+    return stored(over_cores(rows).mapInArrow(cut, PIECES), "pieces")
 
 
 def packed(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenum.llm.scratch import free_name
+from plenum.llm.scratch import free_name, over_cores
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -109,9 +109,9 @@ def quality(docs: DataFrame, text: str = "text", into: str = "quality") -> DataF
     Nulls and empty texts count as no words: base_failed, not kept.  Rows are independent: repeated rows get equal values.
     A column of that name stays, and the new one gets an underscore behind its own.
     """
-    return docs.withColumn(free_name(into, docs.columns), _measured(F.col(text)))
+    return over_cores(docs).withColumn(free_name(into, docs.columns), _measured(F.col(text)))
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, whose text the rules keep."""
-    return docs.filter(_measured(F.col(text))["kept"])
+    return over_cores(docs).filter(_measured(F.col(text))["kept"])

@@ -49,6 +49,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it comes in fewer partitions than there are cores: a small table's texts may all be in one row group.
+
+    A table of more partitions is left as it is, so that no text is shuffled before it is worked on.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join for a ``left`` in which a key may have very many rows, by way of its distinct keys per run (column ``run``)."""
+    return left.join(left.select("run", *on).distinct().join(right, on), ["run", *on])
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, with underscores behind it if one of ``taken`` has that name."""
     while wanted.lower() in {x.lower() for x in taken}:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenum.llm.scratch import free_name
+from plenum.llm.scratch import free_name, over_cores
 
 # The base kinds, in the order in which kinds at one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -120,4 +120,4 @@ def scanned(docs: DataFrame, text: str = "text", vocabulary: str | None = None,
     def found(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([scan(t if isinstance(t, str) else None, vocabulary) for t in texts], columns=RESULT.names)
 
-    return docs.withColumn(free_name(into, docs.columns), found(F.col(text)))
+    return over_cores(docs).withColumn(free_name(into, docs.columns), found(F.col(text)))
