@@ -1,6 +1,6 @@
 """Text extraction over documents made from the tables, full-text search, HTML, request windows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators import extraction as E
@@ -9,14 +9,26 @@ from plenum.plans.registry import query
 from plenum.sources.projection import Civic
 
 
+RECUSED = [("Karin Ek", "V"), ("Bo Alm", "M"), ("Cia Dahl-Berg", "KD")]
+PHRASES = [
+    "Ärendet bordläggs. Återstående ärenden ska bordläggas.", "Tidigare behandling: Bordlagt i mars.\nÄrendet bordläggs.", "Interpellationen bordläggs.", "Ärendet bordläggs.", "Ärendet får återremiss.",
+]
+
+
+def _one_of(values: list[str], by: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
+
 def protocols(c: Civic) -> DataFrame:
     """doc, text: a protocol per meeting day from its paragraphs; every fourth paragraph is continued on a later page."""
     nr = F.row_number().over(Window.partitionBy("mote").orderBy("id"))
-    phrase = F.when(F.col("beslut") == "bifall", "Förslaget har bifallits.").when(F.col("beslut") == "avslag", "Beslutet blev avslag.").otherwise("Ärendet bordläggs. Återstående ärenden ska bordläggas.")
+    n = F.col("nr").cast("string")
+    head = F.concat(F.lit("§ "), n, F.lit(" "), (F.col("nr") % 9 + 1000).cast("string"), F.lit("/2"), (F.col("nr") % 4).cast("string"))
+    phrase = F.when(F.col("beslut") == "bifall", "Förslaget har bifallits.").when(F.col("beslut") == "avslag", "Beslutet blev avslag.").otherwise(_one_of(PHRASES, F.col("nr")))
     body = F.concat(
-        F.lit("§ "), F.col("nr").cast("string"), F.lit(" 1435/22\n"), F.split_part("label", F.lit(" ("), F.lit(1)), F.lit("\nBeslut\n"), phrase, F.lit("\n"),
-        F.col("nr").cast("string"), F.lit(" Ja mot 7 Nej\nKarin Ek (V) deltar inte i beslutet.\n"),
-        F.when(F.col("nr") % 4 == 0, F.concat(F.lit("§ "), F.col("nr").cast("string"), F.lit(" 1435/22 forts.\nmera text\n"))).otherwise(F.lit("")),
+        head, F.lit("\n"), F.split_part("label", F.lit(" ("), F.lit(1)), F.lit("\nBeslut\n"), phrase, F.lit("\n"),
+        n, F.lit(" Ja mot "), (F.col("nr") % 7).cast("string"), F.lit(" Nej\n"), _one_of([f"{name} ({party})" for name, party in RECUSED], F.col("nr")), F.lit(" deltar inte i beslutet.\n"),
+        F.when(F.col("nr") % 4 == 0, F.concat(head, F.lit(" forts.\nmera text\n"))).otherwise(F.lit("")),
     )
     rows = c.paragraphs().withColumn("nr", nr).select(F.col("mote").alias("doc"), "nr", body.alias("del"))
     texts = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("nr", "del"))).alias("x"))
@@ -24,34 +36,38 @@ def protocols(c: Civic) -> DataFrame:
 
 
 NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY mote ORDER BY id)::INT AS n FROM paragraphs)"
+DECIDED = f"""(SELECT mote AS doc, n AS nr, n AS ja, n % 7 AS nej, label, (1000 + n % 9) || '/2' || (n % 4) AS arende,
+  CASE WHEN beslut IN ('bifall', 'avslag') THEN beslut WHEN n % 5 = 4 THEN 'återremiss' ELSE 'bordläggning' END AS beslut,
+  CASE WHEN beslut IN ('bifall', 'avslag') OR n % 5 = 4 THEN NULL ELSE ['tid', 'tidigare_bordlagd', 'interpellation_väntar', 'övrigt'][n % 5 + 1] END AS orsak,
+  ['Karin Ek', 'Bo Alm', 'Cia Dahl-Berg'][n % 3 + 1] AS namn, ['V', 'M', 'KD'][n % 3 + 1] AS parti FROM {NUMBERED})"""
 
 
-@query("txt_04_sections", f"SELECT mote AS doc, n AS nr, '1435/22' AS arende FROM {NUMBERED}")
+@query("txt_04_sections", f"SELECT doc, nr, arende FROM {DECIDED}")
 def sections(c: Civic) -> DataFrame:
     return E.sections(protocols(c)).select("doc", "nr", "arende")
 
 
-@query("txt_05_titles", f"SELECT mote AS doc, n AS nr, split_part(label, ' (', 1) AS rubrik FROM {NUMBERED}")
+@query("txt_05_titles", f"SELECT doc, nr, split_part(label, ' (', 1) AS rubrik FROM {DECIDED}")
 def titles(c: Civic) -> DataFrame:
     return E.decided(E.sections(protocols(c))).select("doc", "nr", "rubrik")
 
 
-@query("txt_06_decisions", f"SELECT mote AS doc, n AS nr, beslut, CASE WHEN beslut = 'bordläggning' THEN 'tid' END AS orsak FROM {NUMBERED}")
+@query("txt_06_decisions", f"SELECT doc, nr, beslut, orsak FROM {DECIDED}")
 def decisions(c: Civic) -> DataFrame:
     return E.decided(E.sections(protocols(c))).select("doc", "nr", "beslut", "orsak")
 
 
-@query("txt_07_tallies", f"SELECT mote AS doc, n AS nr, n AS ja, 7 AS nej, 'Karin Ek' AS namn, 'V' AS parti FROM {NUMBERED}")
+@query("txt_07_tallies", f"SELECT doc, nr, ja, nej, namn, parti FROM {DECIDED}")
 def tallies(c: Civic) -> DataFrame:
     rows = E.decided(E.sections(protocols(c)))
     return rows.select("doc", "nr", "ja", "nej").join(E.recusals(rows), ["doc", "nr"])
 
 
-@query("txt_08_merged_headers", f"SELECT mote AS doc, n AS nr, beslut, n AS ja FROM {NUMBERED}")
+@query("txt_08_merged_headers", f"SELECT doc, nr, beslut, ja FROM {DECIDED}")
 def merged_headers(c: Civic) -> DataFrame:
     """Protocols printed twice, the second time without decisions: headers repeat and are merged."""
     once = protocols(c)
-    again = F.regexp_replace(F.regexp_replace("text", r"(?m)^(Förslaget|Beslutet|Ärendet b).*$", ""), r"\d+ Ja mot 7 Nej", "")
+    again = F.regexp_replace(F.regexp_replace("text", r"(?m)^(Förslaget|Beslutet|Ärendet|Tidigare|Interpellationen).*$", ""), r"\d+ Ja mot \d Nej", "")
     return E.merged_headers(E.decided(E.sections(once.withColumn("text", F.concat("text", again))))).select("doc", "nr", "beslut", "ja")
 
 
@@ -63,17 +79,23 @@ def postponed(c: Civic) -> DataFrame:
 
 
 def annexes(c: Civic) -> DataFrame:
-    """doc, text: a vote annex per paragraph; a name in three is broken over two lines."""
+    """doc, text: a vote annex per paragraph; a name in three is broken over two lines, and a fourth of the annexes says one too few."""
     order = F.struct("from_id", "rost")
     votes = c.votes().groupBy(F.col("to_id").alias("doc")).agg(F.array_sort(F.collect_list(order)).alias("x"))
     name = lambda v: F.when(F.length(v["from_id"]) % 3 == 0, F.concat(F.lit("Nils\n"), v["from_id"])).otherwise(v["from_id"])
-    rows = F.array_join(F.transform("x", lambda v: F.concat(name(v), F.lit("   (S)   "), F.initcap(v["rost"]))), "\n")
-    n = F.size("x").cast("string")
-    return votes.select("doc", F.concat(F.lit("BILAGA 2\nÄrende: 13:2\nÄrendemening: Motion om cykelbanor\nAntal Ja: "), n, F.lit("\nAntal Nej: 0\nResultat\nNamn  Parti  Röst\n"), rows, F.lit("\n")).alias("text"))
+    rows = F.array_join(F.transform("x", lambda v: F.concat(name(v), F.lit("   (P"), F.right(v["from_id"], F.lit(1)), F.lit(")   "), F.initcap(v["rost"]))), "\n")
+    key = F.regexp_extract("doc", "[0-9]+", 0).cast("long")
+    yes = F.size(F.filter("x", lambda v: v["rost"] == "ja"))
+    no = F.size("x") - yes - F.when(key % 4 == 0, 1).otherwise(0)
+    item = F.concat((key % 90 + 1).cast("string"), F.lit(":"), (key % 3 + 1).cast("string"))
+    head = F.concat(F.lit("BILAGA 2\nÄrende: "), item, F.lit("\nÄrendemening: Motion om cykelbanor\nAntal Ja: "), yes.cast("string"), F.lit("\nAntal Nej: "), F.greatest(no, F.lit(0)).cast("string"))
+    return votes.select("doc", F.concat(head, F.lit("\nResultat\nNamn  Parti  Röst\n"), rows, F.lit("\n")).alias("text"))
 
 
 @query("txt_11_annex_votes", """
-SELECT to_id AS doc, '13:2' AS arende, '13' AS bas, CASE WHEN length(from_id) % 3 = 0 THEN 'Nils ' ELSE '' END || from_id AS namn, 'S' AS parti, rost, false AS radera FROM votes
+, k AS (SELECT *, regexp_extract(to_id, '[0-9]+')::BIGINT AS nr, count(*) OVER (PARTITION BY to_id) AS alla, count(*) FILTER (WHERE rost = 'ja') OVER (PARTITION BY to_id) AS ja FROM votes)
+SELECT to_id AS doc, (nr % 90 + 1) || ':' || (nr % 3 + 1) AS arende, (nr % 90 + 1)::VARCHAR AS bas, CASE WHEN length(from_id) % 3 = 0 THEN 'Nils ' ELSE '' END || from_id AS namn,
+       'P' || right(from_id, 1) AS parti, rost, nr % 4 = 0 AND alla > ja AS radera FROM k
 """)
 def annex_votes(c: Civic) -> DataFrame:
     return E.annex_votes(annexes(c))
@@ -100,15 +122,20 @@ SAID = "trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'))"
 
 
 @query("txt_16_speeches", f"""
-SELECT conv_id::VARCHAR AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS ordning, upper(role[1]) || substr(role, 2) AS talare, 'V' AS parti, 3 AS arende, 'Budget för året' AS arendetitel, said AS text
+SELECT conv_id::VARCHAR AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS ordning, upper(role[1]) || substr(role, 2) AS talare, CASE WHEN turn % 2 = 0 THEN 'V' ELSE 'KD' END AS parti,
+       (CASE WHEN turn >= 2 THEN 1 + (conv_id + 1) % 200 ELSE 1 + conv_id % 200 END)::INT AS arende, CASE WHEN turn >= 2 THEN 'Fråga från ' || conv_id ELSE 'Budget för ' || conv_id END AS arendetitel, said AS text
 FROM (SELECT *, {SAID} AS said FROM conversations) WHERE length(said) > 10
 """, plain=True)
 def speeches(c: Civic) -> DataFrame:
-    """Debates written out as transcripts and read back."""
+    """Debates on two items, the second from the third turn on, written out as transcripts and read back."""
     said = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
-    turn = F.concat(F.initcap("role"), F.lit(" (V)\n"), said, F.lit("\n17\n"))
-    rows = c.table("conversations").groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("x"))
-    return E.speeches(rows.select("doc", F.concat(F.lit("Yttrandeprotokoll 2024\n  3. Budget för året\n"), F.array_join(F.transform("x", lambda v: v["t"]), "")).alias("text")))
+    number = lambda more: ((F.col("conv_id") + more) % 200 + 1).cast("string")
+    second = F.when(F.col("turn") == 2, F.concat(F.lit("  "), number(1), F.lit(". Fråga från "), F.col("conv_id").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
+    party = F.when(F.col("turn") % 2 == 0, " (V)\n").otherwise(" (KD)\n")
+    turn = F.concat(second, F.initcap("role"), party, F.coalesce(said, F.lit("")), F.lit("\n17\n"))
+    first = F.concat(F.lit("Yttrandeprotokoll 2024\n  "), number(0), F.lit(". Budget för "), F.col("conv_id").cast("string"), F.lit("\n"))
+    rows = c.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t")))).alias("x"))
+    return E.speeches(rows.select(F.col("conv_id").cast("string").alias("doc"), F.concat(first, F.array_join(F.transform("x", lambda v: v["t"]), "")).alias("text")))
 
 
 @query("txt_22_amounts", """
