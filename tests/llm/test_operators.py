@@ -374,6 +374,14 @@ def test_cached_words_equal_whole_texts(text):
     assert np.frombuffer(tokens.encoder(tokens.vocabulary_path()).encode(text), "<u4").tolist() == want
 
 
+def test_whole_texts_have_the_ids_of_the_tokenizers_library(docs):
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = [r.text for r in docs.collect()]
+    for text in [*texts, " ".join(texts)[:200_000]]:
+        got = np.frombuffer(tokens.encoder(tokens.vocabulary_path()).encode(text), "<u4").tolist()
+        assert got == t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
 def test_token_files(spark, docs):
     encode = tokens.encoder(tokens.vocabulary_path()).encode
     start = 0
@@ -579,6 +587,22 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert len(set(comp)) < len(comp) - 40
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_jaccard_of_a_large_group(spark, far, monkeypatch):
+    """Copies of one text, most of them linked to it, or (``far``) few to each other: regions are split and joined over several levels."""
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    rng, base = random.Random(7), [f"b{i}" for i in range(120)]
+    texts = [] if far else [" ".join(base)]
+    for _ in range(300):
+        words = list(base)
+        for _ in range(rng.randint(3, 5) if far else rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 9)}"
+        texts.append(" ".join(words))
+    _, comp = brute_components(texts)
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows(*texts), SCHEMA)).collect()}
+    assert [got[i] for i in range(len(texts))] == comp and len(set(comp)) > 1
+
+
 def test_jaccard_on_documents(spark, docs):
     texts = docs.orderBy("doc_id").collect()
     _, comp = brute_components([r.text for r in texts])
