@@ -48,7 +48,7 @@ PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 SLACK = 1e-9
 #: Hashes that a map task holds before it deals them out, and that a range of hashes has on average.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Members up to which a region is joined; a larger one is split by so many pivots, as long as that leaves at most this share
 #: of the members in a region.
 CELL = 32
@@ -60,7 +60,7 @@ DEALT_NATIVES = 256
 SKETCH = 32
 
 #: Words whose hashes a Python worker keeps, and bytes of text that are shingled at a time.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 STEP_BYTES = 1 << 20
 
 
