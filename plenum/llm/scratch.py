@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 ROW = "_plenum_row"
 KEY = ["_plenum_k1", "_plenum_k2"]
+#: Spark's setting for removing the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
@@ -42,10 +44,18 @@ def clear(spark: SparkSession) -> int:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again."""
+    """``df`` written once as Parquet in the shared folder and read again.
+
+    Once the table is whole nothing reads the shuffle files behind it, so they go at once and not at some later collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
