@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac, exact_dedup, jaccard, langid, mixing, packing, quality, secret_scan, sharding, warc
+from plenum.llm import dac, exact_dedup, jaccard, langid, mixing, packing, quality, secret_scan, sharding, suffix_sort, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def packing_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_sort.repeats(_documents(spark, sf_dir))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing_sources,
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": shard_compaction,
         "op9_jaccard": jaccard_join,
         "op10_packing": packing_sequences,
+        "op11_suffix_sort": suffix_array_dedup,
     }
 
 
