@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac, exact_dedup, jaccard, langid, mixing, packing, quality, secret_scan, sharding, suffix_sort, warc
+from plenum.llm import dac, exact_dedup, importance, jaccard, langid, mixing, packing, quality, secret_scan, sharding, suffix_sort, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing_sources,
@@ -76,11 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard": jaccard_join,
         "op10_packing": packing_sequences,
         "op11_suffix_sort": suffix_array_dedup,
+        "op12_resampling": target_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL}
+    return {"op1_mixing": MIXING_SQL, "op4_exact_dedup": EXACT_SQL, "op5_warc": WARC_SQL, "op12_resampling": RESAMPLING_SQL}
 
 
 MIXING_SQL = r"""
@@ -158,3 +164,44 @@ SELECT page_id, payload_bytes, payload_digest,
        strftime(TIMESTAMP '1996-01-01' + to_seconds(page_id % 630720000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date, url
 FROM f
 """
+
+RESAMPLING_SQL = r"""
+WITH c AS (
+  SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS crcs
+  FROM (SELECT unnest(range(256)) AS i)
+), d AS (
+  SELECT doc_id, 'd' AS side, row_number() OVER () AS row, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  UNION ALL
+  SELECT NULL, 'b', row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT side, row, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d
+), n AS (
+  SELECT side, row, word, count(*) AS n FROM w GROUP BY ALL
+), x AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM n)
+), b AS (
+  SELECT word, xor(4294967295::BIGINT, list_reduce(
+    [4294967295::BIGINT] || list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT),
+    lambda c, y: xor(c >> 8, crcs[(xor(c, y) & 255) + 1]))) % 10000 AS bucket
+  FROM x, c
+), k AS (
+  SELECT side, row, bucket, sum(n)::BIGINT AS n FROM n JOIN b ON n.word = b.word GROUP BY ALL
+), s AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS t FROM k GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM s) + 10000)::DOUBLE)))::BIGINT AS gain FROM s
+), m AS (
+  SELECT row, sum(n)::BIGINT AS n_features, ((sum(n * gain) % sum(n) + sum(n)) % sum(n))::BIGINT AS rest, sum(n * gain)::BIGINT AS total
+  FROM k JOIN g ON k.bucket = g.bucket WHERE side = 'd' GROUP BY row
+), r AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - rest) // n_features, 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM d LEFT JOIN m ON d.row = m.row WHERE side = 'd'
+), o AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS fits,
+         row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, n_features, weight) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS all_fit
+  FROM r
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fits AND place <= all_fit * 10 // 100 THEN place END AS rank FROM o
+"""
