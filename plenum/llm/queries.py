@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import dac, exact_dedup, importance, jaccard, langid, mixing, packing, quality, secret_scan, sharding, suffix_sort, warc
+from plenum.llm import dac, exact_dedup, importance, jaccard, langid, mixing, packing, quality, secret_scan, sharding, suffix_sort, warc, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,11 @@ def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long cannot hold it
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing_sources,
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": packing_sequences,
         "op11_suffix_sort": suffix_array_dedup,
         "op12_resampling": target_resampling,
+        "op13_whitening": embedding_whitening,
     }
 
 

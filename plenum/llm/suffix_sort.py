@@ -145,29 +145,33 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["raw"]), np.uint8), np.array(row["size"], np.int64)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (doc_id, text as bytes) as CHUNKS."""
-    part, made = TaskContext.get().partitionId(), 0
-    ids: list[int | None] = []
-    texts: list[bytes] = []
-    size = 0
-
-    def close() -> pa.RecordBatch:
-        nonlocal ids, texts, size, made
-        raw = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-        row = {"chunk": (part << 32) + made, "doc": [*range(len(ids))], "at": [0] * len(ids), "size": [*map(len, texts)], "raw": raw, "ids": ids}
-        ids, texts, size, made = [], [], 0, made + 1
-        return _rows([row], CHUNKS)
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
-            texts.append(text.as_py() or b"")
-            size += len(texts[-1])
-            if size >= CHUNK:
-                yield close()
-    if ids:
-        yield close()
+def _chunked(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents (doc_id, text as bytes) to CHUNKS of ``most`` bytes or a little more."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal ids, texts, size, made
+            raw = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            row = {"chunk": (part << 32) + made, "doc": [*range(len(ids))], "at": [0] * len(ids), "size": [*map(len, texts)], "raw": raw, "ids": ids}
+            ids, texts, size, made = [], [], 0, made + 1
+            return _rows([row], CHUNKS)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc_id)
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size >= most:
+                    yield close()
+        if ids:
+            yield close()
+
+    return gather
 
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
@@ -287,10 +291,10 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Null texts are empty; texts under ``threshold`` bytes stay whole; repeated rows and rows with equal or null ids are separate
     documents, so their long texts are removed; an empty table gives no rows.  Other columns are not read.
     """
-    if threshold < 1:
-        raise ValueError("threshold must be positive")
+    if not 1 <= threshold <= BLOCK:
+        raise ValueError(f"the threshold must lie between 1 and {BLOCK}")
     texts = over_cores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
-    chunks = stored(texts.mapInArrow(_chunked, CHUNKS), "chunks")
+    chunks = stored(texts.mapInArrow(_chunked(CHUNK), CHUNKS), "chunks")
     state, spans = chunks.drop("ids"), []
     for depth in depths(threshold):
         verdicts = _verdicts(state.mapInArrow(_entries(depth, threshold), ENTRIES), depth == threshold)
