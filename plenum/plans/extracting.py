@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.operators import extraction as E
+from plenum.operators import html as H
 from plenum.operators import search as Q
 from plenum.plans.registry import query
 from plenum.sources.projection import Civic
@@ -200,6 +201,62 @@ def html_titles(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("titel"), F.regexp_count("html", F.lit('<a href="[^"]+">')).cast("long").alias("lankar"))
 
 
+def _number(column: str) -> Column:
+    return F.regexp_extract(column, "[0-9]+", 0).cast("long")
+
+
+def member_pages(c: Civic) -> DataFrame:
+    """sida, html: a committee's members, a thousand numbers a page; some rows lack end tags, hold a table, or have no link."""
+    k = _number("id")
+    name = F.when(k % 7 == 0, F.col("namn")).otherwise(F.concat(F.lit('<a class=x href="/person/'), "id", F.lit('?flik=1"> '), "namn", F.lit(" </a>")))
+    role = F.when(k % 5 == 0, F.lit("Ordförande<table><tr><td> 2024</table>")).otherwise(F.lit("Ledamot"))
+    end = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("</td>"))
+    row = F.concat(F.lit("<tr>\n<td>"), name, end, F.lit("<td>F &amp; "), k.cast("string"), end, F.lit("<td>"), "parti", end, F.lit("<td>"), role, end, F.when(k % 3 == 0, F.lit("\n")).otherwise(F.lit("</tr>\n")))
+    page = F.concat_ws("/", "namnd", F.floor(k / 1000).cast("string"))
+    rows = c.people().groupBy(page.alias("sida")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))), lambda x: x["r"]), "").alias("r"))
+    head = '<!DOCTYPE html><html><body><script>var t = "<tr><td>";</script><table id="engagementTable"><thead><tr><th>Efternamn</th><th>Namn</th></tr></thead><tbody>'
+    return rows.select("sida", F.concat(F.lit(head), "r", F.lit("</tbody></table><table><tr><td><a href='/person/x'>Annan</a><td>tabell</table></body>")).alias("html"))
+
+
+@query("src_12_members", """
+SELECT sida, id, namn AS efternamn, 'F & ' || k AS fornamn, parti, CASE WHEN k % 5 = 0 THEN 'Ordförande 2024' ELSE 'Ledamot' END AS roll
+FROM (SELECT *, namnd || '/' || k // 1000 AS sida FROM (SELECT *, regexp_extract(id, '[0-9]+')::BIGINT AS k FROM people)) WHERE k % 7 <> 0
+""")
+def html_members(c: Civic) -> DataFrame:
+    return H.members(member_pages(c)).select("sida", "id", "efternamn", "fornamn", "parti", "roll")
+
+
+def person_pages(c: Civic) -> DataFrame:
+    """person, html: a present assignment or two, a mail link, and the table of earlier ones under the same id."""
+    k = _number("id")
+    link = F.concat(F.lit('<a href="/organisation/'), "namnd", F.lit('">'), "namnd", F.lit("</a>"))
+    row = lambda first, role, end: F.concat(F.lit("<tr><td>"), first, F.lit(f"</td><td>{role}<td>2023-01-0"), (k % 9 + 1).cast("string"), F.lit(f"<td>{end}</tr>"))
+    table = F.concat(F.lit('<div><h2>Uppdrag</h2><table id="engagementTable"><tr><th>Organ</th></tr>'), row(link, "Ledamot", ""), F.when(k % 2 == 0, row(F.lit("Stiftelsen Ek"), "Revisor", "2026-12-31")).otherwise(F.lit("")), F.lit("</table></div>"))
+    history = F.concat(F.lit('<div id="person-history"><p>Förr<table id="engagementTable"><tbody>'), row(link, "2019-01-01", "Ersättare"), F.lit("</tbody></table></div>"))
+    mail = F.when(k % 4 > 0, F.concat(F.lit('<a href="/start">Start</a><a href="mailto:x"> p'), k.cast("string"), F.lit("@example.org </a>"))).otherwise(F.lit(""))
+    body = F.when(k % 2 == 0, F.concat(history, table)).otherwise(F.concat(table, history))
+    return c.people().select(F.col("id").alias("person"), F.concat(F.lit("<html><body>"), mail, body).alias("html"))
+
+
+@query("src_12_assignments", """
+, k AS (SELECT *, regexp_extract(id, '[0-9]+')::BIGINT AS k FROM people), u AS (
+  SELECT id AS person, namnd AS organisation, namnd AS organisation_id, 'Ledamot' AS roll, '2023-01-0' || (k % 9 + 1) AS fran, NULL::VARCHAR AS till, k FROM k
+  UNION ALL SELECT id, 'Stiftelsen Ek', '', 'Revisor', '2023-01-0' || (k % 9 + 1), '2026-12-31', k FROM k WHERE k % 2 = 0)
+SELECT person, organisation, organisation_id, roll, fran, till, CASE WHEN k % 4 > 0 THEN 'p' || k || '@example.org' END AS epost FROM u
+""")
+def html_assignments(c: Civic) -> DataFrame:
+    pages = person_pages(c)
+    return H.assignments(pages).drop("rad").join(H.emails(pages, "person"), "person", "left")
+
+
+@query("src_12_page_links", """
+SELECT page_id, lank, antal FROM (SELECT page_id, lank, count(*) AS antal FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">', 1)) AS lank FROM pages) GROUP BY ALL)
+""", plain=True)
+def page_links(c: Civic) -> DataFrame:
+    """Links of crawled pages, by the parser."""
+    return H.links(c.table("pages").select("page_id", "html"), "html").groupBy("page_id", F.col("href").alias("lank")).agg(F.count("*").alias("antal"))
+
+
 @query("src_14_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\">', 1)) AS lank FROM pages", plain=True)
 def links(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)">'), 1)).alias("lank")).distinct()
