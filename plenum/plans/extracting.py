@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from plenum.operators import extraction as E
 from plenum.operators import html as H
+from plenum.operators import index as I
 from plenum.operators import search as Q
 from plenum.plans.registry import query
+from plenum.sources.shared import shared_folder
 from plenum.sources.projection import Civic
 
 
@@ -176,6 +178,9 @@ def mentions_by_name(c: Civic) -> DataFrame:
 STEMS = r"list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w NOT IN ('och','i','att','det','som','en','på','är','av','för','med','till','den','ett','om')), lambda w: regexp_replace(w, '^(.{3,}?)(?:heterna|heten|arna|erna|orna|ande|ende|aste|arne|are|ade|ast|het|ar|er|or|en|et|na|ns|a|e|s)$', '\1'))"
 
 
+STEM = r"regexp_replace(lower(x), '^(.{3,}?)(?:heterna|heten|arna|erna|orna|ande|ende|aste|arne|are|ade|ast|het|ar|er|or|en|et|na|ns|a|e|s)$', '\1')"
+
+
 @query("txt_01_search", f"SELECT doc_id, floor(len(list_filter(s, lambda x: x IN ('thi', 'ther'))) / len(s) * 1e6 + 0.5) / 1e6 AS poang FROM (SELECT doc_id, {STEMS} AS s FROM documents) WHERE list_contains(s, 'thi') AND list_contains(s, 'ther')", plain=True)
 def full_text(c: Civic) -> DataFrame:
     """All stems of the question, in whole texts."""
@@ -196,6 +201,59 @@ def ranked(c: Civic) -> DataFrame:
     return Q.search(c.table("documents"), "doc_id", "text", "the that", take=20).select("doc_id", "poang")
 
 
+def indexed(c: Civic) -> str:
+    """An index over all documents, as two appends make it."""
+    path, docs = shared_folder(c.spark), c.table("documents")
+    for part in (0, 1):
+        I.append(docs.filter(F.col("doc_id") % 2 == part), "doc_id", "text", path)
+    return path
+
+
+WORDS_SQL = f"(SELECT doc_id, unnest({STEMS}) AS stam, unnest(range(1, len({STEMS}) + 1))::INT AS plats, len({STEMS})::INT AS langd FROM documents)"
+
+
+@query("snk_05_index", f"SELECT stam, count(DISTINCT doc_id) AS dokument, count(*) AS forekomster, min(plats)::INT AS forst FROM {WORDS_SQL} GROUP BY stam", plain=True)
+def inverted_index(c: Civic) -> DataFrame:
+    """What the index holds of each stem."""
+    rows = c.spark.read.parquet(indexed(c))
+    return rows.groupBy("stam").agg(F.count("*").alias("dokument"), F.sum(F.size("platser")).alias("forekomster"), F.min(F.get("platser", 0)).alias("forst"))
+
+
+@query("txt_01_indexed", f"SELECT doc_id, floor(len(list_filter(s, lambda x: x IN ('thi', 'ther'))) / len(s) * 1e6 + 0.5) / 1e6 AS poang FROM (SELECT doc_id, {STEMS} AS s FROM documents) WHERE list_contains(s, 'thi') AND list_contains(s, 'ther')", plain=True)
+def full_text_indexed(c: Civic) -> DataFrame:
+    """The same rows as txt_01_search, from the folders of two stems."""
+    return I.ranked(c.spark, indexed(c), "doc_id", "This theren").select("doc_id", "poang")
+
+
+@query("txt_02_cover_density", f"""
+, h AS (SELECT * FROM words WHERE stam IN ('the', 'that', 'with')),
+l AS (SELECT doc_id, plats, max(CASE WHEN stam = 'the' THEN plats END) OVER w AS a, max(CASE WHEN stam = 'that' THEN plats END) OVER w AS b, max(CASE WHEN stam = 'with' THEN plats END) OVER w AS c FROM h
+  WINDOW w AS (PARTITION BY doc_id ORDER BY plats ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, floor(3 / min(plats - least(a, b, c) + 1) * 1e6 + 0.5) / 1e6 AS tathet FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY doc_id
+""".replace(", h AS", f"WITH words AS (SELECT * FROM {WORDS_SQL}), h AS", 1), plain=True)
+def cover_density(c: Civic) -> DataFrame:
+    """Documents by the shortest run of words that holds the whole question."""
+    return I.ranked(c.spark, indexed(c), "doc_id", "the that with").select("doc_id", "tathet")
+
+
+@query("txt_03_fragment", rf"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS p FROM documents),
+q AS (SELECT *, CASE WHEN regexp_matches(p[1], '^[\p{{L}}\p{{N}}]') THEN 0 ELSE 1 END AS lead FROM p),
+u AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) - lead AS j, (len(p) - lead + 1) // 2 AS n FROM q),
+s AS (SELECT *, j // 2 AS i, CASE WHEN j % 2 = 0 THEN array_position(['the', 'that', 'with'], CASE WHEN lower(x) IN ('och','i','att','det','som','en','på','är','av','för','med','till','den','ett','om') THEN NULL ELSE {STEM} END) END AS nr FROM u),
+h AS (SELECT doc_id, i, nr, n FROM s WHERE j >= 0 AND nr > 0),
+f AS (SELECT doc_id FROM h GROUP BY doc_id HAVING count(DISTINCT nr) = 3),
+w AS (SELECT a.doc_id, a.i, a.n, count(DISTINCT b.nr) AS stems, count(*) AS hits FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 59 WHERE a.doc_id IN (FROM f) GROUP BY ALL),
+b AS (SELECT doc_id, greatest(0, least(i, n - 20)) AS start FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stems DESC, hits DESC, i) = 1)
+SELECT s.doc_id, string_agg(CASE WHEN j % 2 = 0 AND nr > 0 THEN '<b>' || x || '</b>' ELSE x END, '' ORDER BY j) AS utdrag
+FROM s JOIN b ON s.doc_id = b.doc_id WHERE j BETWEEN 2 * start AND 2 * (least(start + 60, n) - 1) GROUP BY s.doc_id
+""", plain=True)
+def fragments(c: Civic) -> DataFrame:
+    """The best passage of sixty words of every document that the question finds."""
+    hits = I.ranked(c.spark, indexed(c), "doc_id", "the that with").select("doc_id")
+    return I.headlines(c.table("documents"), "doc_id", "text", hits, "the that with")
+
+
 @query("src_12_html_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS titel, len(regexp_extract_all(html, '<a href=\"[^\"]+\">')) AS lankar FROM pages", plain=True)
 def html_titles(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("titel"), F.regexp_count("html", F.lit('<a href="[^"]+">')).cast("long").alias("lankar"))
