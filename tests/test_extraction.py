@@ -17,7 +17,6 @@ from plenum.operators.search import search
 from plenum.plans.metrics import procedural
 from plenum.sources import files, sinks
 from plenum.streaming.merge import merging
-from plenum.streaming.rate_limit import limited, limited_stream
 
 
 def docs(spark, *texts):
@@ -424,18 +423,6 @@ def at(second):
     return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=second)
 
 
-def test_windows_start_at_the_first_request(spark, tmp_path):
-    seconds = [0, 10, 59, 60, 61, 200, 230, 261]
-    rows = spark.createDataFrame([(i, 1, at(s)) for i, s in enumerate(seconds)] + [(99, 2, at(30))], "event_id long, client long, ts timestamp")
-    got = {r.event_id: (r.i_fonster, r.nekad) for r in limited(rows, 60, 2).collect()}
-    assert [got[i] for i in range(8)] == [(1, False), (2, False), (3, True), (1, False), (2, False), (1, False), (2, False), (1, False)] and got[99] == (1, False)
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    requests = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
-    stream = limited_stream(requests, 60, 2)
-    stream.writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
-    assert {r.event_id: (r.i_fonster, r.nekad) for r in spark.table("limits").collect()} == got
-
-
 def test_merging_batches(spark, tmp_path):
     merge = merging(spark, str(tmp_path / "t"), "id", "seq", ["mail"])
     merge(spark.createDataFrame([(1, 1, "a", "m"), (2, 1, "b", None)], "id int, seq int, namn string, mail string"), 0)
