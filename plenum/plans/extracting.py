@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators import archive as A
 from plenum.operators import extraction as E
 from plenum.operators import html as H
 from plenum.operators import index as I
@@ -315,6 +316,68 @@ def page_links(c: Civic) -> DataFrame:
     return H.links(c.table("pages").select("page_id", "html"), "html").groupBy("page_id", F.col("href").alias("lank")).agg(F.count("*").alias("antal"))
 
 
+def archived(c: Civic) -> tuple[DataFrame, DataFrame]:
+    """Six half-yearly snapshots of each committee's page, as index lines and pages; every member misses some of them."""
+    k = _number("id")
+    each = c.people().select("id", "namn", "namnd", k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("s"))
+    url = F.concat(F.lit("https://x.example/organisation/"), "namnd")
+    stamp = F.concat((F.lit(2022) + F.floor(F.col("s") / 2)).cast("string"), F.when(F.col("s") % 2 == 0, "0101").otherwise("0701"), F.lit("120000"))
+    role = F.element_at(F.array(F.lit("Ledamot"), F.lit("Ersättare"), F.lit("")), ((F.col("k") + F.col("s")) % 3 + 1).cast("int"))
+    row = F.concat(F.lit('<tr><td><a href="/person/'), "id", F.lit('">'), "namn", F.lit("</a><td>F<td>Liberalerna <td>"), role)
+    there = (F.col("k") + F.col("s")) % 4 != 0
+    rows = each.groupBy(url.alias("url"), stamp.alias("stamp")).agg(F.array_sort(F.collect_list(F.when(there, F.struct("k", row.alias("r"))))).alias("x"))
+    body = F.array_join(F.transform("x", lambda r: r["r"]), "")
+    pages = rows.select("url", F.to_timestamp("stamp", "yyyyMMddHHmmss").alias("tid"), F.concat(F.lit('<table id="engagementTable"><tbody>'), body, F.lit("</table>")).alias("html"))
+    return rows.select(F.concat_ws(" ", "url", "stamp").alias("value")), pages
+
+
+def _snapshots(c: Civic) -> DataFrame:
+    lines, pages = archived(c)
+    return A.archive_index(lines).join(pages, ["url", "tid"])
+
+
+PRESENT = """
+, s AS (SELECT id, namnd, regexp_extract(id, '[0-9]+')::BIGINT AS k, unnest(range(6)) AS s FROM people),
+t AS (SELECT *, (2022 + s // 2) || CASE WHEN s % 2 = 0 THEN '-01-01' ELSE '-07-01' END AS dag FROM s),
+there AS (SELECT * FROM t WHERE (k + s) % 4 <> 0)
+"""
+
+
+@query("src_17_terms", PRESENT + """
+SELECT namnd AS organ, id AS person, min(dag) AS fran, CASE WHEN max(s) < 5 THEN (2022 + (max(s) + 1) // 2) || CASE WHEN (max(s) + 1) % 2 = 0 THEN '-01-01' ELSE '-07-01' END END AS till
+FROM (SELECT *, s - row_number() OVER (PARTITION BY namnd, id ORDER BY s) AS o FROM there) GROUP BY namnd, id, o
+""")
+def terms_of_office(c: Civic) -> DataFrame:
+    """From index lines and archived pages to unbroken terms."""
+    snapshots = _snapshots(c)
+    found = A.terms(A.listed(snapshots), snapshots)
+    return found.select("organ", "person", *[F.date_format(t, "yyyy-MM-dd").alias(t) for t in ("fran", "till")])
+
+
+@query("src_17_departed", PRESENT + """
+, r AS (SELECT id, array_to_string(list_sort(list(DISTINCT CASE (k + s) % 3 WHEN 0 THEN 'Ledamot' WHEN 1 THEN 'Ersättare' END)), ',') AS roller, any_value(k) AS k, any_value(namnd) AS namnd FROM there GROUP BY id)
+SELECT r.id AS person, namn AS efternamn, 'L' AS parti, roller, CASE WHEN k % 4 > 0 THEN 'p' || k || '@example.org' END AS epost, (1 + (k % 2 = 0)::INT)::INT AS antal FROM r JOIN people p ON p.id = r.id WHERE k % 3 = 0
+""")
+def departed_people(c: Civic) -> DataFrame:
+    """Listed once and not in today's roster, with the assignments of their own archived page."""
+    roster = c.people().filter(_number("id") % 3 != 0)
+    found = A.departed(A.listed(_snapshots(c)), roster, person_pages(c).withColumnRenamed("person", "id"))
+    return found.select("person", "efternamn", "parti", F.array_join("roller", ",").alias("roller"), "epost", F.size("uppdrag").alias("antal"))
+
+
+@query("src_17_as_of", """
+WITH s AS (SELECT regexp_extract(url, '//[^/?#]*[.]([a-z]+)', 1) AS doman, url, TIMESTAMP '2023-12-31' + to_seconds(page_id * 9001) AS tid FROM pages)
+SELECT event_id, s.url FROM (SELECT event_id, ts, ['com', 'net', 'org'][(user_id % 3 + 1)::INT] AS doman FROM events) e ASOF LEFT JOIN s ON e.doman = s.doman AND e.ts >= s.tid
+""", plain=True)
+def known_on_the_day(c: Civic) -> DataFrame:
+    """The newest archived page of a domain at each event, from the archive's index lines."""
+    stamp = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit("2023-12-31").cast("timestamp")) + F.col("page_id") * 9001), "yyyyMMddHHmmss")
+    index = A.archive_index(c.table("pages").select(F.concat_ws(" ", "url", stamp).alias("value")))
+    domain = F.regexp_extract("url", "//[^/?#]*[.]([a-z]+)", 1)
+    events = c.table("events").select("event_id", "ts", F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), (F.col("user_id") % 3 + 1).cast("int")).alias("doman"))
+    return A.as_of(events.withColumn("ts", F.col("ts").cast("timestamp")), index.withColumn("doman", domain), "doman", "ts", "tid", "url").select("event_id", "url")
+
+
 @query("src_14_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]+)\">', 1)) AS lank FROM pages", plain=True)
 def links(c: Civic) -> DataFrame:
     return c.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)">'), 1)).alias("lank")).distinct()
