@@ -1,8 +1,10 @@
 """Property-graph operators over nodes (id, typ, label, ...) and edges (from_id, to_id, typ, label, ...)."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.sources.shared import kept
+
 
 def incident(edges: DataFrame, node_id: str) -> DataFrame:
     """Edges at one node, with the id at their other end and their direction."""
@@ -64,12 +66,45 @@ def synthesised(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return missing.select("id", F.lit("organisation").alias("typ"), label.alias("label"), F.lit(True).alias("syntetisk"))
 
 
-def flattened(tree: DataFrame, depth: int) -> DataFrame:
-    """Rows (id, parent) as (id, depth, path), roots first, down to ``depth``: a join per level."""
-    level = tree.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
-    out = level
-    for k in range(1, depth + 1):
-        below = tree.join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent")
-        level = below.select("id", F.lit(k).alias("depth"), F.concat_ws("/", "above", "id").alias("path"))
-        out = out.unionByName(level)
-    return out
+def flattened(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """Rows (id, parent) as (id, depth, path), from the roots (parent null) down, to ``depth`` or to whatever depth there is.
+
+    By doubling: walks of up to n steps from a root, and segments of n steps between any nodes; each round joins both with the
+    segments, so a tree of depth d takes as many rounds as d has binary digits.  A node with several parents has a row for each
+    walk; a walk never comes to a node twice, so cycles end it, and what hangs on a cycle alone is not reached (``unreached``).
+    """
+    walks = tree.filter("parent is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("way")).distinct()
+    segments = kept(tree.filter("parent is not null and parent != id").select(F.col("parent").alias("top"), "id", F.array("id").alias("way")).distinct())
+    walks, steps = kept(walks), 1
+    while depth is None or steps <= depth:
+        below = segments.select(F.col("top").alias("_top"), F.col("id").alias("_id"), F.col("way").alias("_way"))
+        simple = ~F.arrays_overlap("way", "_way")
+        longer = kept(walks.join(below, (walks["id"] == below["_top"]) & simple).select(F.col("_id").alias("id"), (F.col("depth") + steps).alias("depth"), F.concat("way", "_way").alias("way")))
+        if longer.isEmpty():
+            break
+        walks = walks.unionByName(longer)
+        twice = segments.join(below, (segments["id"] == below["_top"]) & simple & (F.col("_id") != F.col("top")))
+        segments, steps = kept(twice.select("top", F.col("_id").alias("id"), F.concat("way", "_way").alias("way"))), 2 * steps
+    walks = walks if depth is None else walks.filter(F.col("depth") <= depth)
+    return walks.select("id", "depth", F.array_join("way", "/").alias("path"))
+
+
+def unreached(tree: DataFrame, walks: DataFrame) -> DataFrame:
+    """id: nodes that no walk from a root comes to; they lie on a cycle, below one, or below a parent that does not exist."""
+    return tree.select("id").distinct().join(walks.select("id"), "id", "left_anti")
+
+
+def active_items(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pages`` (path and others) with ``aktiv``: the longest href of ``items`` that is the path or begins it at a slash, or null.
+
+    Slashes at the end do not count, and the start page's href is active on the start page only.  Paths meet hrefs on their own prefixes
+    of whole segments.
+    """
+    bare = lambda c: F.when(c.isNotNull(), F.coalesce(F.nullif(F.regexp_replace(c, "/+$", ""), F.lit("")), F.lit("/")))
+    hrefs = items.filter("href is not null").select(bare(F.col("href")).alias("_href")).distinct()
+    rows = kept(pages.withColumn("_n", F.monotonically_increasing_id()))
+    parts = F.split(bare(F.col("path")), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    keys: Column = F.array_distinct(F.when(bare(F.col("path")) == "/", F.array(F.lit("/"))).otherwise(F.filter(prefixes, lambda p: p != "")))
+    best = rows.select("_n", F.explode(keys).alias("_href")).join(hrefs, "_href").groupBy("_n").agg(F.max_by("_href", F.length("_href")).alias("aktiv"))
+    return rows.join(best, "_n", "left").drop("_n")

@@ -8,7 +8,10 @@ from plenum.operators import checks as K
 from plenum.operators import graph as G
 from plenum.operators import relational as R
 from plenum.plans.registry import query
+from plenum.sources import sinks
 from plenum.sources.projection import Civic
+from plenum.sources.shared import shared_folder
+from plenum.streaming.merge import merging_changes
 
 
 @query("grf_01_node", "SELECT id, typ, label FROM nodes WHERE id = 'politiker-7'")
@@ -165,6 +168,46 @@ def tree(c: Civic) -> DataFrame:
     return G.flattened(roots.unionByName(inner).unionByName(leaves), 2)
 
 
+def chain(c: Civic) -> DataFrame:
+    """id, parent: customers as a tree as deep as their numbers have digits; some are their own parents."""
+    key = F.col("c_custkey")
+    parent = F.when(key % 101 == 0, key).when(key > 1, F.floor(key / 2))
+    return c.table("customer").select(F.concat(F.lit("k"), key.cast("string")).alias("id"), F.concat(F.lit("k"), parent.cast("string")).alias("parent"))
+
+
+CHAIN = """
+WITH RECURSIVE chain AS (SELECT 'k' || c_custkey AS id, 'k' || CASE WHEN c_custkey % 101 = 0 THEN c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
+walk AS (SELECT id, 0 AS depth, id AS path FROM chain WHERE parent IS NULL UNION ALL SELECT t.id, w.depth + 1, w.path || '/' || t.id FROM chain t JOIN walk w ON t.parent = w.id)
+"""
+
+
+@query("grf_17_any_depth", CHAIN + "SELECT * FROM walk", plain=True)
+def any_depth(c: Civic) -> DataFrame:
+    return G.flattened(chain(c))
+
+
+@query("grf_17_unreached", CHAIN + "SELECT id FROM chain WHERE id NOT IN (SELECT id FROM walk)", plain=True)
+def unreached(c: Civic) -> DataFrame:
+    """Nodes on cycles and below them."""
+    return G.unreached(chain(c), G.flattened(chain(c)))
+
+
+@query("grf_17_active", """
+WITH items AS (SELECT '/' AS href UNION ALL SELECT '/org/r' || r_regionkey || '/' FROM region UNION ALL SELECT '/org/r' || n_regionkey || '/n' || n_nationkey FROM nation WHERE n_nationkey % 5 > 0),
+pages AS (SELECT '/org/r' || n_regionkey || '/n' || n_nationkey || '/s' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '//' ELSE '' END AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT '/' UNION ALL SELECT '/orgs' UNION ALL SELECT '/org/r1'),
+bare AS (SELECT path, coalesce(nullif(rtrim(path, '/'), ''), '/') AS p FROM pages), h AS (SELECT coalesce(nullif(rtrim(href, '/'), ''), '/') AS h FROM items)
+SELECT path, arg_max(h, length(h)) AS aktiv FROM bare LEFT JOIN h ON p = h OR starts_with(p, h || '/') GROUP BY path
+""", plain=True)
+def active(c: Civic) -> DataFrame:
+    """The menu item of each supplier's page: its nation's, or its region's where the nation has none."""
+    region = lambda k: F.concat(F.lit("/org/r"), F.col(k).cast("string"))
+    nations = c.table("nation").select("n_nationkey", F.concat(region("n_regionkey"), F.lit("/n"), F.col("n_nationkey").cast("string")).alias("href"))
+    items = c.table("region").select(F.concat(region("r_regionkey"), F.lit("/")).alias("href")).union(nations.filter("n_nationkey % 5 > 0").select("href")).union(c.spark.createDataFrame([("/",)], "href string"))
+    end = F.when(F.col("s_suppkey") % 2 == 0, F.lit("//")).otherwise(F.lit(""))
+    pages = c.table("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat("href", F.lit("/s"), F.col("s_suppkey").cast("string"), end).alias("path"))
+    return G.active_items(items, pages.union(c.spark.createDataFrame([("/",), ("/orgs",), ("/org/r1",)], "path string")))
+
+
 @query("grf_18_rows_to_graph", """
 SELECT 'budget-' || ar AS from_id, namnd AS to_id, 'finansierar' AS typ, mnkr, floor(mnkr / sum(mnkr) OVER (PARTITION BY ar) * 100 * 10 + 0.5) / 10 AS andel FROM grants
 """)
@@ -224,6 +267,45 @@ def envelope(c: Civic) -> DataFrame:
     return c.nodes().filter("typ != 'paragraf'").select("id", F.to_json(F.struct("id", "typ", link.alias("_links"))).alias("resurs"))
 
 
+@query("str_02_changes", """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 <> 0 THEN c_name || ' ny' ELSE c_name END AS c_name, CASE WHEN c_custkey % 10 = 0 AND c_custkey % 3 <> 0 THEN -1.0 ELSE c_acctbal END AS c_acctbal, c_custkey % 15 = 0 AS historisk FROM customer
+""", plain=True)
+def merged_changes(c: Civic) -> DataFrame:
+    """A roster and two batches of changes, one of them merged twice: new names, some balances, and customers that left."""
+    path, rows = shared_folder(c.spark), c.table("customer").select("c_custkey", "c_name", "c_acctbal")
+    merge = merging_changes(c.spark, path, "c_custkey", "ordning", ["c_acctbal"], "borta", 16)
+    merge(rows.withColumns({"ordning": F.lit(0), "borta": F.lit(False)}), 0)
+    fifth = rows.filter("c_custkey % 5 = 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 0, -1.0)).withColumn("c_name", F.concat("c_name", F.lit(" ny")))
+    batch = fifth.withColumns({"ordning": F.lit(1), "borta": F.col("c_custkey") % 3 == 0})
+    for number in (1, 1):
+        merge(batch, number)
+    return c.spark.read.parquet(path).select("c_custkey", "c_name", "c_acctbal", "historisk")
+
+
+@query("snk_08_enriched", "SELECT id, CASE WHEN beslut = 'bordläggning' THEN 'Handling ' || id END AS handling FROM paragraphs")
+def enriched(c: Civic) -> DataFrame:
+    """Texts of documents added to the paragraphs that were postponed, in a table in folders by month."""
+    path = shared_folder(c.spark)
+    rows = c.paragraphs().select("id", "beslut", F.concat(F.lit("m"), F.left("datum", F.lit(7))).alias("manad"))
+    rows.repartition("manad").write.partitionBy("manad").parquet(path)
+    sinks.enrich_in_place(rows.filter("beslut = 'bordläggning'").select("id", F.concat(F.lit("Handling "), "id").alias("handling")), path, "manad", "id")
+    return c.spark.read.option("mergeSchema", True).parquet(path).select("id", "handling")
+
+
+@query("snk_01_rebuild", "SELECT typ, count(*) AS antal FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes) GROUP BY typ")
+def rebuilt(c: Civic) -> DataFrame:
+    """Nodes and edges as one snapshot; a second one, with edges to nowhere, is refused and leaves the first."""
+    path, nodes = shared_folder(c.spark), c.nodes()
+    keys, references = {"nodes": "id"}, [("edges", end, "nodes", "id") for end in ("from_id", "to_id")]
+    sinks.rebuild({"nodes": nodes, "edges": R.known_ends(c.edges(), nodes)}, path, keys, references)
+    lost = c.edges().withColumn("to_id", F.concat("to_id", F.lit("-borta")))
+    try:
+        sinks.rebuild({"nodes": nodes, "edges": lost}, path, keys, references)
+    except ValueError:
+        return sinks.snapshot(c.spark, path, "edges").groupBy("typ").agg(F.count("*").alias("antal"))
+    raise AssertionError("edges to nowhere were not refused")
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------------
 
 
@@ -248,6 +330,21 @@ def conformity(c: Civic) -> DataFrame:
     return rows.select("id", F.array_join("brister", "").alias("brister"))
 
 
+@query("qa_02_quarantine", """
+SELECT id AS nyckel, nr IS NOT NULL AND id LIKE 'kf-%' AND k % 11 <> 0 AND (k % 13 <> 0 OR nr IS NULL) AS godkand,
+       CASE WHEN k % 11 = 0 OR (k % 13 = 0 AND nr IS NOT NULL) THEN '_trasig' ELSE CASE WHEN nr IS NULL THEN 'nr' ELSE '' END || CASE WHEN id NOT LIKE 'kf-%' THEN 'id' ELSE '' END END AS brister
+FROM (SELECT *, regexp_extract(id, '[0-9]+')::BIGINT AS k FROM paragraphs)
+""")
+def quarantine(c: Civic) -> DataFrame:
+    """Paragraphs as lines of JSON, some cut off and some with a text where a number belongs, read and told apart in one pass."""
+    k = F.regexp_extract("id", "[0-9]+", 0).cast("long")
+    text = F.to_json(F.struct("id", F.when(k % 13 == 0, F.concat(F.lit("nr "), F.col("nr").cast("string"))).otherwise(F.col("nr").cast("string")).alias("nr"), "datum"))
+    number = F.regexp_replace(text, r'"nr":"(\d+)"', '"nr":$1')
+    lines = c.paragraphs().select(F.col("id").alias("nyckel"), F.when(k % 11 == 0, F.left(number, F.length(number) - 3)).otherwise(number).alias("rad"))
+    rows = K.checked_lines(lines, "rad", "id string, nr int, datum string", {"nr": None, "id": "^kf-[0-9]+$", "datum": r"^\d{4}-\d{2}-\d{2}$"})
+    return rows.select("nyckel", (F.size("brister") == 0).alias("godkand"), F.array_join("brister", "").alias("brister"))
+
+
 @query("qa_04_floors", "SELECT namn, antal, golv FROM (SELECT 'paragraf' AS namn, (SELECT count(*) FROM paragraphs) AS antal, 10000000000 AS golv UNION ALL SELECT 'saknas', 0, 1)")
 def floors(c: Civic) -> DataFrame:
     counts = c.nodes().groupBy(F.col("typ").alias("namn")).agg(F.count("*").alias("antal"))

@@ -1,6 +1,8 @@
-"""Writers: graph files, guarded replacement."""
+"""Writers: graph files, guarded replacement, enrichment in place, rebuilt snapshots of several tables."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.operators.relational import guarded
@@ -42,6 +44,70 @@ def replace_guarded(fresh: DataFrame, path: str, least_share: float = 0.9) -> No
     store.delete(old, True)
 
 
+def enrich_in_place(additions: DataFrame, path: str, part: str, key: str) -> None:
+    """Set columns of rows of the table at ``path`` (in folders by ``part``) from ``additions`` (key and columns), where they are null.
+
+    Only folders that hold a row to change are written anew, and Spark puts them in place when all are written; the files of the others
+    stay as they are, by name and time.  Of several additions to a key the least counts, keys that the table lacks add nothing, and what
+    is there already is kept, so a second run changes nothing.
+    """
+    spark = additions.sparkSession
+    columns = [c for c in additions.columns if c != key]
+    table = spark.read.option("mergeSchema", True).parquet(path)  # an earlier run may have added columns to some folders
+    lacking = F.lit(False)
+    for c in columns:
+        table = table if c in table.columns else table.withColumn(c, F.lit(None).cast(additions.schema[c].dataType))
+        lacking = lacking | (F.col(c).isNull() & F.col(f"_new.{c}").isNotNull())
+    new = additions.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_new"))
+    joined = table.join(new, key, "left")
+    touched = joined.filter(lacking).select(F.col(part).alias("_part")).distinct()
+    out = joined.join(touched, F.col(part).eqNullSafe(F.col("_part")), "left_semi")
+    out = out.select(*[F.coalesce(c, f"_new.{c}").alias(c) if c in columns else F.col(c) for c in table.columns])
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def rebuild(tables: dict[str, DataFrame], path: str, keys: dict[str, str], references: list[tuple[str, str, str, str]]) -> None:
+    """Replace all ``tables`` below ``path`` at once, if they keep their keys and references; else nothing changes, and it is an error.
+
+    ``keys`` names a table's primary key (not null, unique), ``references`` are (table, column, table, key) with nulls allowed.  The tables are
+    written to a folder of their own and checked there.  Its name then goes into the file CURRENT by one
+    rename, so readers (``snapshot``) see all tables of the old or all of the new one.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
+    for table, rows in tables.items():
+        rows.write.parquet(f"{path}/{name}/{table}")
+    back = {table: spark.read.schema(rows.schema).parquet(f"{path}/{name}/{table}") for table, rows in tables.items()}
+    for table, key in keys.items():
+        bad = back[table].groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1))
+        if not bad.isEmpty():
+            raise ValueError(f"{table}.{key} is null or repeated: {bad.first()[0]!r}")
+    for table, column, other, key in references:
+        lost = back[table].filter(F.col(column).isNotNull()).join(back[other].select(F.col(key).alias(column)), column, "left_anti")
+        if not lost.isEmpty():
+            raise ValueError(f"{table}.{column} names what {other} lacks: {lost.first()[column]!r}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fresh, current = (hadoop.Path(f"{path}/{n}") for n in (f"{name}/CURRENT", "CURRENT"))
+    files = hadoop.FileContext.getFileContext(current.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/{name}/_name")
+    part = next(f for f in _listed(spark, f"{path}/{name}/_name") if f.rsplit("/", 1)[1].startswith("part-"))
+    hadoop.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(hadoop.Path(part), fresh)
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, current, overwrite)
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return [x.getPath().toString() for x in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+
+
+def snapshot(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table of the newest whole snapshot below ``path``."""
+    name = spark.read.text(f"{path}/CURRENT").first().value
+    return spark.read.parquet(f"{path}/{name}/{table}")
+
+
 def tenant(name: str, allowed: frozenset[str]) -> str:
     """A database name, if it is on the list."""
     if name not in allowed:
