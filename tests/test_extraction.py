@@ -342,6 +342,26 @@ def test_mentions(spark):
     assert M.mentions(texts, "id", "text", spark.createDataFrame([], "nr long, namn string"), "nr", "namn").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mentions_by_brute_force(spark, seed):
+    """Names that are cut anywhere out of the texts, with blanks of several kinds, and others."""
+    import random
+
+    from plenum.operators import mentions as M
+
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["ab", "abc", "c", "åäö", "lång", " ", " ", "  ", "\n", "\t"]) for _ in range(rng.choice([0, 3, 20, 60]))) for _ in range(25)] + [None, "ab", " "]
+    names = ["", " ", "  ", "ab", "c ab", " c", "ab ", "saknas", None, "ab"]
+    for _ in range(40):
+        t = rng.choice([t for t in texts if t])
+        i = rng.randrange(len(t))
+        names.append(t[i : i + rng.choice([1, 2, 5, 9, 14, 30])])
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    n = spark.createDataFrame(list(enumerate(names)), "nr int, namn string")
+    want = sorted((i, k, x.index(y) + 1) for i, x in enumerate(texts) for k, y in enumerate(names) if x and y and y in x)
+    assert values(M.mentions(t, "id", "text", n, "nr", "namn"), "id", "nr", "plats") == want
+
+
 def test_prefixes_and_pieces(spark):
     names = spark.createDataFrame([("grundskolan", 1), ("grundskolan i norr", 2), ("kort", 3), ("annat", 4)], "namn string, k int")
     entries = spark.createDataFrame([("grundskolan i syd", 1), ("grundskolan", 2), ("kortare", 3), ("grund", 0)], "post string, plats int")
