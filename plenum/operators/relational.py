@@ -100,10 +100,11 @@ def best_prefix_match(names: DataFrame, name: str, entries: DataFrame, entry: st
 def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, longest: int) -> DataFrame:
     """Rows of ``texts`` and ``parts`` with the part (at most ``longest`` characters, not empty) somewhere in the text.
 
-    For short texts, such as names: all their pieces of up to ``longest`` characters are keys of an equi-join.
+    For short texts, such as names and lines: their pieces of the lengths that parts have are keys of an equi-join.
     """
-    t = F.col(text)
-    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(longest))), of_length))
-    keyed = texts.withColumn("_piece", F.explode(F.array_distinct(F.when(F.length(t) > 0, pieces))))
+    t, k = F.col(text), F.length(part)
+    lengths = sorted(r[0] for r in parts.filter(k.between(1, longest)).select(k).distinct().collect())  # at most ``longest`` numbers
+    of_length = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+    pieces = F.flatten(F.array_compact(F.array(*map(of_length, lengths)))) if lengths else F.array().cast("array<string>")
+    keyed = texts.withColumn("_piece", F.explode(F.array_distinct(pieces)))
     return keyed.join(parts, keyed["_piece"] == parts[part]).drop("_piece")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import text as X
+from plenum.operators import relational as R
 
 # The forms that the reports are written in.
 MONEY = r"-?[\d ]+(?:,\d)?"
@@ -15,6 +16,7 @@ RESULT_ROW = rf"^(.{{10,50}}?)\s{{2,}}({MONEY})\s{{2,}}({MONEY})\s{{2,}}({MONEY}
 RULE = r"^[\s\-=]+$"
 FOLLOW_UP_NUMBER = r"-?[\d ]{3,}(?:,\d)?"
 TABLE_LINES = 60
+ENTRY_START, NAME_LENGTH, LINE_START = 15, 50, 20
 LEAST_ROWS = 5
 POST_COLUMNS = ["utfallPeriod", "budgetPeriod", "avvikelsePeriod", "utfallFgAr", "prognosHelar", "fgPrognosHelar", "budgetHelar", "bokslutFgAr"]
 SERVICE_COLUMNS = ["utfallIntakterPeriod", "utfallKostnaderPeriod", "resultatPeriod", "budgetKostnaderPeriod", "budgetavvikelse"]
@@ -54,12 +56,13 @@ def _table_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     rows = rows.withColumn("slut", F.min(F.when(ends, F.col("nr"))).over(whole)).filter((F.col("slut").isNull() | (F.col("nr") < F.col("slut"))) & F.col("rad").rlike(RESULT_ROW) & ~F.col("rad").rlike(RULE))
     number = lambda g: X.number(F.regexp_extract("rad", RESULT_ROW, g))
     read = rows.select("doc", "nr", F.trim(F.regexp_extract("rad", RESULT_ROW, 1)).alias("namn"), number(2).alias("b"), number(3).alias("u"), number(4).alias("a")).filter("b != 0 or u != 0")
-    # Names of the table are few and short; each meets the dictionary once, by name, and then its rows by equality.
-    names = read.select("namn").distinct()
-    lower, entry = F.lower("namn"), F.lower("post")
-    fits = (F.col("namn") == F.col("post")) | F.contains(entry, lower) | F.contains(lower, F.substring(entry, 1, 15))
-    exact = F.col("namn") != F.col("post")
-    keys = names.join(known.select(F.col("namn").alias("post"), "nyckel", "ordning"), fits).groupBy("namn").agg(F.min_by("nyckel", F.struct(exact, "ordning")).alias("nyckel"))
+    # A name is an entry's, lies in one, or holds the first characters of one; distinct names meet entries on pieces of either.
+    names = read.select("namn", F.lower("namn").alias("liten")).distinct()
+    posts = known.select(F.col("namn").alias("post"), F.lower("namn").alias("liten_post"), F.left(F.lower("namn"), F.lit(ENTRY_START)).alias("början"), "nyckel", "ordning")
+    columns = ["namn", "post", "nyckel", "ordning"]
+    met = R.containing(posts, "liten_post", names, "liten", NAME_LENGTH).select(*columns)
+    met = met.unionByName(R.containing(names, "liten", posts, "början", ENTRY_START).select(*columns))
+    keys = met.groupBy("namn").agg(F.min_by("nyckel", F.struct(F.col("namn") != F.col("post"), "ordning")).alias("nyckel"))
     deviation = F.when(F.col("a") != 0, F.col("a")).otherwise(F.col("u") - F.col("b"))
     return read.join(keys, "namn").select("doc", "nr", *_result(F.col("namn"), F.col("nyckel"), F.col("b"), F.col("u"), deviation))
 
@@ -67,8 +70,9 @@ def _table_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
 def _follow_up_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     numbers = F.transform(F.regexp_extract_all("rad", F.lit(FOLLOW_UP_NUMBER), 0), X.number)
     rows = rows.withColumn("tal", numbers).filter(F.size("tal") >= 2)
-    found = F.contains(F.col("rad"), F.col("post")) | F.contains(F.lower("rad"), F.lower(F.substring("post", 1, 20)))
-    hits = rows.join(known.select(F.col("namn").alias("post"), "nyckel", "ordning"), found).groupBy("doc", "nr", "tal").agg(F.min_by(F.struct("post", "nyckel"), "ordning").alias("k"))
+    # Whatever line holds an entry holds its first characters, in any case.
+    posts = known.select(F.col("namn").alias("post"), F.lower(F.left("namn", F.lit(LINE_START))).alias("början"), "nyckel", "ordning")
+    hits = R.containing(rows.withColumn("liten", F.lower("rad")), "liten", posts, "början", LINE_START).groupBy("doc", "nr", "tal").agg(F.min_by(F.struct("post", "nyckel"), "ordning").alias("k"))
     b, u = F.get("tal", 0), F.get("tal", 1)
     return hits.select("doc", "nr", *_result(F.col("k.post"), F.col("k.nyckel"), b, u, F.coalesce(F.get("tal", 2), u - b)))
 
@@ -80,7 +84,9 @@ def committee_results(docs: DataFrame, known: DataFrame) -> DataFrame:
     LEAST_ROWS rows is read again as a follow-up, line by line, if that gives more.
     """
     rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("nr", "rad"))
-    both = _table_rows(rows, known).withColumn("sätt", F.lit(0)).unionByName(_follow_up_rows(rows, known).withColumn("sätt", F.lit(1)))
+    table = _table_rows(rows, known).withColumn("sätt", F.lit(0))
+    enough = table.groupBy("doc").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    both = table.unionByName(_follow_up_rows(rows.join(enough.select("doc"), "doc", "left_anti"), known).withColumn("sätt", F.lit(1)))
     counts = both.groupBy("doc").agg(F.count_if(F.col("sätt") == 0).alias("k0"), F.count_if(F.col("sätt") == 1).alias("k1"))
     chosen = F.when((F.col("k0") < LEAST_ROWS) & (F.col("k1") > F.col("k0")), 1).otherwise(0)
     return both.join(counts.select("doc", chosen.alias("sätt")), ["doc", "sätt"]).drop("sätt")

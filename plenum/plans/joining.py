@@ -227,12 +227,13 @@ SELECT a.nr, coalesce(h.id, 'votering-' || a.nr) AS id, h.id IS NULL AS ny FROM
 def annex_merge(c: Civic) -> DataFrame:
     """Annexes go to the first paragraph whose label contains their first 20 characters, else they become nodes of their own.
 
-    The annexes of one protocol are a handful, which Spark broadcasts when it finds them small; a paragraph is scanned once.
+    Labels are short, so annexes meet their pieces of 20 characters in an equi-join.
     """
     key = F.col("n_nationkey")
     text = F.concat(F.lit("ärende "), (key * 37).cast("string"), F.when(key % 5 == 0, " saknas helt").otherwise(" ("))
     annex = c.table("nation").select(key.alias("nr"), F.left(text, F.lit(20)).alias("text"))
-    hits = c.paragraphs().select("id", F.lower("label").alias("label")).join(annex, F.contains("label", "text")).groupBy("nr").agg(F.min("id").alias("hit"))
+    labels = c.paragraphs().select("id", F.lower("label").alias("label"))
+    hits = R.containing(labels, "label", annex, "text", 20).groupBy("nr").agg(F.min("id").alias("hit"))
     return annex.join(hits, "nr", "left").select("nr", F.coalesce("hit", F.concat(F.lit("votering-"), F.col("nr").cast("string"))).alias("id"), F.col("hit").isNull().alias("ny"))
 
 
