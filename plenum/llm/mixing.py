@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling, with DataFrame operations only.
 
-Each document expects a number of copies: the same for all of a source, target / source size, but for its few large documents.
-One of more than 1 / LARGE of its source expects a whole number, so that no chance decides on it; the others share what is
-left of the target.  Expected copies are prefix-summed within the source in order of size class and then of a hash, one random
-offset is added, and a document is emitted once per integer boundary that its own step crosses (whole numbers cross as many
-whatever the offset is).  The offset is the one of OFFSETS seeded and evenly spaced ones whose words come nearest to the target.
-
-The prefix sum is in two levels, so no task holds a source: ranks within blocks of (source, size class, slot of the hash),
-and sums over the blocks before.  The table of blocks is what one task per source sorts.
+Each document expects a number of copies: its source's target over its size, which is the same for all of a source, but for its few
+large documents.  Their expectation is adjusted first: one of more than 1 / LARGE of its source expects a whole number, so that no
+chance decides on it, and the others share what that leaves of the target.  Then all documents go the same way.  Expected copies are
+prefix-summed within the source, large documents first, then in order of size class and of a hash; one random offset is added, and a
+document is emitted once per integer boundary that its own step crosses.  The offset is the one of OFFSETS seeded and evenly spaced
+ones whose words come nearest to the target.
+
+The prefix sum is in two levels, so no task holds a source: sums within blocks of (source, size class, slot of the hash), and
+over the blocks before.  The table of blocks is what one task per source sorts.
 """
 
 import math
@@ -103,31 +104,35 @@ def copies(sized: DataFrame) -> DataFrame:
     whole = large.groupBy("key", "source_size", "target").agg(listed.alias("rows"))
     whole = whole.withColumn("done", _whole(F.col("rows.size"), F.col("source_size"), F.col("target")))
     rows = F.arrays_zip(F.col(f"rows.{ROW}").alias(ROW), F.col("done.copies").alias("whole"))
-    taken = whole.select(F.explode(rows).alias("row")).select(f"row.{ROW}", "row.whole")
+    adjusted = whole.select(F.explode(rows).alias("row")).select(f"row.{ROW}", "row.whole")
     rest = totals.join(whole.select("key", "done.left", "done.rest"), "key", "left").withColumns(
         {"left": F.coalesce("left", "target"), "rest": F.coalesce("rest", F.col("source_size").cast("double"))}
     )
     each = F.when(F.col("rest") > 0, F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("left") / F.col("rest")))).otherwise(F.lit(0.0))
-    rest = rest.select("key", "source_size", "target", "left", each.alias("each"))
+    rest = rest.select("key", "left", each.alias("each"))
 
-    # The others: their place in their source, in two levels.
-    others = placed.filter(F.col("size") * LARGE <= F.col("source_size"))
+    # All documents: what is expected up to and with each of them, whole copies (w) and shares of ``each`` (k), in two levels.
+    shares = F.col("whole").isNull().cast("long")
+    expects = placed.join(adjusted, ROW, "left").withColumns({"share": shares, "whole": F.coalesce("whole", F.lit(0)), "block": F.when(F.col("whole").isNull(), F.col("block")).otherwise("")})
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = others.groupBy("key", "block").agg(F.count("*").alias("n"))
-    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("key", "block", "before")
-    inside = Window.partitionBy("key", "block").orderBy("mark", "doc_id", "tie")
-    ranked = others.withColumn("rank", F.row_number().over(inside)).join(before, ["key", "block"])
-    ranked = stored(ranked.select("key", "run", *sized.columns, (F.col("before") + F.col("rank")).alias("rank")), "ranked")
+    blocks = expects.groupBy("key", "block").agg(F.sum("share").alias("k"), F.sum("whole").alias("w"))
+    before = blocks.select("key", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("k", "w")])
+    inside = Window.partitionBy("key", "block").orderBy("mark", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = expects.withColumns({"k": F.sum("share").over(inside), "w": F.sum("whole").over(inside)}).join(before, ["key", "block"])
+    summed = stored(summed.select("key", "run", *sized.columns, "source_size", "target", "share", "whole", (F.col("k") + F.col("k_before")).alias("k"), (F.col("w") + F.col("w_before")).alias("w")), "summed")
 
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "key")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    crossed = lambda k: F.floor(F.col("each") * k + F.col("offset"))
-    n = (crossed(F.col("rank")) - crossed(F.col("rank") - 1)).cast("long").alias("copies")
-    tried = spread(ranked, rest, ["key"]).select("key", "left", "each", "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
-    tried = tried.withColumn("offset", (F.col("k") + shift) / F.lit(float(OFFSETS))).groupBy("key", "left", "k", "offset").agg(F.sum(n * F.col("size")).alias("words"))
-    nearest = tried.groupBy("key").agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("left")), "k")).alias("offset"))
-    chosen = rest.join(nearest, "key")
-    certain = large.join(taken, ROW).select(*sized.columns, "source_size", "target", F.col("whole").alias("copies"))
-    return spread(ranked, chosen, ["key"]).select(*sized.columns, "source_size", "target", n).unionByName(certain)
+
+    def emitted_at(offset: Column) -> Column:
+        crossed = lambda k, w: w + F.floor(F.col("each") * k + offset)  # noqa: E731  whole copies shift a boundary by whole numbers
+        return (crossed(F.col("k"), F.col("w")) - crossed(F.col("k") - F.col("share"), F.col("w") - F.col("whole"))).cast("long")
+
+    tried = F.transform(F.sequence(F.lit(0), F.lit(OFFSETS - 1)), lambda j: emitted_at((j + shift) / F.lit(float(OFFSETS))) * F.col("size") * F.col("share"))
+    words = [F.sum(F.get("tried", j)).alias(f"words{j}") for j in range(OFFSETS)]
+    off = F.array(*[F.struct(F.abs(F.col(f"words{j}") - F.col("left")).alias("off"), F.lit(j).alias("j")) for j in range(OFFSETS)])
+    nearest = spread(summed, rest, ["key"]).select("key", "left", tried.alias("tried")).groupBy("key", "left").agg(*words).select("key", F.array_min(off)["j"].alias("j"))
+    chosen = rest.join(nearest, "key").select("key", "each", ((F.col("j") + shift) / F.lit(float(OFFSETS))).alias("offset"))
+    return spread(summed, chosen, ["key"]).select(*sized.columns, "source_size", "target", emitted_at(F.col("offset")).alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def test_mix_of_repeated_ids_is_the_same_in_any_order(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_every_document_is_in_one_prefix_sum(spark):
+    """Copies are the integer boundaries between what is expected before and with a document, at one offset a source."""
+    out = mixing.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by_source = {}
+    for r in out:
+        by_source.setdefault((r.source_size, r.target), []).append(r)
+    assert all(r.copies in (0, 1, 2) for r in out) and len(by_source) > 5
+    for (size, target), rows in by_source.items():
+        shares = [r for r in rows if r.size * mixing.LARGE <= size]
+        left, rest = target - sum(r.taken for r in rows) + sum(r.taken for r in shares), sum(r.size for r in shares)
+        if shares and rest:
+            each = min(2.0, max(0.0, left / rest))
+            assert abs(sum(r.copies for r in shares) - each * len(shares)) <= 1 + 1e-9
+
+
 def test_whole_copies_of_large_documents(spark):
     cases = [([2770], 5276, 2865.0, [1]), ([60, 40], 100, 150.0, [2, 1]), ([2770], 2900, 1740.0, [1]), ([30, 30, 30], 100, 0.0, [0, 0, 0]), ([50, 50], 100, 200.0, [2, 2])]
     df = spark.createDataFrame(cases, "sizes array<long>, total long, target double, want array<long>")
@@ -674,7 +689,6 @@ def test_nothing_to_pack(spark):
 
 def test_each_query_reads_its_whole_table(spark):
     for name, f in queries.queries().items():
-        table = "pages" if name == "op5_warc" else "documents"
+        table, key = {"op5_warc": ("pages", "page_id"), "op13_whitening": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
         n = spark.read.parquet(f"{SF}/{table}.parquet").count()
-        out = f(spark, SF)
-        assert out.select("page_id" if table == "pages" else "doc_id").distinct().count() == n, name
+        assert f(spark, SF).select(key).distinct().count() == n, name
