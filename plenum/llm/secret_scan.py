@@ -30,17 +30,22 @@ ASSIGN_MIN = 6
 KINDS = ("assign", "access", "hex", "random")
 
 #: A whole run, also one after or before an equals sign (name=value, ?sig=value); one or two at its end are padding.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-#: Known digests and identifiers: hexadecimal of a digest's length with or without its name, UUIDs, digits with separators.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Known digests and identifiers: hexadecimal of a digest's length with or without its name, UUIDs, digits with separators, and
+#: hexadecimal numbers of up to 64 bits.
 KNOWN = re.compile(
     r"(?:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_/]?)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
-    r"|(?:urn[-_/])?(?:uuid[-_/])?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9+/_=-]+",
+    r"|(?:urn[-_/])?(?:uuid[-_/])?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9+/_=-]+|0x[0-9a-f]{1,16}",
     re.I,
 )
 #: Shape of identifiers made of words: letter parts between separators or before digits, each of one case or capitalised.
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}(?:[_/+-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+))*[_/+=-]*")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Letters in parts that are no words, from which a run of that shape is reported; abbreviations in identifiers have fewer.
+#: A part of a run that says nothing: a word, a number, a number with an exponent or unit, or a word and a number.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]*(?:[A-Z]?[a-z]+|[A-Z])?|[0-9]+[a-zA-Z]{1,2}")
+SEPARATORS = re.compile(r"[_/+=-]+")
+#: Letters in parts that are no words, from which a run of that shape is reported, and characters in parts that are not PLAIN, from
+#: which any other is; abbreviations and numbers in identifiers have fewer.
 ODD_LETTERS = 12
 #: Shortest run of that shape that is reported: shorter made-up words take as many tokens as random letters.
 LONG_WORDS = 20
@@ -75,13 +80,25 @@ def odd_letters(run: str, vocabulary: str) -> int:
     return sum(len(x) for x in PART.findall(run) if len(x) < CHARS_PER_TOKEN * min(tokens(x), tokens(x.lower())))
 
 
+def is_alphabet(run: str) -> bool:
+    """Whether half of the characters follow the one before them, as in lists of letters and digits."""
+    return 2 * sum(ord(b) - ord(a) == 1 for a, b in zip(run, run[1:], strict=False)) >= len(run)
+
+
+def odd_characters(run: str, vocabulary: str) -> int:
+    """Characters of a run in parts between separators that are neither PLAIN nor words by their characters a token."""
+    tokens = lambda x: len(encoding(vocabulary).encode_ordinary(x))
+    parts = [x for x in SEPARATORS.split(run) if x and (len(x) >= ODD_LETTERS or not PLAIN.fullmatch(x))]
+    return sum(len(x) for x in parts if len(x) < CHARS_PER_TOKEN * tokens(x))
+
+
 def is_random(run: str, vocabulary: str) -> bool:
-    if KNOWN.fullmatch(run):
+    core = run.strip("_/+-")
+    if KNOWN.fullmatch(run) or KNOWN.fullmatch(core) or is_alphabet(core):
         return False
-    one_case = (run.islower() or run.isupper()) and not any(map(str.isdigit, run))
-    if WORDS.fullmatch(run.lstrip("_/+-") if one_case else run):
+    if WORDS.fullmatch(core):
         return len(run) >= LONG_WORDS and odd_letters(run, vocabulary) >= ODD_LETTERS
-    return len(run) < CHARS_PER_TOKEN * len(encoding(vocabulary).encode_ordinary(run))
+    return len(core) < CHARS_PER_TOKEN * len(encoding(vocabulary).encode_ordinary(core)) and odd_characters(core, vocabulary) >= ODD_LETTERS
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str) -> list[tuple[int, int, int]]:

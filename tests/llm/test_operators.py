@@ -237,19 +237,60 @@ def test_planted_strings_of_each_form():
     v, rng = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), random.Random(1)
     forms = {"base64": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits}
     for form, letters in forms.items():
-        for n in (16, 20, 32):
+        for n in (12, 16, 20, 32):
             planted = [f"see x={''.join(rng.choices(letters, k=n))} there" for _ in range(300)]
             found = sum(len(secret_scan.random_spans(t, secret_scan.base_spans(t), v)) for t in planted)
-            assert found > 0.95 * len(planted), (form, n)
+            assert found > (0.8 if n < 16 else 0.93) * len(planted), (form, n)
     texts = pq.read_table(f"{SF.replace('0.001', '0.1')}/documents.parquet", columns=["text"]).column(0).to_pylist()
     assert not any(secret_scan.random_spans(t, secret_scan.base_spans(t), v) for t in texts)
 
 
+def brute_random(text, base, v):
+    """Maximal runs of key characters, found character by character, that touch no base span and pass the test."""
+    key, out, i = set(string.ascii_letters + string.digits + "+/_-"), [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in key:
+            j += 1
+        if j - i >= 12:
+            pads = len(text[j:]) - len(text[j:].lstrip("="))
+            after = text[j + pads : j + pads + 1]
+            end = j + pads if pads in (1, 2) and after not in key else j
+            if not any(s < end and e > i for s, e, _ in base) and secret_scan.is_random(text[i:end], v):
+                out.append((i, end, 3))
+        i = max(j, i + 1)
+    return out
+
+
+@given(st.lists(st.one_of(st.sampled_from(["token: ", "=", "==", " ", "/", "_", "password=abcdef", "AKIA", "name", "\n"]), st.text(st.sampled_from("aZ9q7+/-_xK"), min_size=1, max_size=20)), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_random_spans_by_brute_force(parts):
+    v, text = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), "".join(parts)
+    base = secret_scan.base_spans(text)
+    assert secret_scan.random_spans(text, base, v) == brute_random(text, base, v)
+
+
+def test_source_code_has_few_spans():
+    """Python's own modules: under 30 spans a million characters, test data and tables of characters included."""
+    import glob
+    import os
+
+    v, chars, found = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), 0, 0
+    for name in sorted(glob.glob(os.path.dirname(os.__file__) + "/[a-k]*.py")):
+        with open(name, errors="replace") as f:
+            text = f.read()
+        chars += len(text)
+        found += len(secret_scan.random_spans(text, secret_scan.base_spans(text), v))
+    assert chars > 1_000_000 and found < 30 * chars / 1e6
+
+
 def test_identifiers_are_told_by_their_words():
     v, rng = secret_scan.public_tokenizers.path(secret_scan.VOCABULARY), random.Random(1)
     for found in ("zlqhnkjppxrywzrewzxosfvohbwzcukd", "HTWBPBSIWZNZICPAFKPEBWIYXJLNQPOQ", "production_database_zlqhnkjppxrywzrewzxo"):
         assert secret_scan.is_random(found, v)
-    for harmless in ("_HAVE_POSIX_SPAWN_CLOSEFROM", "verwaltungsgerichtsverfahren", "MAX_HTTP_REQUEST_RETRIES", "/usr/local/share/doc/notes", "report2024-final_version-12"):
+    for harmless in ("_HAVE_POSIX_SPAWN_CLOSEFROM", "verwaltungsgerichtsverfahren", "MAX_HTTP_REQUEST_RETRIES", "/usr/local/share/doc/notes", "report2024-final_version-12",
+                     "_calc_julian_from_V", "/v1/goteborg/graf/node/", "76949_72214_60691_40550e+0", "ISO-8601-2024-01-01T00-00-00Z", "chr17_KI270729v1_random", "0x1b1200001b123",
+                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
         assert not secret_scan.is_random(harmless, v)
     for letters in (string.ascii_lowercase, string.ascii_uppercase):
         assert sum(secret_scan.is_random("".join(rng.choices(letters, k=24)), v) for _ in range(400)) > 360
