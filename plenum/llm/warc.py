@@ -6,20 +6,21 @@ names and takes exactly the declared bytes, then synthesises what WARC wants and
 of address, time and digest, an ISO time stamp, a record type and SHA-256 digests of payload and block.  Payloads of at least
 MIN_REVISIT bytes that an earlier record (the smallest id) holds become revisits.
 
-Spark's text sink writes the files: a record is a string that ends with the sink's line separator, so files are committed
-whole and survive lost executors.  Files hold about FILE_BYTES, so reading one whole takes bounded memory.
+Spark's text sink writes the files, each as one string that ends with the sink's line separator, so files are committed
+whole and survive lost executors.  A file is closed as soon as it has FILE_BYTES, so reading one whole takes memory for those
+and one record, however page sizes cluster.
 """
 
 import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm.exact_dedup import FAN_IN, n_levels, tree_merge
@@ -37,49 +38,71 @@ PAGE_HEADER = "X-Page-Id"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _records_per_file(df: DataFrame, size: Column) -> int:
-    """So many records of average size as make FILE_BYTES."""
-    total, n = df.agg(F.sum(size), F.count("*")).first()
-    return max(1, FILE_BYTES * n // max(1, total or 0))
+def _filed(record: Callable[[dict, int], bytes], opening: Callable[[int, int], bytes], separator: bytes, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to whole files, as one string each: a file is full when its bytes reach ``most``, so a large record ends one.
 
+    ``record`` gets a row and the file's number in its task, ``opening`` the task and that number.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        held: list[bytes] = []
+        size = 0
 
-def _write_files(records: DataFrame, separator: str, per_file: int, path: str) -> None:
-    """Records (one column) by the text sink, in the order and the partitions that they have: nothing is shuffled to write."""
-    writer = records.write.option("lineSep", separator).option("maxRecordsPerFile", per_file)
+        def close() -> pa.RecordBatch:
+            nonlocal held, size, n
+            file, held, size, n = separator.join(held), [], 0, n + 1
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.binary()).view(pa.string())], ["value"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                if not held:
+                    held.append(opening(part, n))
+                held.append(record(batch.slice(i, 1).to_pylist()[0], n))
+                size += len(held[-1])
+                if size >= most:
+                    yield close()
+        if held:
+            yield close()
+
+    return gather
+
+
+def _write_files(files: DataFrame, separator: str, path: str) -> None:
+    """Files (a row each, one column) by the text sink, from the partitions that they have: nothing is shuffled to write."""
+    writer = files.write.option("lineSep", separator).option("maxRecordsPerFile", 1)
     writer.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
+def _version(n: int) -> int:
+    return n % 2 + 1
+
+
+def _filedesc(part: int, n: int) -> bytes:
+    version = _version(n)
+    text = f"{version} 0 plenum\n{ARC_FIELDS[version]}\n"
+    more = " 200 - - 0 -" if version == 2 else ""
+    return f"filedesc://pages-{part}-{n}.arc 0.0.0.0 {EPOCH:%Y%m%d%H%M%S} text/plain{more} {len(text)}\n{text}".encode()
+
+
+def _arc_record(row: dict, n: int) -> bytes:
+    body = row["body"]
+    more = f" 200 - - 0 {n}.arc" if _version(n) == 2 else ""
+    return f"{row['url']} 0.0.0.0 {row['date']} text/html{more} {len(body)}\n".encode() + body
+
+
 def write_arc(pages: DataFrame, path: str) -> None:
     """Pages (page_id, url, html) as ARC files below ``path``, in turn in version 1 and 2.
 
-    The body of a record is an HTTP response.  White space in an address is percent-encoded, a null one is ``unknown:``.  A
-    task starts a file every so many records, so the record that starts one carries the file's opening.
+    The body of a record is an HTTP response.  White space in an address is percent-encoded, a null one is ``unknown:``.
     """
-    per_file = _records_per_file(pages, F.octet_length("html"))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.nullif(F.regexp_replace(F.col("url"), r"\s", "%20"), F.lit("")), F.lit("unknown:")).alias("url"),
-        F.coalesce("html", F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("nth"),
-    )
-    place = F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))  # within the task, from 0
-    name = F.concat_ws("-", F.lit("pages"), F.shiftright("nth", 33).cast("string"), F.floor(place / per_file).cast("string"))
-    page = F.coalesce(F.concat(F.lit(f"{PAGE_HEADER}: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
-    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), page, F.lit("\r\n"), F.col("html"))
-    seconds = F.coalesce(F.pmod("page_id", F.lit(20 * 365 * 86400)), F.lit(0))
+    page = F.coalesce(F.concat(F.lit(f"{PAGE_HEADER}: "), F.col("page_id").cast("long").cast("string"), F.lit("\r\n")), F.lit(""))
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), page, F.lit("\r\n"), F.coalesce("html", F.lit("")))
+    seconds = F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(20 * 365 * 86400)), F.lit(0))
     date = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + seconds).cast("timestamp_ntz"), "yyyyMMddHHmmss")
-    rows = rows.select("url", date.alias("date"), body.alias("body"), name.alias("name"), (place % per_file == 0).alias("opens"), (F.floor(place / per_file) % 2 == 1).alias("second"))
-
-    def opening(version: int) -> Column:
-        text = f"{version} 0 plenum\n{ARC_FIELDS[version]}\n"
-        more = " 200 - - 0 -" if version == 2 else ""
-        return F.concat(F.lit("filedesc://"), F.col("name"), F.lit(f".arc 0.0.0.0 {EPOCH:%Y%m%d%H%M%S} text/plain{more} {len(text)}\n{text}\n"))
-
-    header = F.concat_ws(" ", F.col("url"), F.lit("0.0.0.0"), F.col("date"), F.lit("text/html"))
-    header = F.when(F.col("second"), F.concat_ws(" ", header, F.lit("200 - - 0"), F.concat("name", F.lit(".arc")))).otherwise(header)
-    record = F.concat(header, F.lit(" "), F.octet_length("body").cast("string"), F.lit("\n"), F.col("body"))
-    first = F.when(F.col("opens"), F.when(F.col("second"), opening(2)).otherwise(opening(1))).otherwise(F.lit(""))
-    _write_files(rows.select(F.concat(first, record).alias("value")), "\n", per_file, path)
+    url = F.coalesce(F.nullif(F.regexp_replace(F.col("url"), r"\s", "%20"), F.lit("")), F.lit("unknown:"))
+    rows = pages.select(url.alias("url"), date.alias("date"), body.cast("binary").alias("body"))
+    _write_files(rows.mapInArrow(_filed(_arc_record, _filedesc, b"\n", FILE_BYTES), "value string"), "\n", path)
 
 
 # ---- reading ARC ----------------------------------------------------------------------------------------------------------
@@ -192,15 +215,22 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
     revisits = dealt.join(won, ["place0", "digest"]).filter(~is_first & F.col("first.page_id").isNotNull())
     refers = revisits.select("arc", "at", F.struct("first.page_id", "first.url", "first.date").alias("refers"))
 
-    @F.pandas_udf("binary")
-    def record(url: pd.Series, date: pd.Series, body: pd.Series, refers: pd.DataFrame) -> pd.Series:
-        pages = refers["page_id"]
-        to = [None if pd.isna(p) else (int(p), u, d) for p, u, d in zip(pages, refers["url"], refers["date"], strict=True)]
-        return pd.Series([to_warc(*x) for x in zip(url, date, body, to, strict=True)])
+    bodies = read_arc(spark, arc, bodies=True).join(refers, ["arc", "at"], "left").select("url", "date", "body", "refers")
+    _write_files(bodies.mapInArrow(_filed(_warc_record, _warcinfo, b"\r\n", FILE_BYTES), "value string"), "\r\n", warc)
 
-    bodies = read_arc(spark, arc, bodies=True).join(refers, ["arc", "at"], "left")
-    records = bodies.select(record("url", "date", "body", "refers").cast("string").alias("value"))
-    _write_files(records, "\r\n", _records_per_file(keys, F.col("n_bytes")), warc)
+
+def _warc_record(row: dict, n: int) -> bytes:
+    refers = row["refers"]
+    return to_warc(row["url"], row["date"], row["body"], refers and (refers["page_id"], refers["url"], refers["date"]))
+
+
+def _warcinfo(part: int, n: int) -> bytes:
+    """A file's first record, which says what made it."""
+    name = f"pages-{part}-{n}.warc.gz"
+    block = b"software: plenum\r\nformat: WARC File Format 1.1\r\n"
+    fields = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {EPOCH:%Y-%m-%dT%H:%M:%SZ}", f"WARC-Filename: {name}"]
+    fields += ["Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n"
 
 
 def warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -224,7 +254,7 @@ WARC_ROW = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row per WARC record; a response's payload digest is computed anew and must equal the one declared."""
+    """A row per WARC record but ``warcinfo``; a response's payload digest is computed anew and must equal the one declared."""
     names = [x.split()[0] for x in WARC_ROW.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +262,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for fields, block in warc_records(_unzipped(content.as_py())):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
                     size = len(payload) if kind == "response" else int(fields["plenum-payload-length"])

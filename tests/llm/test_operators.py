@@ -405,6 +405,23 @@ def test_pages_through_arc_and_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_files_are_cut_by_bytes_however_page_sizes_cluster(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    small, large = F.repeat(F.lit("a"), 100), F.repeat(F.lit("b"), 300_000)
+    pages = spark.range(2060).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.col("id").cast("string"), F.when(F.col("id") < 2000, small).otherwise(large)).alias("html")).coalesce(1)
+    warc.write_arc(pages, f"file://{tmp_path}/arc")
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    for folder, first in (("arc", b"filedesc://"), ("warc", b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")):
+        files = [gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / folder).glob("part-*.gz"))]
+        files = [f for f in files if f]
+        assert len(files) > 12 and max(map(len, files)) < (1 << 20) + 400_000
+        assert all(f.startswith(first) for f in files)
+    versions = {f.split(b"\n")[1][:1] for f in (gzip.decompress(x.read_bytes()) for x in (tmp_path / "arc").glob("part-*.gz")) if f}
+    assert versions == {b"1", b"2"}
+    back = warc.read_warc(spark, f"file://{tmp_path}/warc")
+    assert back.count() == 2060 and back.select("page_id").distinct().count() == 2060 and back.filter("record_type = 'revisit'").isEmpty()
+
+
 def test_gzip_members():
     assert warc._unzipped(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
 
