@@ -94,7 +94,7 @@ def copies(sized: DataFrame) -> DataFrame:
     mark = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     block = F.concat(size_class(F.col("size")), F.substring(mark, 1, digits))
     placed = sized.withColumns({"key": key, "mark": mark, "block": block, "run": F.pmod(F.xxhash64(ROW), F.lit(RUNS))})
-    totals = targets(placed.groupBy("key").agg(F.sum("size").alias("source_size")))
+    totals = stored(targets(placed.groupBy("key").agg(F.sum("size").alias("source_size"))), "targets")
 
     # Large documents: at most LARGE - 1 a source, so their sizes are a short array.
     order = ["mark", "doc_id", "tie", ROW]
@@ -109,7 +109,7 @@ def copies(sized: DataFrame) -> DataFrame:
         {"left": F.coalesce("left", "target"), "rest": F.coalesce("rest", F.col("source_size").cast("double"))}
     )
     each = F.when(F.col("rest") > 0, F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("left") / F.col("rest")))).otherwise(F.lit(0.0))
-    rest = rest.select("key", "left", each.alias("each"))
+    rest = stored(rest.select("key", "left", each.alias("each")), "shares")
 
     # All documents: what is expected up to and with each of them, whole copies (w) and shares of ``each`` (k), in two levels.
     shares = F.col("whole").isNull().cast("long")
@@ -127,11 +127,10 @@ def copies(sized: DataFrame) -> DataFrame:
         crossed = lambda k, w: w + F.floor(F.col("each") * k + offset)  # noqa: E731  whole copies shift a boundary by whole numbers
         return (crossed(F.col("k"), F.col("w")) - crossed(F.col("k") - F.col("share"), F.col("w") - F.col("whole"))).cast("long")
 
-    tried = F.transform(F.sequence(F.lit(0), F.lit(OFFSETS - 1)), lambda j: emitted_at((j + shift) / F.lit(float(OFFSETS))) * F.col("size") * F.col("share"))
-    words = [F.sum(F.get("tried", j)).alias(f"words{j}") for j in range(OFFSETS)]
-    off = F.array(*[F.struct(F.abs(F.col(f"words{j}") - F.col("left")).alias("off"), F.lit(j).alias("j")) for j in range(OFFSETS)])
-    nearest = spread(summed, rest, ["key"]).select("key", "left", tried.alias("tried")).groupBy("key", "left").agg(*words).select("key", F.array_min(off)["j"].alias("j"))
-    chosen = rest.join(nearest, "key").select("key", "each", ((F.col("j") + shift) / F.lit(float(OFFSETS))).alias("offset"))
+    tried = F.transform(F.sequence(F.lit(0), F.lit(OFFSETS - 1)), lambda j: emitted_at((j + shift) / F.lit(float(OFFSETS))) * F.col("size"))
+    words = spread(summed.filter("share = 1"), rest, ["key"]).select("key", "left", F.posexplode(tried).alias("j", "words")).groupBy("key", "left", "j").agg(F.sum("words").alias("words"))
+    nearest = words.groupBy("key").agg(F.min_by("j", F.struct(F.abs(F.col("words") - F.col("left")), "j")).alias("j"))
+    chosen = rest.join(nearest, "key", "left").select("key", "each", ((F.coalesce("j", F.lit(0)) + shift) / F.lit(float(OFFSETS))).alias("offset"))
     return spread(summed, chosen, ["key"]).select(*sized.columns, "source_size", "target", emitted_at(F.col("offset")).alias("copies"))
 
 
