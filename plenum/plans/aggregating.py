@@ -150,7 +150,7 @@ def by_party_size(c: Civic) -> DataFrame:
     """Members ordered by their party's size: the few parties are ranked, and joined back."""
     sizes = c.people().groupBy("parti").agg(F.count("*").alias("n"))
     ranked = sizes.select("parti", F.row_number().over(Window.orderBy(F.col("n").desc(), "parti")).cast("long").alias("plats"))
-    return c.people().join(F.broadcast(ranked), "parti").select("id", "parti", "plats")
+    return c.people().join(ranked, "parti").select("id", "parti", "plats")
 
 
 @query("agg_20_children", "SELECT namnd, count(*) AS antal, string_agg(namn, '|' ORDER BY namn) AS medlemmar FROM people GROUP BY 1")
@@ -182,7 +182,7 @@ def diagnostics(c: Civic) -> DataFrame:
     groups = c.paragraphs().groupBy("datum").agg(F.count("*").alias("k"), F.min("id").alias("ex"))
     top = groups.orderBy(F.col("k").desc(), "datum").limit(25).select("datum").withColumn("topp", F.lit(True))
     key = F.when(F.col("topp"), F.col("datum")).otherwise(F.lit("övriga"))
-    return groups.join(F.broadcast(top), "datum", "left").groupBy(key.alias("nyckel")).agg(F.sum("k").alias("antal"), F.min("ex").alias("exempel"))
+    return groups.join(top, "datum", "left").groupBy(key.alias("nyckel")).agg(F.sum("k").alias("antal"), F.min("ex").alias("exempel"))
 
 
 @query("agg_25_stacked", "SELECT namnd, ar, floor(sum(mnkr) OVER (PARTITION BY ar ORDER BY namnd) * 100 + 0.5) / 100 AS staplat FROM grants")
@@ -285,7 +285,7 @@ def ordinal(c: Civic) -> DataFrame:
 @query("win_10_seat_rank", "SELECT id, coalesce(CASE parti WHEN 'P3' THEN 1 WHEN 'P1' THEN 2 END, 99) AS rang FROM people")
 def seat_rank(c: Civic) -> DataFrame:
     seats = c.spark.createDataFrame([("P3", 1), ("P1", 2)], "parti string, rang int")
-    return c.people().join(F.broadcast(seats), "parti", "left").select("id", F.coalesce("rang", F.lit(99)).alias("rang"))
+    return c.people().join(seats, "parti", "left").select("id", F.coalesce("rang", F.lit(99)).alias("rang"))
 
 
 @query("win_11_suffix", "SELECT id, CASE WHEN n > 1 THEN b || '-' || n ELSE b END AS slug FROM (SELECT id, lower(orsak) || '-' || datum AS b, row_number() OVER (PARTITION BY orsak, datum ORDER BY id) AS n FROM paragraphs)")

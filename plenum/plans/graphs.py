@@ -361,7 +361,7 @@ def vote_counts(c: Civic) -> DataFrame:
 def literals(c: Civic) -> DataFrame:
     """A relation that is written in the code, joined like any other."""
     names = c.spark.createDataFrame([("P0", "Norr"), ("P1", "Söder")], "parti string, namn_ string")
-    return c.people().join(F.broadcast(names), "parti").select("id", F.col("namn_").alias("namn"))
+    return c.people().join(names, "parti").select("id", F.col("namn_").alias("namn"))
 
 
 @query("qa_05_reconciliation", """

@@ -260,7 +260,7 @@ SELECT n.label AS namnd, g.mnkr, floor(g.mnkr / sum(g.mnkr) OVER () * 100 * 10 +
 def budget_year(c: Civic) -> DataFrame:
     """The latest year's budget by committee."""
     last = c.grants().agg(F.max("ar").alias("ar"))
-    rows = c.grants().join(F.broadcast(last), "ar")
+    rows = c.grants().join(last, "ar")
     total = rows.agg(F.sum("mnkr").alias("allt"))
     named = rows.join(c.nodes().filter("typ = 'organisation'").select(F.col("id").alias("namnd"), "label"), "namnd").crossJoin(F.broadcast(total))
     return named.select(F.col("label").alias("namnd"), "mnkr", S.half_up(F.col("mnkr") / F.col("allt") * 100, 1).alias("andel"))
@@ -284,7 +284,7 @@ def members(c: Civic) -> DataFrame:
     """Regular members per committee in order of their party's size."""
     sizes = c.people().groupBy("parti").agg(F.count("*").alias("n"))
     order = Window.partitionBy("namnd").orderBy(F.col("n").desc(), "parti", "namn")
-    rows = c.people().filter("saldo >= 0").join(F.broadcast(sizes), "parti")
+    rows = c.people().filter("saldo >= 0").join(sizes, "parti")
     return rows.select("namnd", "id", F.row_number().over(order).cast("long").alias("plats"))
 
 
