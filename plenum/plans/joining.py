@@ -269,8 +269,12 @@ def two_passes(c: Civic) -> DataFrame:
     return c.speeches().filter("langd < 100").select("key").union(c.speeches().filter("talare = 'system'").select("key")).distinct()
 
 
-@query("set_06_both_ends", "SELECT from_id, to_id FROM edges WHERE typ = 'ledamot_i' AND from_id IN (SELECT id FROM people WHERE saldo > 0) AND to_id IN (SELECT id FROM nodes WHERE label LIKE '%2%')")
+@query("set_06_both_ends", """
+, ids AS (SELECT id FROM people WHERE saldo > 0 UNION SELECT id FROM nodes WHERE label LIKE '%2%')
+SELECT from_id, to_id FROM edges WHERE typ = 'ledamot_i' AND from_id IN (SELECT id FROM ids) AND to_id IN (SELECT id FROM ids)
+""")
 def both_ends(c: Civic) -> DataFrame:
+    """Seats with both ends in one set: people with a balance and all nodes with a 2 in their label, people among them."""
     from plenum.operators.graph import within
 
     ids = c.people().filter("saldo > 0").select("id").union(c.nodes().filter(F.col("label").like("%2%")).select("id"))
