@@ -13,6 +13,8 @@ from plenum.sources.projection import Civic
 from plenum.sources.shared import shared_folder
 
 PARTIES = ["S", "M", "V", "SD", "L", "MP", "D", "KD", "C"]
+#: Invoices of all months together that have one file a month.
+FILED_LINES = 20_000_000
 
 
 def _letters(number: Column, width: int = 3) -> Column:
@@ -335,10 +337,14 @@ def invoices(c: Civic) -> DataFrame:
     whole = F.floor(amount / 100)
     written = F.concat(F.when(whole >= 1000, F.concat(F.floor(whole / 1000).cast("string"), F.lit(" "), F.lpad((whole % 1000).cast("string"), 3, "0"))).otherwise(whole.cast("string")), F.lit(","), F.lpad((amount % 100).cast("string"), 2, "0"))
     line = F.concat_ws(";", "namnd", F.concat(F.lit(" "), "leverantor", F.lit(" ")), "orgnr", written, "konto")
-    rows = c.invoices().select(F.concat_ws("-", "ar", "manad").alias("fil"), line.alias("l"))
-    head = "\ufeffFörvaltning; Leverantör ;Organisationsnummer;Belopp SEK;Kontotext\r\n"
-    texts = rows.groupBy("fil").agg(F.concat(F.lit(head), F.array_join(F.collect_list("l"), "\r\n"), F.lit("\n\n")).alias("value"))
-    texts.repartition("fil").write.partitionBy("fil").text(path)
+    # A month's lines are dealt over files of some megabytes, each with a first line of its own, and written line by line.
+    dealt = F.pmod(F.xxhash64("orgnr", "konto", "belopp"), F.lit(c.table("lineitem").count() // FILED_LINES + 1)).alias("del")
+    crlf = F.when(amount % 2 == 0, "\r").otherwise("")
+    rows = c.invoices().select(F.concat_ws("-", "ar", "manad").alias("fil"), dealt, F.lit(1).alias("plats"), F.concat(line, crlf).alias("value"))
+    head = "\ufeffFörvaltning; Leverantör ;Organisationsnummer;Belopp SEK;Kontotext\r"
+    ends = rows.select("fil", "del").distinct().select("fil", "del", F.inline(F.array(F.struct(F.lit(0).alias("plats"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("plats"), F.lit("").alias("value")))))
+    lines = rows.unionByName(ends).repartition("fil", "del").sortWithinPartitions("fil", "del", "plats")
+    lines.select("fil", "del", "value").write.option("lineSep", "\n").partitionBy("fil", "del").text(path)
     read = files.invoices(c.spark, path)
     return read.groupBy("leverantör").agg(F.count("*").alias("antal"), F.sum(F.round(F.col("belopp") * 100).cast("long")).alias("öre"))
 

@@ -67,16 +67,26 @@ def invoices(spark: SparkSession, path: str) -> DataFrame:
     """fil, förvaltning, leverantör, orgnr, konto, belopp from semicolon files, UTF-8 or Latin-1, with or without a BOM.
 
     Columns are found by their trimmed names, the amount's by its prefix; files that do not look like invoices and blank lines
-    give no rows.  A month's file is some megabytes and is one row until it is split into lines.
+    give no rows.  Files are read in splits, line by line, so one of any size is spread over tasks and never a row; what a file
+    as a whole tells (its first line, its encoding) is found first, a row per file.
     """
     from plenum.functions.text import number
-
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    rows = raw.select(F.col("path").alias("fil"), F.regexp_replace(text, "^﻿", "").alias("t")).select("fil", F.split("t", "\r?\n").alias("rader"))
-    rows = rows.filter(is_invoice_file(F.get("rader", 0)))
-    names = F.transform(F.split(F.get("rader", 0), ";"), lambda x: F.trim(x))
-    rows = rows.select("fil", names.alias("namn"), F.explode(F.slice("rader", 2, F.size("rader"))).alias("rad")).filter(F.trim("rad") != "")
+    from plenum.sources.shared import kept
+
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    # One task reads a file's first split in order, so the least number there is the first line's; the same listing has the same splits.
+    raw = raw.select(F.col("_metadata.file_path").alias("_fil"), "value", F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("nr"))
+
+    def text(line: str):
+        return F.when(F.col("utf8"), F.col(line)).otherwise(F.decode(F.col(line).cast("binary"), "ISO-8859-1"))
+
+    first = F.min(F.when(F.col("nr").isNotNull(), F.struct("nr", "value"))).alias("f")
+    heads = raw.groupBy("_fil").agg(first, F.bool_and(F.is_valid_utf8("value")).alias("utf8")).select("_fil", "utf8", F.col("f.nr").alias("forst"), text("f.value").alias("huvud"))
+    heads = heads.withColumn("huvud", F.regexp_replace("huvud", r"^\x{FEFF}|\r\z", "")).filter(is_invoice_file(F.col("huvud")))
+    names = F.transform(F.split("huvud", ";"), lambda x: F.trim(x))
+    heads = kept(heads.select("_fil", F.url_decode(F.replace("_fil", F.lit("+"), F.lit("%2B"))).alias("fil"), "utf8", "forst", names.alias("namn")))
+    rows = raw.join(heads, "_fil").filter(F.col("nr").isNull() | (F.col("nr") != F.col("forst")))
+    rows = rows.select("fil", "namn", F.regexp_replace(text("value"), r"\r\z", "").alias("rad")).filter(F.trim("rad") != "")
     cells = F.split("rad", ";", -1)
 
     def cell(name: str):

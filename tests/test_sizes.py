@@ -5,6 +5,7 @@ import os
 import duckdb
 
 from plenum.plans.registry import oracle_sql, queries
+from plenum.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,24 @@ def test_both_ends_with_people_of_the_set_who_are_in_debt(spark, tmp_path):
     sf = changed(tmp_path, supplier=f"SELECT s_suppkey, s_name, s_suppkey::INT AS s_nationkey, -1.0 AS s_acctbal FROM '{SF}/supplier.parquet'")
     got = sorted(map(tuple, queries()["set_06_both_ends"](spark, sf).collect()))
     assert got == sorted(by_sql("set_06_both_ends", sf)) == [("politiker-2", "nämnd-nation_2")]
+
+
+def test_invoice_files_are_read_in_splits(spark, tmp_path):
+    at = tmp_path / "å b+c"
+    at.mkdir()
+    head = "Leverantör;Förvaltning;Organisationsnummer;Kontotext;Belopp"
+    (at / "utf8.csv").write_bytes(f"﻿{head}\r\n{''.join(f'Öst {i};Park;557;El;{i} 000,5' + chr(13) * (i % 2) + chr(10) for i in range(300))}{head}\n\n".encode())
+    # Only the last line tells that this is Latin-1; a lone carriage return ends no line.
+    (at / "latin.csv").write_bytes(f"{head}\n{''.join(f'A{chr(13)}b{i};Park;557;;{i}' + chr(10) for i in range(300))}Öst;Park;557;El;7".encode("latin-1"))
+    (at / "other.csv").write_text("a;b\n" + "1;2\n" * 300)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        read = files.invoices(spark, str(at))
+        assert read.rdd.getNumPartitions() > 10
+        got = sorted((*r.fil.rsplit("/", 2)[1:], r["leverantör"], r.konto, r.belopp) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("å b+c", "utf8.csv", f"Öst {i}", "El", i * 1000 + 0.5) for i in range(300)] + [("å b+c", "utf8.csv", "Leverantör", "Kontotext", 0.0)]
+    want += [("å b+c", "latin.csv", f"A\rb{i}", "Okänt", float(i)) for i in range(300)] + [("å b+c", "latin.csv", "Öst", "El", 7.0)]
+    assert got == sorted(want)  # only a file's first line is its head
