@@ -9,12 +9,15 @@ over the length of the shortest run of words that holds them all.
 """
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.operators.search import STOP_WORDS, WORD, stem, stems
+from plenum.operators.search import ENDING, STOP_WORDS, WORD, stem
 
 #: Folders of an index.
 FOLDERS = 64
@@ -32,11 +35,57 @@ def _folder(of: Column) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(FOLDERS)).cast("int")
 
 
+#: Words that are grouped at a time, and words whose stems a Python worker keeps.
+STEP_WORDS = 1 << 19
+KEPT_WORDS = 150_000
+_ending, _known = re.compile(ENDING), {}
+
+
+def _stem_of(word: str) -> str | None:
+    """``stem`` in Python; None for a stop word."""
+    if len(_known) > KEPT_WORDS:
+        _known.clear()
+    if word not in _known:
+        _known[word] = None if word in STOP_WORDS else _ending.sub(r"\1", word)
+    return _known[word]
+
+
+def _grouped(keys: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """Rows of ``postings`` of some documents, of their words in order."""
+    doc, coded = pc.list_parent_indices(words).to_numpy(), words.flatten().dictionary_encode()
+    of_word = [_stem_of(w) for w in coded.dictionary.to_pylist()]
+    stems_ = sorted({s for s in of_word if s is not None})
+    number = {s: i for i, s in enumerate(stems_)}
+    nr = np.array([number.get(s, -1) for s in of_word], np.int64)[coded.indices.to_numpy()]
+    doc, nr = doc[nr >= 0], nr[nr >= 0]
+    langd = np.bincount(doc, minlength=len(keys))
+    place = np.arange(1, len(doc) + 1) - (np.cumsum(langd) - langd)[doc]
+    both = doc * len(stems_) + nr
+    order = np.argsort(both, kind="stable")
+    start = np.flatnonzero(np.diff(both[order], prepend=-1))
+    doc, nr = doc[order][start], nr[order][start]
+    places = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(stems_, pa.string()).take(pa.array(nr)), places, pa.array(langd[doc], pa.int32())], ["key", "stam", "platser", "langd"])
+
+
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP_WORDS, "right")))
+            yield _grouped(batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin))
+            begin = end
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, stam, platser (1, 2, ...: places among the document's stems, stop words not counted), langd (their number)."""
-    rows = docs.select(key, stems(F.col(text)).alias("_s"))
-    each = rows.select(key, F.size("_s").alias("langd"), F.posexplode("_s").alias("_p", "stam"))
-    return each.groupBy(key, "stam", "langd").agg(F.array_sort(F.collect_list(F.col("_p") + 1)).alias("platser")).select(key, "stam", "platser", "langd")
+    """key, stam, platser (1, 2, ...: places among the document's stems, stop words not counted), langd (their number).
+
+    A document is one row, so its words are grouped where it is read: nothing is shuffled, and a stem is found once per word of a batch.
+    """
+    words = docs.select(F.col(key).alias("key"), F.regexp_extract_all(F.lower(text), F.lit(WORD), 0).alias("ord"))
+    rows = words.mapInArrow(_per_document, f"key {docs.schema[key].dataType.simpleString()}, stam string, platser array<int>, langd int")
+    return rows.withColumnRenamed("key", key)
 
 
 def append(docs: DataFrame, key: str, text: str, path: str) -> None:

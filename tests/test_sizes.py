@@ -53,3 +53,13 @@ def test_invoice_files_are_read_in_splits(spark, tmp_path):
     want = [("å b+c", "utf8.csv", f"Öst {i}", "El", i * 1000 + 0.5) for i in range(300)] + [("å b+c", "utf8.csv", "Leverantör", "Kontotext", 0.0)]
     want += [("å b+c", "latin.csv", f"A\rb{i}", "Okänt", float(i)) for i in range(300)] + [("å b+c", "latin.csv", "Öst", "El", 7.0)]
     assert got == sorted(want)  # only a file's first line is its head
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    from plenum.operators import index as I
+
+    docs = spark.createDataFrame([(1, "Vägen och vägar, vägen"), (2, None), (3, "och i att"), (4, "Å " * 700_000 + "slut")], "doc int, text string")
+    rows = I.postings(docs, "doc", "text")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc, r.stam, len(r.platser), r.platser[0], r.platser[-1], r.langd) for r in rows.collect())
+    assert got == [(1, "väg", 3, 1, 3, 3), (4, "slut", 1, 700_001, 700_001, 700_001), (4, "å", 700_000, 1, 700_000, 700_001)]
