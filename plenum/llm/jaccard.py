@@ -328,20 +328,45 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(out.select("sig", "other", (1 - F.col("both") / F.col("either")).alias("distance"), (100 * F.col("both") >= PERCENT * F.col("either")).alias("linked")), "distances")
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """Links (sig, other) to (sig, comp, run), comp the least sig that links lead to; sigs without a link are not in it."""
-    edges = links.select("sig", "other").union(links.select(F.col("other").alias("sig"), F.col("sig").alias("other"))).distinct()
-    edges = stored(edges.withColumn("run", _run("sig", links)), "edges")
-    labels = stored(edges.groupBy("sig").agg(F.least("sig", F.min("other")).alias("comp"), F.first("run").alias("run")), "labels")
-    while True:
-        # The least label among a point, its neighbours and, by pointer jumping, what its own label points to.
-        near = spread(edges, labels.select(F.col("sig").alias("other"), "comp"), ["other"]).groupBy("sig").agg(F.min("comp").alias("near"))
-        jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("jump"))
-        moved = spread(labels.join(near, "sig"), jump, ["comp"])
-        moved = stored(moved.select("sig", F.least("comp", "near", "jump").alias("comp"), "run", F.col("comp").alias("was")), "labels")
-        labels = moved.select("sig", "comp", "run")
-        if moved.filter("comp != was").isEmpty():
-            return labels
+def _named(edges: DataFrame, labels: DataFrame, end: str) -> DataFrame:
+    """Edges (sig, other, run) with the label of one end in its place, if it has one; an end may have very many edges."""
+    known = labels.select(F.col("sig").alias(end), F.col("comp").alias("named"))
+    to = edges.select("run", end).distinct().join(known, end, "left")
+    return edges.join(to, ["run", end]).withColumn(end, F.coalesce("named", end)).drop("named")
+
+
+def _components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``labels`` (sig, comp, run) after more links (sig, other), comp the least sig that links lead to; sigs without a link are not in it.
+
+    Each round every point takes its least neighbour, trees of these become one point each, and links between the trees' least
+    points go on: a link meets the labels once at each end, and what is within one tree or was one component before is gone.
+    """
+
+    def between(edges: DataFrame, names: DataFrame | None) -> DataFrame:
+        for end in ("sig", "other") if names is not None else ():
+            edges = _named(edges, names, end)
+        ends = edges.filter("sig != other").select(F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other"))
+        return stored(ends.distinct().withColumn("run", run("sig", "other")), "edges")
+
+    run = lambda *of: F.pmod(F.xxhash64(*of), F.lit(FAN_IN ** n_levels(links)))
+    edges, first = between(links.select("sig", "other", run("sig", "other").alias("run")), labels), True
+    if labels is None:
+        labels = edges.limit(0).select("sig", F.col("sig").alias("comp"), "run")
+    while not edges.isEmpty():
+        ends = edges.select("sig", "other").union(edges.select(F.col("other").alias("sig"), F.col("sig").alias("other")))
+        trees = ends.groupBy("sig").agg(F.least("sig", F.min("other")).alias("comp")).withColumn("run", run("sig"))
+        trees, moved = stored(trees, "trees"), True
+        while moved:
+            jumped = spread(trees, trees.select(F.col("sig").alias("comp"), F.col("comp").alias("next")), ["comp"])
+            jumped = stored(jumped.select("sig", F.col("next").alias("comp"), "run", (F.col("comp") != F.col("next")).alias("moved")), "trees")
+            trees, moved = jumped.drop("moved"), not jumped.filter("moved").isEmpty()
+        names = trees.select(F.col("sig").alias("comp"), F.col("comp").alias("named"))
+        to = labels.select("run", "comp").distinct().join(names, "comp", "left")
+        older = labels.join(to, ["run", "comp"]).select("sig", F.coalesce("named", "comp").alias("comp"), "run")
+        # A point of a later round is a label already.
+        labels = stored(older.unionByName(trees.join(labels.select("sig"), "sig", "left_anti")) if first else older, "labels")
+        edges, first = between(edges, trees), False
+    return labels
 
 
 def _first_cells(sets: DataFrame) -> DataFrame:
@@ -363,9 +388,9 @@ def _first_cells(sets: DataFrame) -> DataFrame:
     return stored(cells.withColumns({"root": F.col("cell"), "native": F.lit(True), "main": F.lit(False)}), "cells")
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Links (sig, other) whose components are those of all pairs of ``sets`` within the radius."""
-    cells, known, links, level = _first_cells(sets), None, None, 0
+def _linked(sets: DataFrame) -> DataFrame:
+    """Labels (sig, comp, run): the components of all pairs of ``sets`` within the radius."""
+    cells, known, links, labels, level = _first_cells(sets), None, None, None, 0
     while True:
         mark = lambda k: F.xxhash64("sig", F.lit(level), F.lit(k))  # noqa: B023, E731
         drawn = [F.min(F.when(F.col("native"), F.struct((F.col("alone") / F.col("n")).alias("apart"), mark(0).alias("mark"), "sig"))).getField("sig").alias("p0")]
@@ -386,12 +411,13 @@ def _links(sets: DataFrame) -> DataFrame:
         regions = far.join(nearest, ["cell", "sig"]).filter(F.col("distance") <= F.col("nearest.distance") + 2 * RADIUS + SLACK)
         native = F.col("native") & (F.col("pivot") == F.col("nearest.pivot"))
         regions = regions.select(F.xxhash64("cell", "pivot").alias("cell"), F.col("members").alias("was"), "root", "main", "sig", "n", "alone", "reach", "run", native.alias("native"), "distance")
-        cells = _open(regions, _components(links), level == 0)
+        labels = _components(links, labels)
+        cells = _open(regions, labels, level == 0)
         is_leaf = (F.col("members") <= CELL) | (F.col("members") > SHRUNK * F.col("was"))
-        links = links.unionByName(_leaf(cells.filter(is_leaf), sets).filter("linked").select("sig", "other"))
+        links = _leaf(cells.filter(is_leaf), sets).filter("linked").select("sig", "other")
         cells = cells.filter(~is_leaf).drop("was", "distance", "comp", "natives")
         if cells.isEmpty():
-            return links
+            return _components(links, labels)
         level += 1
 
 
@@ -433,7 +459,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     docs = docs.withColumn("run", _run(ROW, rows))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(ROW).alias("row"))).alias("first")
     per_sig = docs.filter("sig is not null").groupBy("sig").agg(first)
-    labels = _components(_links(sets))
+    labels = _linked(sets)
     per_comp = per_sig.join(labels, "sig").groupBy("comp").agg(F.min("first").alias("best"))
     best = spread(labels, per_comp, ["comp"]).select("sig", "best")
     per_sig = per_sig.join(best, "sig", "left").select("sig", F.coalesce("best", "first").alias("first"))

@@ -63,3 +63,26 @@ def test_postings_are_made_without_a_shuffle(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.doc, r.stam, len(r.platser), r.platser[0], r.platser[-1], r.langd) for r in rows.collect())
     assert got == [(1, "väg", 3, 1, 3, 3), (4, "slut", 1, 700_001, 700_001, 700_001), (4, "å", 700_000, 1, 700_000, 700_001)]
+
+
+def test_links_meet_labels_once_and_are_added_to_components(spark, monkeypatch):
+    import random
+
+    from plenum.llm import jaccard as J
+
+    rng, met = random.Random(3), []
+    named = J._named
+    monkeypatch.setattr(J, "_named", lambda edges, labels, end: (met.append(edges.count()), named(edges, labels, end))[1])
+    name = lambda k: b"%03d" % k
+    # A hub with many links from both sides, a path, and random links; then a second lot that joins some of them.
+    lots = [[(150, k) for k in range(100, 200) if k != 150] + [(k, k + 1) for k in range(200, 212)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(40)], [(150, 200), (3, 212), (300, 301)]]
+    labels, of = None, {}
+    for lot in lots:
+        labels = J._components(spark.createDataFrame([(name(a), name(b)) for a, b in lot if a != b], "sig binary, other binary"), labels)
+        for a, b in lot:
+            if a != b:
+                x, y = of.setdefault(a, a), of.setdefault(b, b)
+                of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        rows = labels.collect()
+        assert len(rows) == len(of) and {bytes(r.sig): bytes(r.comp) for r in rows} == {name(k): name(v) for k, v in of.items()}
+    assert sum(met) < 3 * sum(map(len, lots))
