@@ -223,14 +223,18 @@ SELECT to_id AS doc, (k % 90 + 1)::VARCHAR AS arende, 'Motion om ' || k AS menin
 """)
 def older_annex(c: Civic) -> DataFrame:
     """Votes in the older annex's wide columns; a name in three begins on a line of its own."""
-    who, k = _number("from_id"), _number("to_id")
-    broken = who % 3 == 0
-    name = F.concat(F.when(broken, "med nummer ").otherwise("Politiker med nummer "), who.cast("string"))
-    row = F.concat(F.when(broken, "Politiker\n").otherwise(""), F.rpad(name, 30, " "), F.rpad(_of(PARTIES, who), 10, " "), F.rpad(who.cast("string"), 10, " "), F.rpad(F.lit("Ledamot"), 15, " "), F.initcap("rost"))
-    lines = F.array_sort(F.collect_list(F.struct("from_id", "rost", row.alias("l"))))
-    docs = c.votes().groupBy("to_id").agg(lines.alias("x"), F.count_if(F.col("rost") == "ja").alias("ja"))
+    k = _number("to_id")
+    docs = c.votes().groupBy("to_id").agg(F.sort_array(F.collect_list(F.struct("from_id", "rost"))).alias("x"))
+    docs = docs.withColumn("ja", F.size(F.filter("x", lambda v: v["rost"] == "ja")))
+    votes = F.transform("x", lambda v: F.struct(F.regexp_extract(v["from_id"], "[0-9]+", 0).cast("long").alias("who"), v["rost"].alias("rost")))
+
+    def line(v: Column) -> Column:
+        who, broken = v["who"].cast("string"), v["who"] % 3 == 0
+        name = F.concat(F.when(broken, "med nummer ").otherwise("Politiker med nummer "), who)
+        return F.concat(F.when(broken, "Politiker\n").otherwise(""), F.rpad(name, 30, " "), F.rpad(_of(PARTIES, v["who"]), 10, " "), F.rpad(who, 10, " "), F.rpad(F.lit("Ledamot"), 15, " "), F.when(v["rost"] == "ja", "Ja").when(v["rost"] == "nej", "Nej").otherwise(F.initcap(v["rost"])))
+
     head = F.concat(F.lit("Bilaga 2 \nÄrende: "), (k % 90 + 1).cast("string"), F.lit("\nÄrendemening: Motion\nom "), k.cast("string"), F.lit("\nAntal Ja: "), F.col("ja").cast("string"), F.lit("\nResultat\nNamn  Parti\n"))
-    docs = docs.select(F.col("to_id").alias("doc"), F.concat(head, F.array_join(F.transform("x", lambda v: v["l"]), "\n\n"), F.lit("\n")).alias("text"))
+    docs = docs.select(F.col("to_id").alias("doc"), F.concat(head, F.array_join(F.transform(votes, line), "\n\n"), F.lit("\n")).alias("text"))
     return E.older_annex_votes(docs).select("doc", "arende", "mening", "ja", "namn", "parti", "rost")
 
 

@@ -86,3 +86,34 @@ def test_links_meet_labels_once_and_are_added_to_components(spark, monkeypatch):
         rows = labels.collect()
         assert len(rows) == len(of) and {bytes(r.sig): bytes(r.comp) for r in rows} == {name(k): name(v) for k, v in of.items()}
     assert sum(met) < 3 * sum(map(len, lots))
+
+
+ANNEX = "BILAGA 2\nÄrende: 7:1\nAntal Ja: 2\nAntal Nej: 0\nResultat\nNamn  Parti  Röst\n{}BILAGA 3\nÄrende: 8\nResultat\nEk, Bo   (V)   Ja\n"
+OLD_ANNEX = "Bilaga 2 \nÄrende: 7\nÄrendemening: Motion\nom x\nAntal Ja: 2\nResultat\nNamn  Parti\n{}Bilaga 3 \nÄrende: 8\nAntal Nej: 1\nResultat\n"
+
+
+def test_annexes_are_read_without_sorts_or_shuffles(spark):
+    from plenum.operators import extraction as E
+
+    docs = lambda text: spark.createDataFrame([("a", text), ("b", None), ("c", "")], "doc string, text string")
+    body = "Anna\n\nSidnamn\nMaria | + Ek   (S)   Ja\nNamn  S  Nej\n  Alm \\1 $2  M  Nej\r\nKvar\n"
+    rows = E.annex_votes(docs(ANNEX.format(body)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window", "Join"))
+    want = [("a", "7:1", "7", "Alm \\1 $2", "M", "nej", False), ("a", "7:1", "7", "Anna Sidnamn Maria | + Ek", "S", "ja", False), ("a", "8", "8", "Ek, Bo", "V", "ja", True)]
+    assert sorted(map(tuple, rows.collect())) == want
+    line = lambda name, rost: f"{name:30}S         12        Ledamot        {rost}\n"
+    body = f"Lös\n\n Anna\n{line('Maria | + Ek', 'Ja')}\nBort\nNamn x\n{line('Alm $2, Bo Alexander', 'Frånvarande')}{line(' ' * 25, 'Nej')}Kvar\n"
+    rows = E.older_annex_votes(docs(OLD_ANNEX.format(body)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Sort", "Window", "Join"))
+    got = sorted((r.doc, r.arende, r.mening, r.ja, r.nej, r.namn, r.parti, r.rost) for r in rows.collect())
+    assert got == [("a", "7", "Motion om x", 2, 0, name, "S", rost) for name, rost in (("", "nej"), ("Alm $2, Bo Alexander", "frånvarande"), ("Anna Maria | + Ek", "ja"))]
+
+
+def test_annexes_of_many_lines(spark):
+    from plenum.operators import extraction as E
+
+    text = "BILAGA 2\nÄrende: 7\nResultat\n" + "".join(f"Del {i}\nX   (S)   Ja\n" for i in range(50_000))
+    rows = E.annex_votes(spark.createDataFrame([("a", text)], "doc string, text string"))
+    assert {(r.namn, r.radera) for r in rows.collect()} == {(f"Del {i} X", True) for i in range(50_000)}
