@@ -84,10 +84,9 @@ def postponed(c: Civic) -> DataFrame:
 
 def annexes(c: Civic) -> DataFrame:
     """doc, text: a vote annex per paragraph; a name in three is broken over two lines, and a fourth of the annexes says one too few."""
-    order = F.struct("from_id", "rost")
-    votes = c.votes().groupBy(F.col("to_id").alias("doc")).agg(F.array_sort(F.collect_list(order)).alias("x"))
+    votes = c.votes().groupBy(F.col("to_id").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("from_id", "rost"))).alias("x"))
     name = lambda v: F.when(F.length(v["from_id"]) % 3 == 0, F.concat(F.lit("Nils\n"), v["from_id"])).otherwise(v["from_id"])
-    rows = F.array_join(F.transform("x", lambda v: F.concat(name(v), F.lit("   (P"), F.right(v["from_id"], F.lit(1)), F.lit(")   "), F.initcap(v["rost"]))), "\n")
+    rows = F.array_join(F.transform("x", lambda v: F.concat(name(v), F.lit("   (P"), F.right(v["from_id"], F.lit(1)), F.lit(")   "), F.when(v["rost"] == "ja", "Ja").when(v["rost"] == "nej", "Nej").otherwise(F.initcap(v["rost"])))), "\n")
     key = F.regexp_extract("doc", "[0-9]+", 0).cast("long")
     yes = F.size(F.filter("x", lambda v: v["rost"] == "ja"))
     no = F.size("x") - yes - F.when(key % 4 == 0, 1).otherwise(0)
