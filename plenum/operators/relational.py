@@ -5,6 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task of a join meets, where the number of tasks follows from the number of rows.
+ROWS_A_TASK = 1_000_000
+
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column, take: int = 1) -> DataFrame:
     """The first ``take`` rows per key in a total order (first- or last-writer-wins, DISTINCT ON, top-k per group)."""
@@ -41,11 +44,21 @@ def guarded(new_rows: int, removed_rows: int, least_share: float = 0.9) -> None:
         raise ValueError(f"{new_rows} new rows would replace {removed_rows}")
 
 
-def known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends are nodes: two semi-joins."""
+def known_ends(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Edges both of whose ends are nodes: two semi-joins.
+
+    ``rows`` tells about how many edges and nodes there are.  Then a task looks up its edges in a hash table of its share of the ids
+    and sorts nothing, and there are so many tasks that the share does not grow with the tables.
+    """
     ids = nodes.select("id")
-    edges = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
-    return edges.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    parts = (rows or 0) // ROWS_A_TASK + 1
+    dealt = parts > int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else Spark deals them itself
+    for end in ("from_id", "to_id"):
+        known = ids.withColumnRenamed("id", end)
+        if dealt:
+            known = known.repartition(parts, end)  # and Spark deals the edges likewise
+        edges = edges.join(known if rows is None else known.hint("shuffle_hash"), end, "left_semi")
+    return edges
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

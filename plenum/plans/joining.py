@@ -167,7 +167,7 @@ def disclosed(c: Civic) -> DataFrame:
 
 @query("jon_17_integrity", "SELECT typ, count(*) AS antal FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes) GROUP BY 1")
 def integrity(c: Civic) -> DataFrame:
-    return R.known_ends(c.edges(), c.nodes()).groupBy("typ").agg(F.count("*").alias("antal"))
+    return R.known_ends(c.edges(), c.nodes(), c.graph_rows()).groupBy("typ").agg(F.count("*").alias("antal"))
 
 
 @query("jon_18_party_pairs", """

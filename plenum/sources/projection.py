@@ -101,6 +101,10 @@ class Civic:
         seats = self.people().select(F.col("id").alias("from_id"), F.col("namnd").alias("to_id"), F.lit("ledamot_i").alias("typ"), F.when(F.col("saldo") < 0, "Ersättare").otherwise("Ledamot").alias("label"))
         return votes.unionByName(acts).unionByName(seats)
 
+    def graph_rows(self) -> int:
+        """How many edges and nodes there are, about: the rows of the tables that they are made of, by the files' footers."""
+        return sum(self.table(t).count() for t in ("lineitem", "events", "orders", "supplier"))
+
     def invoices(self) -> DataFrame:
         """namnd, leverantor, orgnr, konto, belopp, ar, manad: line items of a supplier, by account and month."""
         people = self.table("supplier").select("s_suppkey", F.col("s_name").alias("leverantor"), F.col("s_nationkey"))

@@ -117,3 +117,19 @@ def test_annexes_of_many_lines(spark):
     text = "BILAGA 2\nÄrende: 7\nResultat\n" + "".join(f"Del {i}\nX   (S)   Ja\n" for i in range(50_000))
     rows = E.annex_votes(spark.createDataFrame([("a", text)], "doc string, text string"))
     assert {(r.namn, r.radera) for r in rows.collect()} == {(f"Del {i} X", True) for i in range(50_000)}
+
+
+def test_ends_are_looked_up_without_sorting_edges(spark, monkeypatch):
+    from plenum.operators import relational as R
+
+    monkeypatch.setattr(R, "ROWS_A_TASK", 10)
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("a", "x", 2), ("x", "b", 3), (None, "b", 4), ("b", None, 5), ("b", "a", 6)], "from_id string, to_id string, nr int")
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    for rows in (None, 11, 95):
+        known = R.known_ends(edges, nodes, rows)
+        assert known.columns == R.known_ends(edges, nodes).columns and sorted(r.nr for r in known.collect()) == [1, 1, 6]
+        text = known._jdf.queryExecution().executedPlan().toString()
+        assert rows is None or "SortMergeJoin" not in text and "Sort " not in text
+        assert (", 10)" in text) == (rows == 95)
+    text = queries()["jon_17_integrity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
