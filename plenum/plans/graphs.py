@@ -297,7 +297,7 @@ def rebuilt(c: Civic) -> DataFrame:
     """Nodes and edges as one snapshot; a second one, with edges to nowhere, is refused and leaves the first."""
     path, nodes = shared_folder(c.spark), c.nodes()
     keys, references = {"nodes": "id"}, [("edges", end, "nodes", "id") for end in ("from_id", "to_id")]
-    sinks.rebuild({"nodes": nodes, "edges": R.known_ends(c.edges(), nodes)}, path, keys, references)
+    sinks.rebuild({"nodes": nodes, "edges": R.known_ends(c.edges(), nodes, c.graph_rows())}, path, keys, references)
     lost = c.edges().withColumn("to_id", F.concat("to_id", F.lit("-borta")))
     try:
         sinks.rebuild({"nodes": nodes, "edges": lost}, path, keys, references)

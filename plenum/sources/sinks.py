@@ -66,6 +66,25 @@ def enrich_in_place(additions: DataFrame, path: str, part: str, key: str) -> Non
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
+def faults(tables: dict[str, DataFrame], keys: dict[str, str], references: list[tuple[str, str, str, str]]) -> list[DataFrame]:
+    """fel, varde of values that break a rule, for each key that has one: ``fel`` is the place among the keys, then the references.
+
+    A key's values and those that name it are counted together in one shuffle, in which equal ones meet before they are sent.
+    """
+    out, order = [], list(keys.items())
+    for other, key in dict.fromkeys([*order, *((o, k) for _, _, o, k in references)]):
+        seen = tables[other].select(F.col(key).alias("varde"), F.lit(1).alias("n"), F.lit(None).cast("int").alias("av"))
+        for i, (table, column, *named) in enumerate(references):
+            if named == [other, key]:
+                seen = seen.union(tables[table].filter(F.col(column).isNotNull()).select(column, F.lit(0), F.lit(len(keys) + i)))
+        counted = seen.groupBy("varde").agg(F.sum("n").alias("n"), F.min("av").alias("av"))
+        fault = F.when(F.col("n") == 0, F.col("av"))
+        if (other, key) in order:
+            fault = F.when((F.col("n") > 1) | (F.col("varde").isNull() & (F.col("n") > 0)), order.index((other, key))).otherwise(fault)
+        out.append(counted.select(fault.alias("fel"), "varde").filter("fel is not null"))
+    return out
+
+
 def rebuild(tables: dict[str, DataFrame], path: str, keys: dict[str, str], references: list[tuple[str, str, str, str]]) -> None:
     """Replace all ``tables`` below ``path`` at once, if they keep their keys and references; else nothing changes, and it is an error.
 
@@ -78,14 +97,14 @@ def rebuild(tables: dict[str, DataFrame], path: str, keys: dict[str, str], refer
     for table, rows in tables.items():
         rows.write.parquet(f"{path}/{name}/{table}")
     back = {table: spark.read.schema(rows.schema).parquet(f"{path}/{name}/{table}") for table, rows in tables.items()}
-    for table, key in keys.items():
-        bad = back[table].groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1))
-        if not bad.isEmpty():
-            raise ValueError(f"{table}.{key} is null or repeated: {bad.first()[0]!r}")
-    for table, column, other, key in references:
-        lost = back[table].filter(F.col(column).isNotNull()).join(back[other].select(F.col(key).alias(column)), column, "left_anti")
-        if not lost.isEmpty():
-            raise ValueError(f"{table}.{column} names what {other} lacks: {lost.first()[column]!r}")
+    found = [rows.agg(F.min(F.struct("fel", "varde")).alias("x")).first().x for rows in faults(back, keys, references)]
+    first = min((x for x in found if x is not None), key=lambda x: x.fel, default=None)
+    if first is not None and first.fel < len(keys):
+        table, key = list(keys.items())[first.fel]
+        raise ValueError(f"{table}.{key} is null or repeated: {first.varde!r}")
+    if first is not None:
+        table, column, other, _ = references[first.fel - len(keys)]
+        raise ValueError(f"{table}.{column} names what {other} lacks: {first.varde!r}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     fresh, current = (hadoop.Path(f"{path}/{n}") for n in (f"{name}/CURRENT", "CURRENT"))
     files = hadoop.FileContext.getFileContext(current.toUri(), spark.sparkContext._jsc.hadoopConfiguration())

@@ -133,3 +133,17 @@ def test_ends_are_looked_up_without_sorting_edges(spark, monkeypatch):
         assert (", 10)" in text) == (rows == 95)
     text = queries()["jon_17_integrity"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_keys_and_references_are_checked_in_one_shuffle(spark):
+    from plenum.sources import sinks
+
+    nodes = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", None), ("y", "x")], "from_id string, to_id string")
+    references = [("edges", "from_id", "nodes", "id"), ("edges", "to_id", "nodes", "id")]
+    broken = lambda n, keys: [sorted(map(tuple, f.collect()), key=str) for f in sinks.faults({"nodes": n, "edges": edges}, keys, references)]
+    assert broken(nodes("a", "b", "x", "y", "z"), {"nodes": "id"}) == [[]]
+    assert broken(nodes("a", "b", "b", None), {"nodes": "id"}) == [[(0, "b"), (0, None), (1, "y"), (2, "x")]]
+    assert broken(nodes("a", "b", "b", None), {}) == [[(0, "y"), (1, "x")]]
+    text = sinks.faults({"nodes": nodes("a"), "edges": edges}, {"nodes": "id"}, references)[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text and "Sort" not in text
